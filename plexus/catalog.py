@@ -1,0 +1,4 @@
+"""The registered queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
