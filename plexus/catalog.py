@@ -1,4 +1,596 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each with the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plexus.functions.keys import argmax0, node_key
+from plexus.operators import attend as A
+from plexus.operators import edges as E
+from plexus.operators import metrics as M
+from plexus.operators import sample as S
+from plexus.operators import spread as P
+from plexus.plans import budget as B
+from plexus.components import components
+from plexus.sources import graphs as G
+from plexus.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+WIDTH = 64
+
+# Common tables of the SQL side.
+_N = "n AS (SELECT count(*) AS c FROM embeddings)"
+_ITEM = f"{_N}, item AS (SELECT DISTINCT l_orderkey % c AS src, l_partkey % c AS dst FROM lineitem, n WHERE l_orderkey % c <> l_partkey % c)"
+_NODES = "nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label::BIGINT AS y FROM embeddings)"
+_BUY = "nc AS (SELECT count(*) AS c FROM customer), buy AS (SELECT DISTINCT o_custkey AS src, c + l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey, nc)"
+_BOTH = "both_ AS (SELECT src, dst FROM item UNION SELECT dst, src FROM item)"
+
+
+def _h(src: str, dst: str, seed: int) -> str:
+    return f"(({src} * 1103515245 + {dst} * 214013 + {seed}::BIGINT * 2654435761 + 12345) % 2147483648)"
+
+
+def _hn(node: str, seed: int = 0) -> str:
+    return f"(({node} * 1103515245 + {seed}::BIGINT * 2654435761 + 12345) % 2147483648)"
+
+
+def _top(edges: str, k: int, seed: int, tie: str = "src") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {_h('src', 'dst', seed)}, {tie}) AS _r FROM {edges}) WHERE _r <= {k})"
+
+
+def _walk(edges: str, starts: str, per: int, length: int, seed: int = 0) -> str:
+    ctes = [f"adj AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS deg FROM {edges})", "deg AS (SELECT src, deg FROM adj WHERE pos = 0)", f"w0 AS (SELECT id AS start, walk, id AS node FROM {starts}, range({per}) r(walk))"]
+    for t in range(1, length + 1):
+        key = f"((start * 1103515245 + walk * 214013 + {t} * 69069 + {seed}::BIGINT * 2654435761 + 12345) % 2147483648)"
+        ctes.append(f"w{t} AS (SELECT start, walk, coalesce(adj.dst, w.node) AS node FROM w{t - 1} w LEFT JOIN deg ON deg.src = w.node LEFT JOIN adj ON adj.src = w.node AND adj.pos = {key} % deg.deg)")
+    ctes.append("steps AS (" + " UNION ALL ".join(f"SELECT start, walk, {t}::BIGINT AS step, node FROM w{t}" for t in range(length + 1)) + ")")
+    ctes.append("lagged AS (SELECT *, lag(node) OVER (PARTITION BY start, walk ORDER BY step) AS prev FROM steps)")
+    return ", ".join(ctes)
+
+
+def _pool(min_hop: int) -> str:
+    return f"pool AS (SELECT node AS src, start AS dst, walk, step AS hop FROM lagged WHERE step >= {max(1, min_hop)} AND (step = 1 OR node <> prev))"
+
+
+_STARTS = "starts AS (SELECT vec_id AS id FROM embeddings)"
+_MERGED = f"WITH {_ITEM}, {_STARTS}, {_walk('item', 'starts', 2, 2)}, {_pool(1)}, realk AS (SELECT src, dst FROM {_top('item', 4, 17)}), rw AS (SELECT src, dst FROM {_top('pool', 4, 37, 'src, walk, hop')}), merged AS (SELECT src, dst FROM realk UNION SELECT src, dst FROM rw)"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _dot(a: str, b: str) -> str:
+    return _DOT.format(a=a, b=b)
+
+
+def _long(values: str, extra: str) -> str:
+    """One row a dimension of a list column."""
+    return f"SELECT {extra}, unnest(range({WIDTH}))::BIGINT AS dim, unnest({values}) AS v"
+
+
+def _explode(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.posexplode(col).alias("dim", "v")).select(*keep, F.col("dim").cast("bigint").alias("dim"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _pooled(spark: SparkSession, sf: str, min_hop: int = 1) -> DataFrame:
+    return S.walk_pool(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 2, 2, min_hop)
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    return S.merged(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 4, 4)
+
+
+def _some(spark: SparkSession, sf: str, cond: str) -> DataFrame:
+    return G.nodes(spark, sf).where(cond).select("id")
+
+
+# --- sources, filters and set operations
+
+
+@query("scan_nodes", f"WITH {_NODES} SELECT id, y, round({_dot('x', 'x')}, 6) AS norm2 FROM nodes")
+def _(spark, sf):
+    return G.nodes(spark, sf).select("id", "y", F.round(A.dot("x", "x"), 6).alias("norm2"))
+
+
+@query("item_graph", f"WITH {_ITEM} SELECT src, dst FROM item")
+def _(spark, sf):
+    return G.item_edges(spark, sf)
+
+
+@query("purchase_graph", f"WITH {_BUY} SELECT src, dst FROM buy")
+def _(spark, sf):
+    return G.purchase_edges(spark, sf)
+
+
+@query("split_table", f"SELECT vec_id AS id, CASE WHEN {_hn('vec_id')} % 10 < 6 THEN 'train' WHEN {_hn('vec_id')} % 10 < 8 THEN 'valid' ELSE 'test' END AS part FROM embeddings")
+def _(spark, sf):
+    return G.splits(spark, sf)
+
+
+@query("split_from_json", "SELECT part, id FROM (VALUES ('train', 0::BIGINT), ('train', 3), ('valid', 1), ('test', 2)) t(part, id)")
+def _(spark, sf):
+    raw = spark.range(1).select(F.lit('{"tr": [0, 3], "va": [1], "te": [2]}').alias("j"))
+    m = raw.select(F.explode(F.from_json("j", "map<string,array<bigint>>")).alias("k", "ids"))
+    names = F.create_map(*[F.lit(v) for kv in G.PARTS.items() for v in kv])
+    return m.select(names[F.col("k")].alias("part"), F.explode("ids").alias("id"))
+
+
+@query("row_l1_norm", f"WITH {_NODES} SELECT id, round(list_sum(list_transform(x, lambda v: abs(v / list_sum(x)))), 4) AS total FROM nodes WHERE abs(list_sum(x)) > 0.5")
+def _(spark, sf):
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    n = G.nodes(spark, sf).withColumn("t", total).where(F.abs("t") > 0.5)
+    return n.select("id", F.round(F.aggregate(F.transform("x", lambda v: F.abs(v / F.col("t"))), F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query("dst_semi_filter", f"WITH {_ITEM} SELECT src, dst FROM item WHERE dst IN (SELECT vec_id FROM embeddings WHERE label = 3)")
+def _(spark, sf):
+    return E.by_destination(G.item_edges(spark, sf), _some(spark, sf, "y = 3"))
+
+
+@query("edge_slice", f"WITH {_ITEM} SELECT src - 50 AS src, dst - 50 AS dst FROM item WHERE src BETWEEN 50 AND 149 AND dst BETWEEN 50 AND 149")
+def _(spark, sf):
+    return E.window_slice(G.item_edges(spark, sf), 50, 150)
+
+
+@query("virtual_node_edges", f"WITH {_ITEM} SELECT src + 1 AS src, dst + 1 AS dst FROM item UNION ALL SELECT vec_id + 1, 0 FROM embeddings UNION ALL SELECT 0, vec_id + 1 FROM embeddings")
+def _(spark, sf):
+    return E.virtual_node(G.item_edges(spark, sf), G.nodes(spark, sf))
+
+
+@query("slot_shift", f"WITH {_ITEM} SELECT CASE WHEN src > 0 THEN src + (src - 1) // 64 ELSE src END AS src, CASE WHEN dst > 0 THEN dst + (dst - 1) // 64 ELSE dst END AS dst FROM item")
+def _(spark, sf):
+    return E.slot_shift(G.item_edges(spark, sf), 64)
+
+
+@query("bidirect", f"WITH {_ITEM}, {_BOTH} SELECT src, dst FROM both_")
+def _(spark, sf):
+    return E.bidirect(G.item_edges(spark, sf))
+
+
+@query("edge_subtract", f"WITH {_ITEM} SELECT i.src, i.dst FROM item i ANTI JOIN (SELECT src, dst FROM {_top('item', 4, 17)}) t ON i.src = t.src AND i.dst = t.dst")
+def _(spark, sf):
+    e = G.item_edges(spark, sf)
+    return E.subtract(e, S.topk(e, 4, 17))
+
+
+_SETS = f"WITH {_ITEM}, a AS (SELECT src, dst FROM {_top('item', 4, 17)}), b AS (SELECT src, dst FROM {_top('item', 6, 18)}), c AS (SELECT (SELECT count(*) FROM a)::BIGINT AS n_a, (SELECT count(*) FROM b)::BIGINT AS n_b, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b))::BIGINT AS n_both)"
+
+
+@query("edge_jaccard", _SETS + " SELECT n_a, n_b, n_both, n_both / (n_a + n_b - n_both) AS jaccard, (n_b - n_both) / n_a AS new_ratio FROM c")
+def _(spark, sf):
+    e = G.item_edges(spark, sf)
+    return E.set_measures(S.topk(e, 4, 17), S.topk(e, 6, 18))
+
+
+@query("induced_subgraph", f"WITH {_ITEM}, b AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id % 5 = 2) SELECT s.pos AS src, d.pos AS dst FROM item JOIN b s ON s.node = src JOIN b d ON d.node = dst")
+def _(spark, sf):
+    batch = _some(spark, sf, "id % 5 = 2").select(F.col("id").alias("node"), F.expr("(id - 2) div 5").alias("pos"))
+    return E.induced(G.item_edges(spark, sf), batch)
+
+
+@query("sampled_subgraph", f"WITH {_ITEM}, s AS (SELECT vec_id FROM embeddings ORDER BY {_hn('vec_id', 3)}, vec_id LIMIT 100), b AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM s) SELECT s.pos AS src, d.pos AS dst FROM item JOIN b s ON s.node = src JOIN b d ON d.node = dst")
+def _(spark, sf):
+    return E.induced(G.item_edges(spark, sf), E.sampled_nodes(G.nodes(spark, sf), 100, 3))
+
+
+@query("edge_power2", f"WITH {_ITEM}, t AS (SELECT src, dst FROM {_top('item', 4, 17)}) SELECT DISTINCT a.src, b.dst FROM t a JOIN t b ON a.dst = b.src")
+def _(spark, sf):
+    return E.edge_power(S.topk(G.item_edges(spark, sf), 4, 17), 2)
+
+
+@query("sparsity", f"WITH {_ITEM} SELECT 1 - count(*) / (max(c) * max(c)) AS sparsity FROM item, n")
+def _(spark, sf):
+    return E.sparsity(G.item_edges(spark, sf), G.n_nodes(spark, sf))
+
+
+@query("degree_stats", f"WITH {_ITEM} SELECT vec_id AS id, (SELECT count(*) FROM item WHERE dst = vec_id) AS in_degree, (SELECT count(*) FROM item WHERE src = vec_id) AS out_degree FROM embeddings")
+def _(spark, sf):
+    return E.degrees(G.item_edges(spark, sf), G.nodes(spark, sf))
+
+
+def _cycle(seed: int) -> str:
+    return f"(SELECT id AS src, coalesce(lead(id) OVER (ORDER BY {_hn('id', seed)}, id), first_value(id) OVER (ORDER BY {_hn('id', seed)}, id)) AS dst FROM starts)"
+
+
+@query("expander_edges", f"WITH {_STARTS}, c AS (SELECT * FROM {_cycle(0)} UNION ALL SELECT * FROM {_cycle(1)}) SELECT src, dst FROM c UNION ALL SELECT dst, src FROM c")
+def _(spark, sf):
+    return E.expander(G.nodes(spark, sf), 2)
+
+
+# --- sampling and walks
+
+
+@query("topk_real", f"WITH {_ITEM} SELECT src, dst FROM {_top('item', 4, 17)}")
+def _(spark, sf):
+    return S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst")
+
+
+@query("topk_budget_split", _MERGED + " SELECT 'real' AS family, dst, count(*) AS n FROM realk GROUP BY dst UNION ALL SELECT 'walk', dst, count(*) FROM rw GROUP BY dst")
+def _(spark, sf):
+    real, rw = S.budgets(8)
+    a, b = S.families(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), real, rw, 2, 2, 0)
+    n = lambda d, k: d.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("family"), "dst", "n")
+    return n(a, "real").unionByName(n(b, "walk"))
+
+
+@query("walk_steps", f"WITH {_BUY}, starts AS (SELECT DISTINCT src AS id FROM buy UNION SELECT DISTINCT dst FROM buy), {_walk('buy', 'starts', 2, 3)} SELECT start, walk, step, node FROM steps")
+def _(spark, sf):
+    e = G.purchase_edges(spark, sf)
+    starts = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return S.walks(e, starts, 2, 3)
+
+
+@query("walk_pool", f"WITH {_ITEM}, {_STARTS}, {_walk('item', 'starts', 2, 2)}, {_pool(1)} SELECT src, dst, walk, hop FROM pool")
+def _(spark, sf):
+    return _pooled(spark, sf)
+
+
+@query("walk_pool_min_hop2", f"WITH {_ITEM}, {_STARTS}, {_walk('item', 'starts', 2, 2)}, {_pool(2)} SELECT src, dst, walk, hop FROM pool")
+def _(spark, sf):
+    return _pooled(spark, sf, 2)
+
+
+@query("seed_subgraph", f"WITH {_ITEM}, starts AS (SELECT vec_id AS id FROM embeddings WHERE label = 1), {_walk('item', 'starts', 3, 3)} SELECT node AS src, prev AS dst FROM lagged WHERE step > 0 UNION SELECT node, start FROM lagged WHERE step > 0")
+def _(spark, sf):
+    return S.seed_subgraph(G.item_edges(spark, sf), _some(spark, sf, "y = 1"), 3, 3)
+
+
+@query("seed_first_nodes", f"WITH {_ITEM}, t AS (SELECT src, dst FROM {_top('item', 4, 17)} WHERE dst % 10 = 0), s AS (SELECT vec_id AS node FROM embeddings WHERE vec_id % 10 = 0) SELECT node, false AS is_context FROM s UNION ALL SELECT node, true FROM (SELECT src AS node FROM t UNION SELECT dst FROM t) ANTI JOIN s USING (node)")
+def _(spark, sf):
+    e = S.topk(G.item_edges(spark, sf), 4, 17).where("dst % 10 = 0")
+    return S.seed_first(_some(spark, sf, "id % 10 = 0"), e)
+
+
+_FAN = f"WITH {_ITEM}, f1 AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_h('dst', 'src', 1)}, dst) AS r FROM item) WHERE r <= 3), f2 AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_h('dst', 'src', 2)}, dst) AS r FROM item) WHERE r <= 2), q AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 = 0), a AS (SELECT q.id AS dst, f1.dst AS cur FROM q JOIN f1 ON f1.src = q.id), b AS (SELECT a.dst, f2.dst AS cur FROM a JOIN f2 ON f2.src = a.cur)"
+
+
+@query("fanout_pool", _FAN + " SELECT cur AS src, dst, 1::BIGINT AS hop FROM a WHERE cur <> dst UNION ALL SELECT cur, dst, 2 FROM b WHERE cur <> dst")
+def _(spark, sf):
+    return S.fanout_pool(G.item_edges(spark, sf), _some(spark, sf, "id % 10 = 0"), (3, 2))
+
+
+@query("merged_edges", _MERGED + " SELECT src, dst FROM merged")
+def _(spark, sf):
+    return _merged(spark, sf)
+
+
+_TYPED = _MERGED + ", typed AS (SELECT src, dst, 0::BIGINT AS etype FROM realk UNION ALL SELECT src, dst, 1 FROM rw UNION ALL SELECT id, id, 0 FROM starts)"
+
+
+@query("typed_edges", _TYPED + " SELECT src, dst, etype FROM typed")
+def _(spark, sf):
+    return S.merged_typed(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 4, 4)
+
+
+@query("probe_pools", _MERGED + f", cone AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 = 0), r AS (SELECT src, dst FROM item WHERE dst IN (SELECT id FROM cone)), p AS (SELECT src, dst FROM pool WHERE dst IN (SELECT id FROM cone)) SELECT p.src, p.dst FROM p ANTI JOIN r ON p.src = r.src AND p.dst = r.dst")
+def _(spark, sf):
+    cone, e = _some(spark, sf, "id % 7 = 0"), G.item_edges(spark, sf)
+    return E.subtract(E.by_destination(_pooled(spark, sf), cone), E.by_destination(e, cone))
+
+
+# --- spreading
+
+
+_CONE = f"WITH {_ITEM}, t AS (SELECT src, dst FROM {_top('item', 4, 17)}), d0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 50 = 0), d1 AS (SELECT DISTINCT src AS id FROM t WHERE dst IN (SELECT id FROM d0) EXCEPT SELECT id FROM d0), d2 AS (SELECT DISTINCT src AS id FROM t WHERE dst IN (SELECT id FROM d1) EXCEPT (SELECT id FROM d0 UNION SELECT id FROM d1))"
+
+
+@query("reception_cone", _CONE + " SELECT id, 0::BIGINT AS depth FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2")
+def _(spark, sf):
+    return P.reception_cone(S.topk(G.item_edges(spark, sf), 4, 17), _some(spark, sf, "id % 50 = 0"), 3)
+
+
+_SPD = f"WITH {_ITEM}, b AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 = 1), t AS (SELECT src, dst FROM {_top('item', 8, 17)} UNION SELECT dst, src FROM {_top('item', 8, 17)}), u AS (SELECT DISTINCT src, dst FROM t WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b) AND src <> dst), d2 AS (SELECT DISTINCT a.src, c.dst FROM u a JOIN u c ON a.dst = c.src), spd AS (SELECT x.id AS src, y.id AS dst, CASE WHEN x.id = y.id THEN 0 WHEN (x.id, y.id) IN (SELECT (src, dst) FROM u) THEN 1 WHEN (x.id, y.id) IN (SELECT (src, dst) FROM d2) THEN 2 ELSE 3 END::BIGINT AS bin FROM b x, b y)"
+
+
+def _spd(spark, sf):
+    return P.spd_bins(S.topk(G.item_edges(spark, sf), 8, 17).select("src", "dst"), _some(spark, sf, "id % 10 = 1"), 3)
+
+
+@query("spd_bins", _SPD + " SELECT src, dst, bin FROM spd")
+def _(spark, sf):
+    return _spd(spark, sf)
+
+
+_NORM = f"WITH {_ITEM}, {_BOTH}, a AS (SELECT src, dst FROM both_ UNION ALL SELECT vec_id, vec_id FROM embeddings), deg AS (SELECT dst AS id, count(*)::DOUBLE AS d FROM a GROUP BY dst), w AS (SELECT a.src, a.dst, 1 / sqrt(p.d * q.d) AS w FROM a JOIN deg p ON p.id = a.src JOIN deg q ON q.id = a.dst)"
+
+
+@query("sym_norm", _NORM + " SELECT src, dst, round(w, 9) AS w FROM w")
+def _(spark, sf):
+    return P.sym_norm(G.item_edges(spark, sf), G.nodes(spark, sf)).withColumn("w", F.round("w", 9))
+
+
+@query("row_norm_right", f"WITH {_ITEM}, s AS (SELECT src, count(*) AS n FROM item GROUP BY src) SELECT item.src, item.dst, round(coalesce(1 / s.n, 0), 9) AS w FROM item LEFT JOIN s ON s.src = item.dst")
+def _(spark, sf):
+    return P.row_norm_right(G.item_edges(spark, sf)).withColumn("w", F.round("w", 9))
+
+
+_PROP = _NORM + f", {_NODES}, h0 AS ({_long('x', 'id')} FROM nodes), h1 AS (SELECT w.dst AS id, dim, sum(w * v) AS v FROM w JOIN h0 ON h0.id = w.src GROUP BY ALL), h2 AS (SELECT w.dst AS id, dim, sum(w * v) AS v FROM w JOIN h1 ON h1.id = w.src GROUP BY ALL)"
+
+
+def _propagated(spark, sf):
+    n = G.nodes(spark, sf)
+    return P.propagate(P.sym_norm(G.item_edges(spark, sf), n), n, 2, WIDTH)
+
+
+@query("propagate_hops", _PROP + " SELECT id, 0::BIGINT AS hop, dim, round(v, 6) + 0.0 AS v FROM h0 UNION ALL SELECT id, 1, dim, round(v, 6) + 0.0 FROM h1 UNION ALL SELECT id, 2, dim, round(v, 6) + 0.0 FROM h2")
+def _(spark, sf):
+    return _explode(_propagated(spark, sf), "x", "id", "hop")
+
+
+@query("propagate_mean", _PROP + " SELECT h0.id, h0.dim, round((h0.v + h1.v + h2.v) / 3, 6) + 0.0 AS v FROM h0 JOIN h1 USING (id, dim) JOIN h2 USING (id, dim)")
+def _(spark, sf):
+    h = _propagated(spark, sf)
+    m = h.groupBy("id").agg(*[(F.sum(F.get("x", F.lit(i))) / 3).alias(f"c{i}") for i in range(WIDTH)])
+    return _explode(m.select("id", F.array(*[f"c{i}" for i in range(WIDTH)]).alias("x")), "x", "id")
+
+
+def _ppr(rounds: int) -> str:
+    ctes = [f"t AS (SELECT src, dst FROM {_top('item', 4, 17)})", "dg AS (SELECT src, count(*) AS deg FROM t GROUP BY src)", "st AS (SELECT t.src AS a, t.dst AS b, 1 / deg AS p FROM t JOIN dg ON dg.src = t.src)", "q AS (SELECT vec_id AS s FROM embeddings WHERE vec_id % 25 = 0)", "r0 AS (SELECT s, s AS v, 1.0::DOUBLE AS r FROM q)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"r{i} AS (SELECT s, v, sum(r) AS r FROM (SELECT s, b AS v, r * p * 0.85 AS r FROM r{i - 1} JOIN st ON st.a = v UNION ALL SELECT s, s, 0.15 FROM q) GROUP BY s, v)")
+    return ", ".join(ctes)
+
+
+@query("ppr_topk", f"WITH {_ITEM}, {_ppr(4)} SELECT s AS src, v AS dst, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(r, 9) DESC, v) AS k FROM r4 WHERE s <> v) WHERE k <= 5")
+def _(spark, sf):
+    return P.ppr_topk(S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst"), _some(spark, sf, "id % 25 = 0"), 5)
+
+
+_COMP = f"WITH RECURSIVE {_BUY}, thin AS (SELECT src, dst FROM buy WHERE {_h('src', 'dst', 9)} % 40 = 0), e AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)"
+
+
+@query("components", _COMP + " SELECT node, min(seen) AS component FROM r GROUP BY node")
+def _(spark, sf):
+    from plexus.functions.keys import edge_key
+
+    thin = G.purchase_edges(spark, sf).where(edge_key(F.col("src"), F.col("dst"), 9) % 40 == 0)
+    return components(thin.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
+@query("laplacian_pe")
+def _(spark, sf):
+    return P.laplacian_encoding(S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst"), G.nodes(spark, sf), 2)
+
+
+@query("partition_relabel")
+def _(spark, sf):
+    return P.partition_relabel(S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst"), G.nodes(spark, sf))
+
+
+# --- attention
+
+
+def _w(table_: str, score: str, extra: str = "") -> str:
+    return f"sc AS (SELECT e.src, e.dst, k.x AS k, exp({score}{extra}) AS w FROM {table_} e JOIN nodes k ON k.id = e.src JOIN nodes q ON q.id = e.dst)"
+
+
+_KQ = _dot("k.x", "q.x")
+_SUMS = f"zs AS (SELECT dst, sum(w) AS z FROM sc GROUP BY dst), vs AS (SELECT dst, dim, sum(w * v) AS s FROM (SELECT dst, w, unnest(range({WIDTH}))::BIGINT AS dim, unnest(k) AS v FROM sc) GROUP BY dst, dim)"
+_OUT = f"SELECT id, dim, round(coalesce(s, 0) / (coalesce(z, 0) + 1e-6), 6) + 0.0 AS v FROM (SELECT id, unnest(range({WIDTH}))::BIGINT AS dim FROM nodes) LEFT JOIN zs ON zs.dst = id LEFT JOIN vs USING (dst, dim)"
+_OUT = _OUT.replace("LEFT JOIN vs USING (dst, dim)", "LEFT JOIN vs ON vs.dst = id AND vs.dim = dim_").replace("unnest(range(64))::BIGINT AS dim FROM nodes", "unnest(range(64))::BIGINT AS dim_ FROM nodes").replace("SELECT id, dim, round", "SELECT id, dim_ AS dim, round", 1)
+
+
+@query("edge_softmax", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ} / 8, 5), -5)')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
+def _(spark, sf):
+    n = G.nodes(spark, sf)
+    return A.weights(_merged(spark, sf), n, WIDTH).groupBy(F.col("dst").alias("id")).agg(F.round(F.sum("w"), 6).alias("z"))
+
+
+@query("merged_edge_attention", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ} / 8, 5), -5)')}, {_SUMS} {_OUT}")
+def _(spark, sf):
+    n = G.nodes(spark, sf)
+    return _explode(A.softmax(A.weights(_merged(spark, sf), n, WIDTH), n, WIDTH), "out", "id")
+
+
+@query("edge_softmax_list", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ}, 5), -5) / 8')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
+def _(spark, sf):
+    n = G.nodes(spark, sf)
+    return A.weights(_merged(spark, sf), n, WIDTH, "list").groupBy(F.col("dst").alias("id")).agg(F.round(F.sum("w"), 6).alias("z"))
+
+
+@query("edge_softmax_typed", _TYPED + f", {_NODES}, {_w('typed', f'greatest(least({_KQ} * CASE etype WHEN 0 THEN 1.0 ELSE 0.5 END / 8, 5), -5)')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
+def _(spark, sf):
+    n = G.nodes(spark, sf)
+    e = S.merged_typed(G.item_edges(spark, sf), n.select("id"), 4, 4)
+    return A.weights(e, n, WIDTH, etype={0: 1.0, 1: 0.5}).groupBy(F.col("dst").alias("id")).agg(F.round(F.sum("w"), 6).alias("z"))
+
+
+@query("edge_softmax_bias", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ} / 8, 5), -5)', ' + ((e.src + e.dst) % 3) * 0.25')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
+def _(spark, sf):
+    n = G.nodes(spark, sf)
+    bias = ((F.col("src") + F.col("dst")) % 3) * 0.25
+    return A.weights(_merged(spark, sf), n, WIDTH, bias=bias).groupBy(F.col("dst").alias("id")).agg(F.round(F.sum("w"), 6).alias("z"))
+
+
+@query("edge_softmax_normalised", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ} / 8, 5), -5)')}, zs AS (SELECT dst, sum(w) AS z FROM sc GROUP BY dst) SELECT src, sc.dst, round(w / (z + 1e-6), 6) AS p FROM sc JOIN zs USING (dst)")
+def _(spark, sf):
+    return A.normalised_weights(A.weights(_merged(spark, sf), G.nodes(spark, sf), WIDTH)).withColumn("p", F.round("p", 6))
+
+
+_DENSE = f"WITH {_NODES}, s AS (SELECT a.id, b.x AS k, {_dot('a.x', 'b.x')} / 8 AS s FROM nodes a JOIN nodes b ON a.id // 50 = b.id // 50), m AS (SELECT id, max(s) AS m FROM s GROUP BY id), sc AS (SELECT s.id AS dst, k, exp(s - m) AS w FROM s JOIN m USING (id)), {_SUMS} SELECT dst AS id, dim, round(s / z, 6) + 0.0 AS v FROM vs JOIN zs USING (dst)"
+
+
+@query("dense_attention", _DENSE)
+def _(spark, sf):
+    return _explode(A.dense(G.nodes(spark, sf), F.expr("id div 50"), WIDTH, multiply=False), "out", "id")
+
+
+@query("favor_attention")
+def _(spark, sf):
+    import math
+
+    fixed = [[math.sin(1.0 + 7.0 * i + 3.0 * j) for j in range(WIDTH)] for i in range(8)]
+    return _explode(A.favor(G.nodes(spark, sf), fixed, WIDTH), "out", "id")
+
+
+@query("hop_attention", _PROP + ", own AS (SELECT id, sum(v) AS t FROM h0 GROUP BY id), hh AS (SELECT id, 1 AS hop, dim, v FROM h1 UNION ALL SELECT id, 2, dim, v FROM h2), ws AS (SELECT hh.id, hop, exp(any_value(own.t) * 0.5 + sum(v)) AS w FROM hh JOIN own USING (id) GROUP BY hh.id, hop), zs AS (SELECT id, sum(w) AS z FROM ws GROUP BY id), mx AS (SELECT hh.id, dim, sum(v * w / z) AS v FROM hh JOIN ws USING (id, hop) JOIN zs USING (id) GROUP BY hh.id, dim) SELECT h0.id, h0.dim, round(h0.v + mx.v, 6) + 0.0 AS v FROM h0 JOIN mx USING (id, dim)")
+def _(spark, sf):
+    return _explode(A.hop_readout(_propagated(spark, sf)), "out", "id")
+
+
+_LOGITS = "list_transform(range(10), lambda j: x[j + 1] * 2 + x[j + 11])"
+_LSE = f"l AS (SELECT id, y, {_LOGITS} AS z FROM nodes), p AS (SELECT id, y, z, ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) + list_max(z) AS lse FROM l)"
+
+
+def _logits(spark, sf):
+    n = G.nodes(spark, sf)
+    z = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.get("x", j) * 2 + F.get("x", j + 10))
+    return n.select("id", "y", A.log_softmax(z).alias("logp"))
+
+
+@query("log_softmax_argmax", f"WITH {_NODES}, {_LSE} SELECT id, list_position(z, list_max(z))::BIGINT - 1 AS pred, round(list_max(z) - lse, 6) AS best FROM p")
+def _(spark, sf):
+    return _logits(spark, sf).select("id", argmax0("logp").alias("pred"), F.round(F.array_max("logp"), 6).alias("best"))
+
+
+@query("dense_layers", f"WITH {_NODES}, s AS (SELECT id, x, list_sum(x) / 64 AS m FROM nodes), t AS (SELECT id, x, m, list_sum(list_transform(x, lambda v: (v - m) * (v - m))) / 64 AS s2 FROM s) SELECT id, round(list_sum(list_transform(x, lambda v: greatest((v - m) / sqrt(s2 + 1e-5), 0))), 6) AS total FROM t")
+def _(spark, sf):
+    r = A.relu(A.layer_norm(F.col("x")))
+    return G.nodes(spark, sf).select("id", F.round(F.aggregate(r, F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+# --- metrics
+
+
+_PART = f"CASE WHEN {_hn('id')} % 10 < 6 THEN 'train' WHEN {_hn('id')} % 10 < 8 THEN 'valid' ELSE 'test' END"
+
+
+def _parted(spark, sf) -> DataFrame:
+    return _logits(spark, sf).select("id", "y", "logp", argmax0("logp").alias("pred"), G.part_of(F.col("id")).alias("part"))
+
+
+@query("accuracy_by_split", f"WITH {_NODES}, {_LSE} SELECT {_PART} AS part, sum((list_position(z, list_max(z)) - 1 = y)::BIGINT)::BIGINT / count(*) AS accuracy, count(*) AS n FROM p GROUP BY ALL")
+def _(spark, sf):
+    return M.accuracy(_parted(spark, sf))
+
+
+@query("auc", f"WITH {_NODES}, s AS (SELECT floor(x[1] * 50) AS score, (y % 2)::BIGINT AS y FROM nodes), r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS k FROM s) SELECT round((sum(k) FILTER (WHERE y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / (sum(y)::DOUBLE * sum(1 - y)), 9) AS auc FROM r")
+def _(spark, sf):
+    s = G.nodes(spark, sf).select(F.floor(F.get("x", F.lit(0)) * 50).alias("score"), (F.col("y") % 2).alias("y"))
+    return M.auc(s).select(F.round("auc", 9).alias("auc"))
+
+
+@query("nll", f"WITH {_NODES}, {_LSE} SELECT {_PART} AS part, round(avg(lse - z[y + 1]), 6) AS loss, count(*) AS n FROM p GROUP BY ALL")
+def _(spark, sf):
+    return M.nll(_parted(spark, sf)).withColumn("loss", F.round("loss", 6))
+
+
+_QUANT = "SELECT p_partkey AS id, (SELECT count(*) FROM unnest(q) t(c) WHERE c <= p_retailprice)::BIGINT AS y FROM part, (SELECT quantile_cont(p_retailprice, [0.2, 0.4, 0.6, 0.8]) AS q FROM part)"
+
+
+def _quantiles(spark, sf):
+    return M.quantile_labels(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("v")), 5)
+
+
+@query("quantile_labels", _QUANT)
+def _(spark, sf):
+    return _quantiles(spark, sf)
+
+
+@query("label_histogram", f"SELECT y, count(*) AS n FROM ({_QUANT}) GROUP BY y")
+def _(spark, sf):
+    return _quantiles(spark, sf).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MASS = _SPD + ", per AS (SELECT dst, bin AS hop, sum(1 + (src * 7 + dst * 3) % 5)::DOUBLE AS m FROM spd GROUP BY dst, bin), c AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY dst ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(m) OVER (PARTITION BY dst) AS t FROM per), share AS (SELECT dst, hop, m / sum(m) OVER (PARTITION BY dst) AS share FROM c WHERE b < t * 0.9 - 1e-12)"
+
+
+def _shares(spark, sf):
+    spd = _spd(spark, sf)
+    att = spd.select("src", "dst", (1 + (F.col("src") * 7 + F.col("dst") * 3) % 5).cast("double").alias("w"))
+    return M.hop_mass(att, spd, 0.9)
+
+
+@query("hop_mass", _MASS + " SELECT dst, hop, round(share, 9) AS share FROM share")
+def _(spark, sf):
+    return _shares(spark, sf).withColumn("share", F.round("share", 9))
+
+
+@query("hop_report", _MASS + ", r AS (SELECT hop, sum(share) / (SELECT count(DISTINCT dst) FROM share) AS ratio FROM share GROUP BY hop) SELECT hop, round(ratio, 9) AS ratio, round(CASE WHEN hop > 0 THEN ratio / (SELECT sum(ratio) FROM r WHERE hop > 0) ELSE 0 END, 9) AS graph_ratio FROM r")
+def _(spark, sf):
+    return M.hop_report(_shares(spark, sf)).select("hop", F.round("ratio", 9).alias("ratio"), F.round("graph_ratio", 9).alias("graph_ratio"))
+
+
+_RUNS = "runs AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS epoch, value::DOUBLE AS loss FROM events QUALIFY epoch <= 20)"
+
+
+def _runs(spark, sf):
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf, "events").select(F.col("event_type").alias("run"), F.col("value").cast("double").alias("loss"), "event_id")
+    r = F.row_number().over(W.partitionBy("run").orderBy("event_id")).cast("bigint")
+    return e.withColumn("epoch", r).where("epoch <= 20").select("run", "epoch", "loss")
+
+
+@query("ema_loss", f"WITH RECURSIVE {_RUNS}, f AS (SELECT run, epoch, loss AS ema FROM runs WHERE epoch = 1 UNION ALL SELECT f.run, r.epoch, f.ema * 0.9 + r.loss * 0.1 FROM f JOIN runs r ON r.run = f.run AND r.epoch = f.epoch + 1) SELECT run, round(arg_max(ema, epoch), 6) AS ema FROM f GROUP BY run")
+def _(spark, sf):
+    return M.ema(_runs(spark, sf)).withColumn("ema", F.round("ema", 6))
+
+
+@query("best_by_val", f"WITH {_RUNS} SELECT run, epoch, test FROM (SELECT run, epoch, loss AS test, row_number() OVER (PARTITION BY run ORDER BY floor(loss / 20) DESC, epoch) AS k FROM runs) WHERE k = 1")
+def _(spark, sf):
+    return M.best_by_validation(_runs(spark, sf).select("run", "epoch", F.floor(F.col("loss") / 20).alias("valid"), F.col("loss").alias("test")))
+
+
+@query("profile_rollup", "WITH r AS (SELECT event_type AS name, user_id % 4 AS k, count(*) AS n, sum(round(value)::BIGINT) AS t FROM events GROUP BY ALL) SELECT name, sum(n)::BIGINT AS n, sum(t)::BIGINT AS total, round(sum(t) / sum(n), 6) AS mean, max(t)::BIGINT AS slowest_rank_total FROM r GROUP BY name")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 4).alias("rank"), F.round("value").cast("bigint").alias("ms"))
+    return M.profile_rollup(e).withColumn("mean", F.round("mean", 6))
+
+
+@query("lr_schedule", "SELECT s AS step, round(CASE WHEN s < 10 THEN s * 0.001 / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * (s - 10) / 90)) END, 9) AS cosine, round(CASE WHEN s < 10 THEN s * 0.001 / 10 ELSE 0.0001 + 0.0009 * (1 - (s - 10) / 90) END, 9) AS poly FROM range(100) t(s)")
+def _(spark, sf):
+    s = F.col("id")
+    return spark.range(100).select(s.alias("step"), F.round(M.learning_rate(s, 0.001, 10, 100), 9).alias("cosine"), F.round(M.learning_rate(s, 0.001, 10, 100, 0.0001, 1.0), 9).alias("poly"))
+
+
+# --- planning
+
+
+@query("plan_choice", "WITH p AS (SELECT a, b, 12 - a - b AS c FROM range(13) x(a), range(13) y(b) WHERE a + b <= 12), q AS (SELECT *, (a * 1.0 + b * 3.0 + c * 1.6)::DOUBLE * 1.05::DOUBLE AS peak, (10.0::DOUBLE + a * 0.8::DOUBLE) + greatest(0, c * 2.0 - 10.0)::DOUBLE AS t FROM p) SELECT round(t, 6) AS t, round(peak, 6) AS peak, a, b, c FROM q WHERE peak <= 24 ORDER BY round(t, 6), round(peak, 6), a, b, c LIMIT 1")
+def _(spark, sf):
+    return B.plan_choice(spark, 12, 24.0).select(F.round("t", 6).alias("t"), F.round("peak", 6).alias("peak"), "a", "b", "c")
+
+
+@query("working_set", f"WITH {_ITEM}, e AS (SELECT count(*) AS e FROM item) SELECT w, l, 48 * e + 8 * c + 8 * (c + 1) + 8 * c * w * (l + 1) + 33 * c * w + 16 * c * w * l AS bytes FROM e, n, range(1, 5) a(w), range(1, 5) b(l)")
+def _(spark, sf):
+    e = G.item_edges(spark, sf).agg(F.count(F.lit(1)).alias("e"))
+    grid = spark.range(1, 5).select(F.col("id").alias("w")).crossJoin(spark.range(1, 5).select(F.col("id").alias("l"))).crossJoin(F.broadcast(e))
+    return grid.select("w", "l", B.working_set(F.col("e"), F.lit(G.n_nodes(spark, sf)), F.col("w"), F.col("l")).alias("bytes"))
+
+
+@query("budget_grid", "SELECT a * 2 AS real, b * 2 AS rw FROM range(5) x(a), range(5) y(b) WHERE a * 2 + b * 2 <= 8 AND a + b > 0")
+def _(spark, sf):
+    return B.initial_grid(spark, 8)
+
+
+_PROBES = "p AS (SELECT event_id // 10 AS round, CASE event_id % 2 WHEN 0 THEN 'real_up' ELSE 'rw_up' END AS kind, avg(value) + 1 AS base, max(value) AS cand FROM events GROUP BY ALL)"
+
+
+@query("probe_gain", f"WITH {_PROBES}, g AS (SELECT round, kind, round((base - cand) / greatest(base, 1e-6), 6) AS gain FROM p) SELECT round, kind, gain FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY gain DESC, kind DESC) AS k FROM g) WHERE k = 1")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 2 == 0, "real_up").otherwise("rw_up")
+    p = e.groupBy(F.expr("event_id div 10").alias("round"), kind.alias("kind")).agg((F.avg("value") + 1).alias("base"), F.max("value").alias("cand"))
+    return B.probe_choice(p).withColumn("gain", F.round("gain", 6))
+
+
+@query("random_batches", f"SELECT vec_id AS id, (row_number() OVER (ORDER BY {_hn('vec_id', 5)}, vec_id) - 1) // 64 AS batch FROM embeddings")
+def _(spark, sf):
+    from pyspark.sql import Window as W
+
+    r = F.row_number().over(W.orderBy(node_key(F.col("id"), 5), "id")) - 1
+    return G.nodes(spark, sf).select("id", F.floor(r / 64).cast("bigint").alias("batch"))

@@ -43,7 +43,7 @@ def walks(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed
     """
     adj = cut(adjacency(edges), "adjacency")
     deg = adj.where("pos = 0").select(F.col("src").alias("node"), "deg")
-    now = starts.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))).cast("bigint").alias("walk")).withColumn("node", F.col("start"))
+    now = starts.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_start - 1).cast("bigint"))).alias("walk")).withColumn("node", F.col("start"))
     path = now.withColumn("path", F.array("start"))
     for step in range(1, length + 1):
         drawn = path.join(deg, "node", "left").withColumn("_p", walk_key(F.col("start"), F.col("walk"), step, seed) % F.col("deg")).drop("deg")
