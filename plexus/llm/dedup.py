@@ -23,6 +23,8 @@ from plexus.session import cut, drop, new_path, table
 SPACE = " \t\n\x0b\x0c\r"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_PARTS = "spark.sql.streaming.internal.stateStore.partitions"
+STATE_ROWS = 1_000_000
 LAST_ID = 9223372036854775807
 
 
@@ -41,10 +43,13 @@ def sha256(text: Column, generation: int) -> Column:
 def absorb(spark: SparkSession, feed: str, checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream the feed's new files into the state under ``checkpoint``; the state as a table.
 
-    A later call with more files in ``feed`` goes on from the state that is there.
+    A later call with more files in ``feed`` goes on from the state that is there, with the number of
+    state partitions chosen at first: one for STATE_ROWS rows, 4 at least. Each keeps a RocksDB of its own.
     """
-    before = spark.conf.get(STORE, None)
+    parts = max(4, -(-spark.read.parquet(feed).count() // STATE_ROWS))
+    held = {k: spark.conf.get(k, None) for k in (STORE, STATE_PARTS)}
     spark.conf.set(STORE, ROCKS)
+    spark.conf.set(STATE_PARTS, str(parts))
     try:
         read = spark.readStream.schema("digest binary, id bigint, n_points bigint, file string")
         if files_per_trigger:
@@ -56,10 +61,8 @@ def absorb(spark: SparkSession, feed: str, checkpoint: str, files_per_trigger: i
         query = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(checkpoint)
     return state.select("key.digest", F.col("value.count").alias("group_size"), (-F.col("value.max.minus_id")).alias("keep"), F.col("value.max.file").alias("file"))
 
@@ -82,12 +85,12 @@ def decide(docs: DataFrame, digest: Callable[[Column, int], Column] = sha256) ->
         found = spark.read.parquet(feed).join(state.drop("file"), "digest").select("id", "digest", "group_size", "keep")
 
         # Hits: full contents side by side. AQE splits the side on which one digest has many rows.
-        contents = rows.select("id", "text", plain.alias("plain"))
+        contents = rows.select("id", "text")
         hits = found.where((F.col("group_size") > 1) & (F.col("id") != F.col("keep"))).select("id", "digest").distinct()
         kept = state.where("group_size > 1").select("digest", F.col("keep").alias("id"))
-        same = digest(F.col("plain"), generation).cast("binary") == F.col("digest")
-        mine = contents.join(hits, "id").where(same)
-        theirs = contents.join(kept, "id").where(same).groupBy("digest").agg(F.first("plain").alias("kept_plain"))
+        same = key == F.col("digest")
+        mine = contents.join(hits, "id").where(same).withColumn("plain", plain)
+        theirs = contents.join(kept, "id").where(same).groupBy("digest").agg(F.first(plain).alias("kept_plain"))
         differ = cut(mine.join(theirs, "digest").where(F.col("plain") != F.col("kept_plain")).select("id", "digest", "text"), "dedup-differ")
         if differ.isEmpty():
             drop(differ)
