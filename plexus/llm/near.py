@@ -4,11 +4,12 @@ Every distinct word shingle falls into one of ``REGISTERS`` buckets by its hash;
 smallest hash, the number of leading zeros and ten bits that follow. Equal bands of registers propose
 pairs; the collision-corrected share of equal registers screens them; the full sets confirm.
 
-No pairs are formed within large bands. Each band elects as leader the document that shares most bands
-with others, every other member is tried against it, and the links found so far name components. Only
-members of different components that still share a band are tried among themselves: in small bands
-directly, in large ones in blocks of registers, of which only likely pairs come back. So every pair of
-different texts that shares a band is confirmed, refuted, or already in one component.
+No pairs are formed within bands. Each band elects as leader the document that shares most bands with
+others, every other member is tried against it, and the links found so far name components. Documents
+of different components that still share a band are gathered in groups and compared block by block:
+pairs that share no band are passed over, the estimate screens the rest, products of incidence matrices
+give the exact intersections, and only links that join components come back. So every pair of different
+texts that shares a band is confirmed, refuted, or already in one component.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and stays. A text of fewer
 words than a shingle is one shingle. Rows that share an identifier are one document; a null identifier
@@ -34,13 +35,16 @@ LAST_ID = 9223372036854775807
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Bands above this many classes are compared in blocks of BLOCK.
-SMALL, BLOCK = 64, 256
+#: Groups above this many texts are compared block by block.
+BLOCK = 512
 MEMO = 500_000
 U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=U)
 
 
+_SALTS = np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
@@ -71,28 +75,50 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(s)
 
 
-def registers(s: np.ndarray) -> np.ndarray:
-    """Compressed registers of a sorted set of hashes; 0 marks an empty bucket."""
-    out = np.zeros(REGISTERS, np.uint16)
-    if len(s):
-        bucket = ((s >> U(48)) * U(REGISTERS)) >> U(16)
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        low = _mix(s) & U((1 << 48) - 1)
-        low = np.minimum.reduceat(low, first)
-        bits = np.frexp(low.astype(np.float64))[1].astype(U)
-        zeros = np.minimum(U(48) - bits, U(62))
-        mantissa = ((low << (U(48) - bits)) >> U(47 - MANTISSA)) & U((1 << MANTISSA) - 1)
-        out[bucket[first].astype(np.int64)] = ((zeros + U(1)) << U(MANTISSA)) | mantissa
-    return out
+def copies_of(n: int) -> int:
+    """How many differently salted hashes each of n shingles gets, so that small sets fill their buckets too."""
+    for least, t in ((1200, 1), (300, 4), (75, 16), (19, 64)):
+        if n >= least:
+            return t
+    return 256
+
+
+def all_copies(n: int) -> list[int]:
+    """The set's own number and, where a linked set of four fifths of its size has another one, that too."""
+    return sorted({copies_of(n), copies_of(-(-4 * n // 5))})
+
 
+def registers(s: np.ndarray, copies: int) -> np.ndarray:
+    """Compressed registers of a set of hashes; 0 marks an empty bucket.
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band that is not empty."""
+    Salting every member gives a set of ``copies`` times the size and the same similarities.
+    """
+    x = _mix((s[None, :] + _SALTS[:copies, None]) * _MULT[1]).reshape(-1)
+    bucket = (((x >> U(48)) * U(REGISTERS)) >> U(16)).astype(np.int64)
+    low = np.full(REGISTERS, (1 << 48) - 1, U)
+    np.minimum.at(low, bucket, x & U((1 << 48) - 1))
+    used = np.zeros(REGISTERS, bool)
+    used[bucket] = True
+    bits = np.frexp(low.astype(np.float64))[1].astype(U)
+    zeros = np.minimum(U(48) - bits, U(62))
+    mantissa = ((low << (U(48) - bits)) >> U(47 - MANTISSA)) & U((1 << MANTISSA) - 1)
+    return np.where(used, ((zeros + U(1)) << U(MANTISSA)) | mantissa, U(0)).astype(np.uint16)
+
+
+def bands(regs: np.ndarray, copies: int) -> np.ndarray:
+    """One 64-bit key for each band; 0 for an empty one."""
     r = regs.reshape(BANDS, ROWS).astype(U)
-    key = np.arange(1, BANDS + 1, dtype=U) * _MULT[5]
+    key = (np.arange(1, BANDS + 1, dtype=U) + U(1000 * copies)) * _MULT[5]
     for j in range(ROWS):
         key = _mix(key + r[:, j] * _MULT[j])
-    return key[r.any(axis=1)].view(np.int64)
+    return np.where(r.any(axis=1), key, U(0)).view(np.int64)
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    if not len(s):
+        return np.zeros(0, np.int64)
+    keys = np.concatenate([bands(registers(s, t), t) for t in all_copies(len(s))])
+    return keys[keys != 0]
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -129,22 +155,23 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(w, width)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
-                keys.append(bands(registers(s)) if len(s) else np.zeros(0, np.int64))
+                keys.append(band_keys(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys, pa.int64())], ["id", "n_shingles", "digest", "keys"])
 
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, registers, members): the registers and the whole set of shingle hashes."""
+    """(id, copies, registers, members): the registers and the whole set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches):
             sets = [shingles(_words(t), width) for t in texts]
-            regs = [registers(s).astype(np.int32) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(regs, pa.int32()), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "registers", "members"])
+            regs = [registers(s, copies_of(len(s))).astype(np.int32) for s in sets]
+            kinds = pa.array([copies_of(len(s)) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kinds, _lists(regs, pa.int32()), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "copies", "registers", "members"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, registers array<int>, members array<bigint>")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, copies int, registers array<int>, members array<bigint>")
 
 
 def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> tuple[Column, Column]:
@@ -159,44 +186,104 @@ def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> tuple[Column, Co
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, screened by estimate first."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("registers").alias(f"r_{x}"), F.col("members").alias(f"m_{x}"))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("copies").alias(f"k_{x}"), F.col("registers").alias(f"r_{x}"), F.col("members").alias(f"m_{x}"))
     n = lambda x: F.size(f"m_{x}")
     guess, used = estimate(F.col("r_a"), F.col("r_b"), n("a"), n("b"))
     share = percent / 100
     likely = guess >= share - 6 * F.sqrt(share * (1 - share) / used)  # six standard deviations below
+    likely |= F.col("k_a") != F.col("k_b")  # registers of two kinds do not compare
     sized = 100 * F.least(n("a"), n("b")) >= percent * F.greatest(n("a"), n("b"))
     common = F.size(F.array_intersect("m_a", "m_b"))
     linked = 100 * common >= percent * (n("a") + n("b") - common)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & likely & linked).select("a", "b").distinct()
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of incidence matrices."""
+    sizes = [len(x) for x in (*left, *right)]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    value, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    n = len(left)
+    both = (np.bincount(column[row < n], minlength=len(value)) > 0) & (np.bincount(column[row >= n], minlength=len(value)) > 0)
+    number = np.cumsum(both) - 1
+    keep = both[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, len(right)), np.float64)
+    for at in range(0, int(both.sum()), width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        m = np.zeros((len(sizes), width), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        out += m[:n] @ m[n:].T
+    return out.astype(np.int64)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of links a-b between components x and y, those that join what is not joined yet."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = v = root.get(root[v], root[v])
+        return v
+
+    found = []
+    _, first = np.unique(np.stack([x, y]), axis=1, return_index=True)
+    for i in first:
+        p, q = find(int(x[i])), find(int(y[i]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            found.append((min(int(a[i]), int(b[i])), max(int(a[i]), int(b[i]))))
+    return found
+
+
+def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links of different components between two blocks of (cls, label, members)."""
+    sets = [[np.asarray(m).view(U) for m in side["members"]] for side in (left, right)]
+    open_ = common([band_keys(s) for s in sets[0]], [band_keys(s) for s in sets[1]]) > 0
+    label = [side["label"].to_numpy() for side in (left, right)]
+    open_ &= label[0][:, None] != label[1][None, :]
+    n = [np.array([len(s) for s in side]) for side in sets]
+    open_ &= 100 * np.minimum.outer(n[0], n[1]) >= percent * np.maximum.outer(n[0], n[1])
+    p, q = np.nonzero(open_)
+    if not len(p):
+        return []
+    # Screening by the collision-corrected estimate, where both have registers of one kind.
+    kind = [np.array([copies_of(len(s)) for s in side]) for side in sets]
+    regs = [np.stack([registers(s, int(k)) for s, k in zip(side, ks, strict=True)]) for side, ks in zip(sets, kind, strict=True)]
+    share, likely = percent / 100, np.zeros(len(p), bool)
+    chance = 0.169919487159739 / (1 << MANTISSA)  # the largest collision share
+    for at in range(0, len(p), 20_000):
+        i, j = p[at : at + 20_000], q[at : at + 20_000]
+        x, y = regs[0][i], regs[1][j]
+        used = np.maximum(((x != 0) | (y != 0)).sum(1), 1)
+        guess = (((x == y) & (x != 0)).sum(1) / used - chance) / (1 - chance)
+        likely[at : at + 20_000] = (guess >= share - 6 * np.sqrt(share * (1 - share) / used)) | (kind[0][i] != kind[1][j])
+    p, q = p[likely], q[likely]
+    if not len(p):
+        return []
+    rows, cols = np.unique(p), np.unique(q)
+    both = common([sets[0][i] for i in rows], [sets[1][j] for j in cols])[np.searchsorted(rows, p), np.searchsorted(cols, q)]
+    linked = 100 * both >= percent * (n[0][p] + n[1][q] - both)
+    p, q = p[linked], q[linked]
+    if not len(p):
+        return []
+    return _spanning(left["cls"].to_numpy()[p], right["cls"].to_numpy()[q], label[0][p], label[1][q])
+
+
 def _blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components in bands of any size, by comparing blocks of registers."""
+    """Links (a, b) within groups of (grp, cls, label, size) of any size, block against block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = members.withColumns({"_n": blocks, "_b": F.pmod(F.xxhash64("cls"), blocks).cast("int")}).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("key", "cls", "label", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).join(sets.select(F.col("id").alias("cls"), "registers"), "cls")
-    floor = percent / 100
+    rows = rows.select("grp", "cls", "label", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).join(sets.select(F.col("id").alias("cls"), "members"), "cls")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["_i"].iat[0], pdf["_j"].iat[0]
-        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        a, b = np.stack(left["registers"].to_list()) if len(left) else None, np.stack(right["registers"].to_list()) if len(right) else None
-        if a is None or b is None:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        equal, used = np.zeros((len(a), len(b)), np.int32), np.zeros((len(a), len(b)), np.int32)
-        for k in range(REGISTERS):
-            x, y = a[:, k][:, None], b[:, k][None, :]
-            equal += (x == y) & (x != 0)
-            used += (x != 0) | (y != 0)
-        used = np.maximum(used, 1)
-        chance = 0.169919487159739 / (1 << MANTISSA)  # the largest collision share
-        likely = (equal / used - chance) / (1 - chance) >= floor - 6 * np.sqrt(floor * (1 - floor) / used)
-        likely &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
-        p, q = np.nonzero(likely)
-        x, y = left["cls"].to_numpy()[p], right["cls"].to_numpy()[q]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-    return rows.groupBy("key", "_i", "_j").applyInPandas(compare, "a bigint, b bigint")
+        left, right = pdf[pdf["_b"] == pdf["_i"].iat[0]], pdf[pdf["_b"] == pdf["_j"].iat[0]]
+        found = _block_links(left, right, percent) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("grp", "_i", "_j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -227,17 +314,18 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     at = members.join(label, members["cls"] == label["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("label"))
     at = cut(at, "near-labels")
-    open_ = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "size")
-    rest = cut(at.join(open_, "key"), "near-rest")
-    few = rest.where(F.col("size") <= SMALL).select("key", "cls", "label")
-    near = few.withColumnsRenamed({"cls": "b", "label": "lb"})
-    direct = few.withColumnsRenamed({"cls": "a", "label": "la"}).join(near, "key").where("a < b and la <> lb").select("a", "b")
-    more = direct.unionAll(_blocked(rest.where(F.col("size") > SMALL), sets, percent)).distinct().join(tried, ["a", "b"], "left_anti")
-    links2 = cut(confirm(more, sets, percent), "near-links")
+    # Bands of two are tried already; what larger ones hold together is compared as one group.
+    open_ = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cls").alias("first")).where("lo <> hi and size > 2").select("key", "first")
+    rest = at.join(open_, "key").select("cls", "label", "first").distinct()
+    rest = cut(rest, "near-rest")
+    group = components(rest.select(F.col("cls").alias("u"), F.col("first").alias("v"))).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    held = rest.select("cls", "label").distinct().join(group, "cls")
+    held = cut(held.join(held.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp"), "near-groups")
+    links2 = cut(_blocked(held, sets, percent), "near-links")
     final = components(links.unionAll(links2).select(F.col("a").alias("u"), F.col("b").alias("v")))
     out = named.join(final, named["cls"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "cls").alias("component"))
     out = cut(out, "near-out")
-    drop(rows, named, members, tried, sets, links, at, rest, links2)
+    drop(rows, named, members, tried, sets, links, at, rest, held, links2)
     return out
 
 
