@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Arrow batches end at this size as well as at Spark's number of rows: 10,000 long texts would fill a worker's memory.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +54,13 @@ def drop(*tables: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once for each Spark application."""
+    """Send this package's source to the executors, once for each Spark application.
+
+    Also bounds the bytes of a batch that goes to Python, unless the session has a bound of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
