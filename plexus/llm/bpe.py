@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plexus.session import ship, table
 
 #: Words a worker remembers before it starts anew; it bounds memory, not results.
-MEMO = 400_000
+MEMO = 100_000
 #: Below this code point, but for U+0130, every character is its own NFC form and has one lower-case character.
 PLAIN = 0x180
 

@@ -37,7 +37,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Groups above this many texts are compared block by block.
 BLOCK = 512
-MEMO = 500_000
+MEMO = 100_000
 U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=U)
 

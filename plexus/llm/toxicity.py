@@ -30,7 +30,7 @@ FIT_CHARS = 20_000
 GRAM, LEVEL = 4, 12
 SHARED_BYTES, TOXIC_BYTES, ORDINARY_BYTES = 110_000, 6144, 24_576
 #: Windows whose lengths a worker remembers before it starts anew; it bounds memory, not results.
-MEMO = 500_000
+MEMO = 100_000
 CELLS = 96
 WORD = re.compile(r"[^\W\d_]+")
 
