@@ -12,8 +12,9 @@ give the exact intersections, and only links that join components come back. So
 texts that shares a band is confirmed, refuted, or already in one component.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and stays. A text of fewer
-words than a shingle is one shingle. Rows that share an identifier are one document; a null identifier
-counts as the largest 64-bit number. Further columns have no influence.
+words than a shingle is one shingle. Texts are what is linked: rows of a null or a repeated identifier
+have nothing to do with each other unless their texts are alike. A null identifier counts as the largest
+64-bit number where the smallest one is sought. Further columns have no influence.
 """
 
 from __future__ import annotations
@@ -144,21 +145,22 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterato
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n_shingles, digest, keys): set size, digest of the word sequence, band keys."""
+    """(id, raw, n_shingles, digest, keys): set size, digest of the word sequence, band keys."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches):
-            n, digest, keys = [], [], []
+            n, raw, digest, keys = [], [], [], []
             for t in texts:
                 w = _words(t)
                 s = shingles(w, width)
                 n.append(len(s))
+                raw.append(hashlib.sha256(t or b"").digest())
                 digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
                 keys.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys, pa.int64())], ["id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys, pa.int64())], ["id", "raw", "n_shingles", "digest", "keys"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, raw binary, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -286,28 +288,39 @@ def _blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("grp", "_i", "_j").applyInPandas(compare, "a bigint, b bigint")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with id and raw, the hash of the text as it stands."""
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), "raw": F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))})
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component) of every row of ``docs`` (doc_id, text).
+    """(id, raw, n_shingles, component, kept) of every row of ``docs`` (doc_id, text).
 
-    ``component`` is the smallest identifier reachable over links of at least ``percent`` similarity.
+    ``component`` is the smallest identifier reachable over links of at least ``percent`` similarity, ``kept``
+    marks the one row that stays of a component. Nodes are texts, whatever identifiers their rows have.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("id"), "text")
-    rows = cut(sketch(docs, width), "near-rows")
-    same = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("cls"))
-    named = cut(rows.select("id", "n_shingles", "digest").join(same, "digest", "left").select("id", "n_shingles", F.coalesce("cls", "id").alias("cls")), "near-classes")
-
-    # Bands in which more than one text meets.
-    spread = rows.where("n_shingles > 0").select(F.explode("keys").alias("key"), "id", F.xxhash64("digest").alias("d"))
-    shared = spread.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key")
-    members = cut(spread.join(shared, "key").join(named.select("id", "cls").distinct(), "id").select("key", "cls").distinct(), "near-members")
+    docs = _keyed(docs).select("id", "raw", "text")
+    rows = cut(sketch(docs, width).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    least = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("id", "raw", "row")).alias("best"))
+    # Numbers of the texts hold from here on, since they are read from the files.
+    same = cut(least.withColumn("cls", F.monotonically_increasing_id()), "near-texts")
+    named = cut(rows.select("id", "raw", "row", "n_shingles", "digest").join(same.select("digest", "cls"), "digest", "left").drop("digest"), "near-classes")
+
+    # Bands in which more than one text meets; each text is there once.
+    once = rows.select("row", "keys").join(same.select("cls", F.col("best.row").alias("row")), "row")
+    spread = once.select(F.explode("keys").alias("key"), "cls")
+    shared = spread.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    members = cut(spread.join(shared, "key").distinct(), "near-members")
 
     # Leaders, and every member against its leader.
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     weight = members.join(sizes, "key").groupBy("cls").agg(F.sum("size").alias("weight"))
     leaders = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cls")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("leader"))
     tried = cut(members.join(leaders, "key").where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "near-tried")
-    wanted = members.select(F.col("cls").alias("id")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "id", "left_semi"), width), "near-sets")
+    wanted = members.select("cls").distinct().join(same, "cls").select("cls", "best.id", "best.raw")
+    # Rows that repeat both identifier and text give their text once.
+    texts = docs.join(wanted, ["id", "raw"]).groupBy("cls").agg(F.first("text").alias("text"))
+    sets = cut(full_sets(texts.select(F.col("cls").alias("id"), "text"), width), "near-sets")
     links = cut(confirm(tried, sets, percent), "near-links")
 
     # Members of different components that still share a band.
@@ -323,19 +336,29 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     held = cut(held.join(held.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp"), "near-groups")
     links2 = cut(_blocked(held, sets, percent), "near-links")
     final = components(links.unionAll(links2).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    out = named.join(final, named["cls"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "cls").alias("component"))
+    at_last = same.join(final, same["cls"] == final["node"], "left").select("cls", "best", F.coalesce("component", "cls").alias("grp"))
+    at_last = cut(at_last, "near-last")
+    stays = at_last.groupBy("grp").agg(F.min("best").alias("first"))
+    place = at_last.join(stays, "grp").select("cls", "first")
+    out = named.join(place, "cls", "left").select("id", "raw", "n_shingles", F.coalesce("first.id", "id").alias("component"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"))
     out = cut(out, "near-out")
-    drop(rows, named, members, tried, sets, links, at, rest, held, links2)
+    drop(rows, same, named, members, tried, sets, links, at, rest, held, links2, at_last)
     return out
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"), width=4)
     ident = lambda c: F.nullif(F.col(c), F.lit(LAST_ID))
-    return found.select(ident("id").alias("doc_id"), "n_shingles", ident("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(ident("id").alias("doc_id"), "n_shingles", ident("component").alias("component_id"), "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest identifier."""
-    stays = classes(docs, width=5).where("id = component").select(F.col("id").alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(LAST_ID))).join(stays, "_id", "left_semi").select(*docs.columns)
+    """One row of each group stays: of the smallest identifier and, where several texts have it, the least hash."""
+    found = classes(docs, width=5)
+    stays = found.groupBy("id", "raw").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size")).where("kept")
+    stays = cut(stays.select("id", "raw", F.expr("n > 1 and size > 0").alias("again")), "near-stays")
+    held = _keyed(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"))
+    alone = held.join(stays.where("not again"), ["id", "raw"], "left_semi").select("doc")
+    # Rows alike in identifier and text: the one whose other columns come first.
+    again = held.join(stays.where("again"), ["id", "raw"], "left_semi").groupBy("id", "raw").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc")
+    return alone.unionAll(again).select("doc.*")
