@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.operators.edges import bidirect
-from plexus.session import cut
+from plexus.session import cut, drop
 
 
 def reception_cone(edges: DataFrame, probes: DataFrame, layers: int) -> DataFrame:
@@ -86,36 +86,89 @@ def ppr_topk(edges: DataFrame, sources: DataFrame, k: int, rounds: int = 4, c: f
     return ranked.where(F.col("rank") <= k).select(F.col("source").alias("src"), F.col("at").alias("dst"), "rank")
 
 
-def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, rounds: int = 8) -> DataFrame:
-    """(id, pe): k vectors for the smallest nontrivial eigenvalues of the normalised Laplacian.
+def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: float = 1e-6, most_rounds: int = 300) -> DataFrame:
+    """(id, pe): k vectors for the smallest nontrivial eigenvalues of the normalised Laplacian of the
+    bidirected graph with self loops.
 
-    Block power iteration of I + D^-1/2 A D^-1/2 with the trivial vector taken out; the k by k products
-    that orthogonalise come to the driver, the vectors do not. Signs and rotations are arbitrary.
+    Rayleigh-Ritz over a block of k + 6 vectors, their residuals and last steps, with the trivial vector taken
+    out, until the first k residuals of D^-1/2 (A + I) D^-1/2 are at most ``tolerance`` long; raises where they
+    are not after ``most_rounds``. Only products of the block's columns come to the driver. Signs and, for equal
+    eigenvalues, rotations are arbitrary; with fewer than k + 1 nodes there are fewer vectors.
     """
     import numpy as np
+    import pandas as pd
 
-    a = bidirect(edges).where("src <> dst")
-    deg = cut(ids.select("id").join(a.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg")), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg")), "pe-degree")
-    s = deg.select("id", F.greatest("deg", F.lit(1)).alias("g"))
-    w = a.join(s.select(F.col("id").alias("src"), F.col("g").alias("gs")), "src").join(s.select(F.col("id").alias("dst"), F.col("g").alias("gd")), "dst")
-    w = cut(w.select("src", "dst", (1 / F.sqrt(F.col("gs").cast("double") * F.col("gd"))).alias("w")), "pe-weights")
     from plexus.functions.keys import node_key
 
-    x = deg.select("id", F.sqrt(F.col("deg").cast("double")).alias("c0"), *[(node_key(F.col("id"), j + 1) / 2147483648.0 - 0.5).alias(f"c{j + 1}") for j in range(k)])
-    cols = [f"c{j}" for j in range(k + 1)]
-    for _ in range(rounds):
-        m = w.join(x.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in cols])
-        y = x.join(m.withColumnRenamed("dst", "id"), "id", "left").select("id", *[(F.col(c) + F.coalesce(f"s{c}", F.lit(0.0))).alias(c) for c in cols])
-        y = cut(y, "pe-step")
-        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-        got = y.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-        gram = np.zeros((k + 1, k + 1))
-        for (i, j), v in zip(pairs, got, strict=True):
-            gram[i, j] = gram[j, i] = v or 0.0
-        r = np.linalg.cholesky(gram + 1e-12 * np.eye(k + 1))
-        t = np.linalg.inv(r).T  # y @ t has orthonormal columns, the first one along the trivial vector
-        x = y.select("id", *[reduce(lambda p, q: p + q, [F.col(cols[i]) * float(t[i, j]) for i in range(j + 1)]).alias(cols[j]) for j in range(k + 1)])
-    return x.select("id", F.array(*cols[1:]).alias("pe"))
+    n = ids.count()
+    k, b = max(0, min(k, n - 1)), max(0, min(k + 6, n - 1))
+    if not k:
+        return ids.select("id", F.array().cast("array<double>").alias("pe"))
+    w = cut(sym_norm(edges, ids), "pe-weights")
+    degree = w.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    total = degree.agg(F.sum("deg")).first()[0]
+    # Columns of s: the trivial vector, the block, its residuals, its last steps; ms is the matrix times s.
+    start = degree.select("id", (F.sqrt("deg") / total**0.5).alias("t"), F.array(*[node_key(F.col("id"), j + 1) / 2147483648.0 - 0.5 for j in range(b)]).alias("r"))
+
+    def times(now: DataFrame) -> DataFrame:
+        sums = w.join(now.select(F.col("id").alias("src"), "r"), "src").groupBy("dst").agg(*[F.sum(F.col("w") * F.get("r", F.lit(j))).alias(f"c{j}") for j in range(b)])
+        moved = sums.select(F.col("dst").alias("id"), F.array(*[f"c{j}" for j in range(b)]).alias("mr"))
+        return cut(now.join(moved, "id"), "pe-step")
+
+    def products(batches):
+        got = 0
+        for d in batches:
+            s, ms = (np.concatenate([d[["t"]].to_numpy(), *(np.stack(d[c].to_list()) for c in cs if len(d[c].iat[0]))], axis=1) for cs in (("x", "r", "p"), ("mx", "mr", "mp")) if len(d))
+            got = got + np.stack([s.T @ s, s.T @ ms])
+        if not np.isscalar(got):
+            yield pd.DataFrame({"g": [got.ravel().tolist()]})
+
+    empty = F.array().cast("array<double>")
+    now, theta = start.select("id", "t", *[empty.alias(c) for c in ("x", "mx", "p", "mp")], "r"), None
+    held = None
+    for _ in range(most_rounds):
+        now = times(now)
+        if held is not None:
+            drop(held)
+        held = now
+        parts = [np.array(r["g"]) for r in now.mapInPandas(products, "g array<double>").collect()]
+        g, h = sum(parts).reshape(2, *[int(round((len(parts[0]) / 2) ** 0.5))] * 2)
+        m = len(g)
+        if theta is not None and np.sqrt(np.maximum(np.diag(g)[1 + b : 1 + b + k], 0)).max() <= tolerance:
+            return now.select("id", F.slice("x", 1, k).alias("pe"))
+        # Unit columns without their share of the trivial vector, which the matrix leaves as it is.
+        out = np.eye(m)[:, 1:]
+        out[0] = -g[0, 1:] / g[0, 0]
+        out /= np.sqrt(np.maximum(np.diag(out.T @ g @ out), 1e-300))
+        value, vector = np.linalg.eigh(out.T @ g @ out)
+        base = out @ (vector[:, value > 1e-10] / np.sqrt(value[value > 1e-10]))
+        small = base.T @ h @ base
+        value, vector = np.linalg.eigh((small + small.T) / 2)
+        c = (base @ vector)[:, ::-1][:, :b]
+        theta = value[::-1][:b]
+        step = c.copy()
+        step[0] = 0
+        if m > 1 + b:
+            step[1 : 1 + b] = 0
+        now = _combined(now, c, step, theta)
+    raise RuntimeError("the eigenvectors did not settle")
+
+
+def _combined(now: DataFrame, c, step, theta) -> DataFrame:
+    """The next block, its matrix product, residual and step as combinations of the columns at hand."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for d in batches:
+            if not len(d):
+                continue
+            s, ms = (np.concatenate([d[["t"]].to_numpy(), *(np.stack(d[q].to_list()) for q in cs if len(d[q].iat[0]))], axis=1) for cs in (("x", "r", "p"), ("mx", "mr", "mp")))
+            x, mx = s @ c, ms @ c
+            new = {"x": x, "mx": mx, "p": s @ step, "mp": ms @ step, "r": mx - x * theta}
+            yield pd.DataFrame({"id": d["id"], "t": d["t"]} | {q: list(v) for q, v in new.items()})
+
+    return now.mapInPandas(run, "id bigint, t double, x array<double>, mx array<double>, p array<double>, mp array<double>, r array<double>")
 
 
 def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> DataFrame:
