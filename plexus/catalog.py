@@ -362,12 +362,12 @@ def _(spark, sf):
 
 @query("laplacian_pe")
 def _(spark, sf):
-    return P.laplacian_encoding(S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst"), G.nodes(spark, sf), 2)
+    return P.laplacian_encoding(G.item_edges(spark, sf), G.nodes(spark, sf), 2)
 
 
 @query("partition_relabel")
 def _(spark, sf):
-    return P.partition_relabel(S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst"), G.nodes(spark, sf))
+    return P.partition_relabel(G.item_edges(spark, sf), G.nodes(spark, sf))
 
 
 # --- attention

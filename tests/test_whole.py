@@ -1,8 +1,14 @@
 """Queries and operators that must read all of their input, against brute force."""
 
+import os
+from collections import Counter
+
 import numpy as np
+import pytest
 
+from plexus import catalog
 from plexus.operators import spread
+from plexus.sources import graphs as G
 
 
 def test_laplacian_vectors_span_the_true_ones(spark):
@@ -16,3 +22,20 @@ def test_laplacian_vectors_span_the_true_ones(spark):
     _, vectors = np.linalg.eigh(np.eye(60) - a / np.sqrt(np.outer(d, d)))
     got = np.linalg.qr(np.array([out[i] for i in range(60)]))[0]
     assert np.linalg.svd(got.T @ vectors[:, 1:3])[1].min() > 1 - 1e-6
+
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@tables
+def test_parts_come_from_the_whole_item_graph(spark):
+    near = {}
+    for i, j in G.item_edges(spark, SF).collect():
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    part = {r["id"]: r["id"] for r in G.nodes(spark, SF).collect()}
+    for _ in range(3):
+        votes = {i: Counter(part[j] for j in near.get(i, ())) for i in part}
+        part = {i: min(v, key=lambda p: (-v[p], p)) if v else part[i] for i, v in votes.items()}
+    assert {r["id"]: r["part"] for r in catalog.QUERIES["partition_relabel"](spark, SF).collect()} == part
