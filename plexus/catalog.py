@@ -360,6 +360,11 @@ def _(spark, sf):
     return components(thin.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
+@query("components_all")
+def _(spark, sf):
+    return components(G.purchase_edges(spark, sf).select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
 @query("laplacian_pe")
 def _(spark, sf):
     return P.laplacian_encoding(G.item_edges(spark, sf), G.nodes(spark, sf), 2)

@@ -39,3 +39,18 @@ def test_parts_come_from_the_whole_item_graph(spark):
         votes = {i: Counter(part[j] for j in near.get(i, ())) for i in part}
         part = {i: min(v, key=lambda p: (-v[p], p)) if v else part[i] for i, v in votes.items()}
     assert {r["id"]: r["part"] for r in catalog.QUERIES["partition_relabel"](spark, SF).collect()} == part
+
+
+@tables
+def test_components_of_all_purchases(spark):
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for i, j in G.purchase_edges(spark, SF).collect():
+        p, q = find(i), find(j)
+        root[max(p, q)] = min(p, q)
+    assert dict(map(tuple, catalog.QUERIES["components_all"](spark, SF).collect())) == {v: find(v) for v in root}
