@@ -537,17 +537,31 @@ def _runs(spark, sf):
 
     e = table(spark, sf, "events").select(F.col("event_type").alias("run"), F.col("value").cast("double").alias("loss"), "event_id")
     r = F.row_number().over(W.partitionBy("run").orderBy("event_id")).cast("bigint")
-    return e.withColumn("epoch", r).where("epoch <= 20").select("run", "epoch", "loss")
+    return e.withColumn("epoch", r).select("run", "epoch", "loss")
+
+
+def _best(runs: DataFrame) -> DataFrame:
+    return M.best_by_validation(runs.select("run", "epoch", F.floor(F.col("loss") / 20).alias("valid"), F.col("loss").alias("test")))
 
 
 @query("ema_loss", f"WITH RECURSIVE {_RUNS}, f AS (SELECT run, epoch, loss AS ema FROM runs WHERE epoch = 1 UNION ALL SELECT f.run, r.epoch, f.ema * 0.9 + r.loss * 0.1 FROM f JOIN runs r ON r.run = f.run AND r.epoch = f.epoch + 1) SELECT run, round(arg_max(ema, epoch), 6) AS ema FROM f GROUP BY run")
 def _(spark, sf):
-    return M.ema(_runs(spark, sf)).withColumn("ema", F.round("ema", 6))
+    return M.ema(_runs(spark, sf).where("epoch <= 20")).withColumn("ema", F.round("ema", 6))
+
+
+@query("ema_loss_all")
+def _(spark, sf):
+    return M.ema(_runs(spark, sf))
 
 
 @query("best_by_val", f"WITH {_RUNS} SELECT run, epoch, test FROM (SELECT run, epoch, loss AS test, row_number() OVER (PARTITION BY run ORDER BY floor(loss / 20) DESC, epoch) AS k FROM runs) WHERE k = 1")
 def _(spark, sf):
-    return M.best_by_validation(_runs(spark, sf).select("run", "epoch", F.floor(F.col("loss") / 20).alias("valid"), F.col("loss").alias("test")))
+    return _best(_runs(spark, sf).where("epoch <= 20"))
+
+
+@query("best_by_val_all")
+def _(spark, sf):
+    return _best(_runs(spark, sf))
 
 
 @query("profile_rollup", "WITH r AS (SELECT event_type AS name, user_id % 4 AS k, count(*) AS n, sum(round(value)::BIGINT) AS t FROM events GROUP BY ALL) SELECT name, sum(n)::BIGINT AS n, sum(t)::BIGINT AS total, round(sum(t) / sum(n), 6) AS mean, max(t)::BIGINT AS slowest_rank_total FROM r GROUP BY name")

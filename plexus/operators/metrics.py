@@ -55,11 +55,15 @@ def hop_report(shares: DataFrame) -> DataFrame:
 
 
 def ema(rows: DataFrame, keep: float = 0.9) -> DataFrame:
-    """(run, ema): fold of (run, epoch, loss) in order of epochs; the first loss starts it. Runs are short."""
-    steps = F.array_sort(F.collect_list(F.struct("epoch", "loss")))
-    rest = lambda s: F.slice(s, 2, F.size(s))
-    folded = rows.groupBy("run").agg(steps.alias("s"))
-    return folded.select("run", F.aggregate(rest(F.col("s")), F.get("s", F.lit(0))["loss"], lambda e, x: e * keep + x["loss"] * (1 - keep)).alias("ema"))
+    """(run, ema): fold of (run, epoch, loss) in order of epochs; the first loss starts it.
+
+    Written out as a weighted sum, so that no run is held as a list; one task numbers the rows of a run.
+    """
+    by = W.partitionBy("run")
+    age = F.row_number().over(by.orderBy(F.col("epoch").desc())) - 1
+    weighted = rows.withColumns({"age": age, "n": F.count(F.lit(1)).over(by)})
+    share = F.pow(F.lit(float(keep)), F.col("age")) * F.when(F.col("age") == F.col("n") - 1, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
+    return weighted.groupBy("run").agg(F.sum(share * F.col("loss")).alias("ema"))
 
 
 def best_by_validation(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from plexus import catalog
 from plexus.operators import spread
+from plexus.session import table
 from plexus.sources import graphs as G
 
 
@@ -54,3 +55,20 @@ def test_components_of_all_purchases(spark):
         p, q = find(i), find(j)
         root[max(p, q)] = min(p, q)
     assert dict(map(tuple, catalog.QUERIES["components_all"](spark, SF).collect())) == {v: find(v) for v in root}
+
+
+@tables
+def test_runs_are_folded_and_searched_to_their_end(spark):
+    runs = {}
+    for r in sorted(table(spark, SF, "events").collect(), key=lambda r: r["event_id"]):
+        runs.setdefault(r["event_type"], []).append(float(r["value"]))
+    assert min(map(len, runs.values())) > 20
+    ema = dict(map(tuple, catalog.QUERIES["ema_loss_all"](spark, SF).collect()))
+    best = {r["run"]: (r["epoch"], r["test"]) for r in catalog.QUERIES["best_by_val_all"](spark, SF).collect()}
+    for run, losses in runs.items():
+        e = losses[0]
+        for v in losses[1:]:
+            e = e * 0.9 + v * 0.1
+        i = max(range(len(losses)), key=lambda i: (losses[i] // 20, -i))
+        assert ema[run] == pytest.approx(e, rel=1e-9) and best[run] == (i + 1, losses[i])
+    assert ema.keys() == best.keys() == runs.keys()
