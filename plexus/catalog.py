@@ -135,6 +135,14 @@ def _(spark, sf):
     return n.select("id", F.round(F.aggregate(F.transform("x", lambda v: F.abs(v / F.col("t"))), F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
+@query("row_l1_norm_all")
+def _(spark, sf):
+    n = G.nodes(spark, sf).withColumn("t", F.aggregate("x", F.lit(0.0), lambda s, v: s + v))
+    size = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.abs(v))
+    # A row without a sum is normalised to zeros, as in the reference.
+    return n.select("id", F.when(F.col("t") == 0, F.lit(0.0)).otherwise(size / F.abs(F.nullif("t", F.lit(0.0)))).alias("total"))
+
+
 @query("dst_semi_filter", f"WITH {_ITEM} SELECT src, dst FROM item WHERE dst IN (SELECT vec_id FROM embeddings WHERE label = 3)")
 def _(spark, sf):
     return E.by_destination(G.item_edges(spark, sf), _some(spark, sf, "y = 3"))

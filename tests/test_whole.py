@@ -72,3 +72,10 @@ def test_runs_are_folded_and_searched_to_their_end(spark):
         i = max(range(len(losses)), key=lambda i: (losses[i] // 20, -i))
         assert ema[run] == pytest.approx(e, rel=1e-9) and best[run] == (i + 1, losses[i])
     assert ema.keys() == best.keys() == runs.keys()
+
+
+@tables
+def test_every_row_is_normalised(spark):
+    want = {r["id"]: sum(map(abs, r["x"])) / abs(sum(r["x"])) for r in G.nodes(spark, SF).collect()}
+    got = dict(map(tuple, catalog.QUERIES["row_l1_norm_all"](spark, SF).collect()))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
