@@ -18,10 +18,14 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (tests, a single machine) a local folder is chosen and set.
+    Only where the setting is absent on a single machine (tests) a local folder is chosen and set; on a
+    cluster its absence is an error, since no folder of the driver's is seen by the executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{os.path.realpath(tempfile.gettempdir())}/plexus-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,15 +46,25 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare_name(base: str, df: DataFrame) -> str:
+    """``base``, with as many underscores before it as make it none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_path` named."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables made by :func:`cut` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for folder in folders:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
 
 
 def ship(spark: SparkSession) -> None:
