@@ -1,19 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window (one word,
-written as its overlapping character groups so that its length in bytes resolves fine differences)
-is compressed with both; the pair of lengths is looked up in a table of calibrated log odds, and a
-document's strongest windows and its number of windows give its score.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Since toxic texts are
+mostly ordinary prose, the second holds the first one's content as well. Texts are read whole, as
+windows: each run of letters, long runs as overlapping pieces that together cover them, written as
+overlapping character groups so that lengths in bytes resolve fine differences. What a window gains, its
+length with the ordinary dictionary less that with the toxic one, is standardised by window size and
+turned into log odds calibrated on labelled rows that no dictionary was trained on.
+
+Not all windows of a toxic text are toxic, and no list of words says which: the toxic dictionary is
+trained on all of them first, then again on those that gained more than nearly all ordinary windows do.
+A text's strongest windows and their number give its score.
 
 Defined results: a null or empty text, or one without letters, has no window and gets the score of a
-document of no evidence. Without any toxic or any ordinary labelled row nothing can be learned: every
-score is 0. Ties, repeated rows and further columns have no influence: a score depends on text alone.
+text of no evidence. Without any toxic or any ordinary labelled row nothing can be learned: every score
+is 0. A class of one row is trained and calibrated on the same row. Ties, repeated rows and further
+columns have no influence: a score depends on text alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,72 +28,102 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexus.session import ship, table
-
-#: Labelled rows of each class that the model is fitted on, at most; a documented bound of the fit only.
-FIT_ROWS = 3000
-#: Labelled texts above this many characters are not learned from (they are scored like any other).
-FIT_CHARS = 20_000
-GRAM, LEVEL = 4, 12
-SHARED_BYTES, TOXIC_BYTES, ORDINARY_BYTES = 110_000, 6144, 24_576
-#: Windows whose lengths a worker remembers before it starts anew; it bounds memory, not results.
+from plexus.session import ship, spare_name, table
+
+#: Labelled rows of each class that the model is fitted on, at most; the only bound of the fit.
+FIT_ROWS = 1500
+GRAM, LEVEL = 4, 3
+ORDINARY_BYTES = 110_000
+#: Rounds of the toxic dictionary: its bytes, and the share of ordinary windows that the next round's windows must outdo.
+ROUNDS = ((16_384, 0.95), (8192, 0.98), (8192, 0.98))
+#: Runs of up to LONGEST letters are one window; longer ones are pieces of PIECE, one every STEP letters.
+LONGEST, PIECE, STEP = 24, 14, 4
+#: Windows whose odds a worker remembers before it starts anew. They are short, so this bounds bytes; results don't depend on it.
 MEMO = 100_000
-CELLS = 96
+SIZES = 40
+EDGES = np.arange(-3, 16.01, 0.25)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _window(word: str) -> bytes:
-    w = b"^" + word.encode("utf-8", "replace") + b"$"
+def windows(text: str | None) -> Iterator[str]:
+    """All windows of a whole text, one after another."""
+    for found in WORD.finditer((text or "").lower()):
+        run = f"^{found[0]}$"
+        if len(run) <= LONGEST + 2:
+            yield run
+        else:
+            for at in range(0, len(run) - PIECE, STEP):
+                yield run[at : at + PIECE]
+            yield run[-PIECE:]
+
+
+def _bytes(window: str) -> bytes:
+    w = window.encode("utf-8", "replace")
     return b" ".join([w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]) + b" "
 
 
+def _size(window: str) -> int:
+    return min(SIZES - 1, len(window.encode("utf-8", "replace")))
+
+
 def _compressor(content: bytes) -> zs.ZstdCompressor:
-    made = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_FULLDICT)
+    made = zs.ZstdCompressionDict(content)
     p = zs.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
     made.precompute_compress(compression_params=p)
     return zs.ZstdCompressor(dict_data=made, compression_params=p)
 
 
-def _train(size: int, samples: list[bytes]) -> bytes:
+def _train(size: int, samples: list[bytes], **how: int) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train on."""
     try:
-        return zs.train_dictionary(size, samples).as_bytes()
+        return zs.train_dictionary(size, samples, **how).as_bytes()
     except zs.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
-class Windows:
-    """Lengths of windows under both dictionaries, as log odds."""
+class Gains:
+    """What windows gain by the toxic dictionary, in bytes. Nothing is kept of a window once asked for."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, lead: bytes, odds: np.ndarray | None = None):
-        self.toxic, self.ordinary, self.lead = _compressor(toxic), _compressor(ordinary), lead
-        self.odds = None if odds is None else [[float(x) for x in row] for row in odds]
-        self.memo: dict[str, float] = {}
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = _compressor(ordinary), _compressor(ordinary + toxic + ordinary[-64:])
 
-    def lengths(self, word: str) -> tuple[int, int]:
-        w = _window(word)
-        if len(w) > 4096:  # lengths beyond the table's edge differ no more
-            w = w[:4096]
-        w = self.lead + w
-        return min(CELLS - 1, len(self.toxic.compress(w))), min(CELLS - 1, len(self.ordinary.compress(w)))
+    def __call__(self, window: str) -> int:
+        b = _bytes(window)
+        return len(self.ordinary.compress(b)) - len(self.toxic.compress(b))
 
-    def __call__(self, word: str) -> float:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            a, b = self.lengths(word)
-            found = self.memo[word] = self.odds[a][b]
-        return found
+
+def _scale(gains: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of ordinary windows' gains for each size; sizes seldom seen lean on a line through all."""
+    a = np.vstack([np.ones(len(sizes)), sizes]).T
+    line = np.linalg.lstsq(a, gains, rcond=None)[0] if len(gains) else np.zeros(2)
+    var = float(((gains - a @ line) ** 2).mean()) + 0.25 if len(gains) else 1.0
+    mean, dev = np.zeros(SIZES), np.ones(SIZES)
+    for b in range(SIZES):
+        own = gains[sizes == b]
+        mean[b] = (own.sum() + 20 * (line[0] + line[1] * b)) / (len(own) + 20)
+        dev[b] = np.sqrt((((own - mean[b]) ** 2).sum() + 20 * var) / (len(own) + 20))
+    return mean, dev
+
+
+def _rising(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The closest rising sequence, by pooling neighbours that fall."""
+    blocks: list[list[float]] = []
+    for y, w in zip(share, weight, strict=True):
+        blocks.append([y, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            y2, w2, n2 = blocks.pop()
+            y1, w1, n1 = blocks.pop()
+            blocks.append([(y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return np.concatenate([[y] * int(n) for y, _, n in blocks])
 
 
 def _features(values: np.ndarray) -> tuple[float, ...]:
     n = len(values)
     if not n:
-        return (0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     top = np.sort(np.maximum(values, 0.0) if n <= 4 else np.maximum(np.partition(values, n - 4)[n - 4 :], 0.0))[::-1]
     # What the strongest of n ordinary windows shows grows with log n.
-    return (float(top[0]), float(top[1]) if n > 1 else 0.0, float(top[:4].sum()), float((values > 4.0).sum() / np.sqrt(n)), float(np.log1p(n)))
+    return (float(top[0]), float(top[1]) if n > 1 else 0.0, float(top.sum()), float((values > 4.0).sum() / np.sqrt(n)), float((values > 2.0).sum() / np.sqrt(n)), float(np.log1p(n)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,74 +138,98 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w, mean, scale
 
 
-def fit(rows: list[tuple[str, int]]) -> dict | None:
-    """rows: text and label. None: nothing to learn."""
-    seqs = [(WORD.findall((t or "").lower()), int(y)) for t, y in rows]
-    seen = {0: Counter(), 1: Counter()}
-    count = {0: 0, 1: 0}
-    for words, y in seqs:
-        count[y] += 1
-        seen[y].update(set(words))
-    if not count[0] or not count[1]:
-        return None
-    n0, n1 = count[0], count[1]
-    marked = set()
-    for w, a in seen[1].items():  # windows that set toxic documents apart; the rest of their text is ordinary
-        b = seen[0][w]
-        p = (a + b) / (n0 + n1)
-        if a >= 2 and (a / n1 - b / n0) > 3.5 * np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)):
-            marked.add(w)
-    marked = marked or set(seen[1])
-    rng = np.random.default_rng(7)
-    ordinary = [w for words, y in seqs if not y for w in words]
-    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:300_000]]
-    shared = _train(SHARED_BYTES, [_window(w) for w in ordinary[:200_000]])
-    if not shared.startswith(b"\x37\xa4\x30\xec"):  # too little text for a trained dictionary
+def _halves(texts: list[str | None]) -> tuple[list[list[str]], list[list[str]]]:
+    """Distinct windows of the rows to train on, and of those to calibrate on."""
+    rows = [list(dict.fromkeys(windows(t))) for t in texts]
+    return (rows[0::2], rows[1::2]) if len(rows) > 1 else (rows, rows)
+
+
+def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict | None:
+    """rows: text and label. toxic_share: of all labelled rows, where ``rows`` were not chosen in proportion.
+
+    None: nothing to learn.
+    """
+    texts = {y: [t for t, label in rows if label == y] for y in (0, 1)}
+    if not texts[0] or not texts[1]:
         return None
-    lead = shared[-40:]
-    toxic = _train(TOXIC_BYTES, [_window(w) for words, y in seqs if y for w in words if w in marked])
-    hard: list[bytes] = []
-    distinct = list(dict.fromkeys(ordinary))[:60_000]
-    for _ in range(2):  # ordinary windows that the toxic dictionary would shorten
-        look = Windows(shared + toxic + lead, shared + b"".join(hard)[:ORDINARY_BYTES] + lead, lead)
-        gains = []
-        for w in distinct:
-            a, b = look.lengths(w)
-            if b - a >= 2:
-                gains.append((a - b, w))
-        hard = [_window(w) for _, w in sorted(gains)[:2000] if w not in marked] + hard
-    own = b"".join(hard)[:ORDINARY_BYTES]
-    parts = {"toxic": shared + toxic + lead, "ordinary": shared + own + lead, "lead": lead}
-    look = Windows(**parts)
-    cells: dict[str, tuple[int, int]] = {}
-    hits = np.zeros((2, CELLS, CELLS))
-    for words, y in seqs:
-        for w in set(words):
-            if w not in cells:
-                cells[w] = look.lengths(w)
-            # A marked word counts as toxic evidence, the other words of a toxic document do not.
-            if not y or w in marked:
-                hits[y][cells[w]] += 1
-    rate = hits / np.maximum(hits.sum((1, 2), keepdims=True), 1)
-    odds = np.log((rate[1] + 2e-5) / (rate[0] + 2e-5))
-    odds[hits.sum(0) == 0] = 0.0
-    look.odds = [[float(x) for x in row] for row in odds]
-    x = np.array([_features(np.array([look(w) for w in words])) for words, _ in seqs])
-    y = np.array([y for _, y in seqs], float)
-    weights = _logistic(x, y)
-    return parts | {"odds": odds, "weights": weights}
+    (train0, look0), (train1, look1) = _halves(texts[0]), _halves(texts[1])
+    ordinary = _train(ORDINARY_BYTES, [_bytes(w) for ws in train0 for w in ws])
+    plain = list(dict.fromkeys(w for ws in look0 for w in ws))
+    sizes = np.array([_size(w) for w in plain])
+    every = [w for ws in train1 for w in ws]
+    chosen = every
+    for size, share in ROUNDS:
+        toxic = _train(size, [_bytes(w) for w in chosen], k=32, d=6)
+        gain = Gains(ordinary, toxic)
+        gains = np.array([gain(w) for w in plain], float)
+        mean, dev = _scale(gains, sizes)
+        least = np.quantile((gains - mean[sizes]) / dev[sizes], share) if len(plain) else 0.0
+        known = {w: gain(w) for w in dict.fromkeys(every)}
+        stand = lambda w: (known[w] - mean[_size(w)]) / dev[_size(w)]  # noqa: B023, E731
+        chosen = [w for w in every if stand(w) > least] or every
+    model = {"ordinary": ordinary, "toxic": toxic, "mean": mean, "dev": dev}
+    # Odds: over all sizes by standardised gain, rising; then each size's own gains, leaning on those.
+    known = {w: gain(w) for ws in (*look0, *look1) for w in ws}
+    seen = {(y, _size(w), known[w]): 0 for y in (0, 1) for w in known}
+    for y, part in ((0, look0), (1, look1)):
+        for ws in part:
+            for w in ws:
+                seen[y, _size(w), known[w]] += 1
+    cells = sorted({(s, g) for _, s, g in seen})
+    bins = {(s, g): int(np.digitize((g - mean[s]) / dev[s], EDGES)) for s, g in cells}
+    count = np.zeros((2, len(EDGES) + 1))
+    for (s, g), b in bins.items():
+        for y in (0, 1):
+            count[y, b] += seen[y, s, g]
+    rate = count.sum(1) / max(1.0, count.sum()) + 1e-9
+    total = count.sum(0)
+    share = _rising((count[1] + rate[1]) / (total + 1), total + 1)
+    model["odds"] = np.log(share / (1 - share)) - np.log(rate[1] / rate[0])
+    own = {}
+    for (s, g), b in bins.items():
+        n0, n1 = seen[0, s, g], seen[1, s, g]
+        p = (n1 + 10 * share[b]) / (n0 + n1 + 10)
+        own[s, g] = float(np.log(p / (1 - p)) - np.log(rate[1] / rate[0]))
+    model["own"] = own
+    odds = Odds(model)
+    x = np.array([_features(np.array([odds(w) for w in ws])) for ws in (*look1, *look0)])
+    y = np.repeat([1.0, 0.0], [len(look1), len(look0)])
+    w, centre, scale = _logistic(x, y)
+    if toxic_share is not None:
+        w[0] += np.log(toxic_share / (1 - toxic_share)) - np.log(len(look1) / len(look0))
+    return model | {"weights": (w, centre, scale)}
+
+
+class Odds:
+    """Calibrated log odds of windows."""
+
+    def __init__(self, model: dict):
+        self.gain = Gains(model["ordinary"], model["toxic"])
+        self.mean, self.dev, self.odds, self.own = model["mean"], model["dev"], model["odds"], model["own"]
+        self.memo: dict[str, float] = {}
+
+    def __call__(self, window: str) -> float:
+        found = self.memo.get(window)
+        if found is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            s, g = _size(window), self.gain(window)
+            found = self.own.get((s, g))
+            if found is None:
+                found = float(self.odds[np.digitize((g - self.mean[s]) / self.dev[s], EDGES)])
+            self.memo[window] = found
+        return found
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.look = Windows(model["toxic"], model["ordinary"], model["lead"], model["odds"])
+        self.odds = Odds(model)
         self.w, self.mean, self.scale = model["weights"]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        x = np.zeros((len(texts), 5))
+        x = np.zeros((len(texts), 6))
         for i, t in enumerate(texts):
-            words = WORD.findall((t or "").lower())
-            x[i] = _features(np.fromiter(map(self.look, words), float, len(words)))
+            x[i] = _features(np.fromiter(map(self.odds, windows(t)), float))
         z = (x - self.mean) / self.scale @ self.w[1:] + self.w[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -178,7 +239,7 @@ _scorers: dict[int, Scorer] = {}
 
 def _scorer(model: dict) -> Scorer:
     """One scorer for each worker process and model; its memo is kept from task to task."""
-    key = hash((model["toxic"], model["ordinary"]))
+    key = hash((model["toxic"], model["ordinary"], model["weights"][0].tobytes()))
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)
@@ -193,13 +254,16 @@ def fold(doc_id: Column, n: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, held_out_fold: int = 0) -> dict | None:
     """Fit on at most ``rows`` labelled texts of each class, outside the held-out fold, chosen by hash."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where(F.col("_toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) != held_out_fold))
+    n = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}  # two rows
+    if len(n) < 2:
+        return None
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(chosen), "doc_id")  # 2 * rows ids
-    found = texts.orderBy("doc_id", "text", "_toxic").limit(2 * rows).collect()
-    return fit([(r["text"], r["_toxic"]) for r in found])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * rows ids
+    found = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "_toxic").limit(2 * rows).collect()
+    return fit([(r["text"], r["_toxic"]) for r in found], n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", out: str = "score") -> DataFrame:
@@ -230,5 +294,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; a document without evidence stays."""
-    kept = score(docs, learn(docs, table(spark, sf_dir, "labels")), out="_toxic_score").where(F.col("_toxic_score") < 0.5)
-    return kept.drop("_toxic_score")
+    name = spare_name("score", docs)
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")), out=name).where(F.col(name) < 0.5).drop(name)
