@@ -5,16 +5,19 @@ smallest hash, the number of leading zeros and ten bits that follow. Equal bands
 pairs; the collision-corrected share of equal registers screens them; the full sets confirm.
 
 No pairs are formed within bands. Each band elects as leader the document that shares most bands with
-others, every other member is tried against it, and the links found so far name components. Documents
-of different components that still share a band are gathered in groups and compared block by block:
-pairs that share no band are passed over, the estimate screens the rest, products of incidence matrices
-give the exact intersections, and only links that join components come back. So every pair of different
-texts that shares a band is confirmed, refuted, or already in one component.
+others, every other member is tried against it, and the links found so far name components. What is left
+are documents of different components that share a band. Two sets this similar share one of their rarest
+members, of which few are held in common by texts that merely follow one template; so only those pairs
+of a band's group that do are tried (an exact bound: no link is lost). Rare members that many texts hold
+nevertheless gather these texts in groups that are compared block by block: pairs that share no band are
+passed over, the estimate screens the rest, products of incidence matrices give the exact intersections,
+and only links that join components come back. So every pair of different texts that shares a band is
+confirmed, refuted, or already in one component.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and stays. A text of fewer
 words than a shingle is one shingle. Texts are what is linked: rows of a null or a repeated identifier
-have nothing to do with each other unless their texts are alike. A null identifier counts as the largest
-64-bit number where the smallest one is sought. Further columns have no influence.
+have nothing to do with each other unless their texts are alike. A null identifier comes after every
+number where the smallest one is sought. Further columns have no influence.
 """
 
 from __future__ import annotations
@@ -31,14 +34,16 @@ from pyspark.sql import functions as F
 from plexus.components import components
 from plexus.session import cut, drop, ship, table
 
-LAST_ID = 9223372036854775807
 #: 48 bands of 6: of pairs with a similarity of 0.8 one in two million shares none.
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Groups above this many texts are compared block by block.
-BLOCK = 512
-MEMO = 100_000
+#: Rare members give their pairs one by one up to this many; the texts of the others are compared block by block.
+PAIRS = 4096
+#: Texts of a block, and set members of a block, about.
+BLOCK, BLOCK_MEMBERS = 512, 2_000_000
+#: Words a worker remembers before it starts anew, none above MEMO_BYTES; this bounds memory, not results.
+MEMO, MEMO_BYTES = 100_000, 64
 U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=U)
 
@@ -48,9 +53,11 @@ _SALTS = np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -131,16 +138,16 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[list, list]]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[pa.Array, list]]:
     """Identifiers and texts of a batch, about ``most`` bytes of text at a time."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        ids, texts = batch.column(0), batch.column(1)
         start, size = 0, 0
         lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
         for i, n in enumerate(lengths):
             size += n
             if size >= most or i == len(lengths) - 1:
-                yield ids[start : i + 1], texts.slice(start, i + 1 - start).to_pylist()
+                yield ids.slice(start, i + 1 - start), texts.slice(start, i + 1 - start).to_pylist()
                 start, size = i + 1, 0
 
 
@@ -158,22 +165,23 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 raw.append(hashlib.sha256(t or b"").digest())
                 digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
                 keys.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys, pa.int64())], ["id", "raw", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys, pa.int64())], ["id", "raw", "n_shingles", "digest", "keys"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, raw binary, n_shingles bigint, digest binary, keys array<bigint>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, raw binary, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, copies, registers, members): the registers and the whole set of shingle hashes."""
+    """(id, copies, registers, keys, members): registers, band keys and the whole set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches):
             sets = [shingles(_words(t), width) for t in texts]
             regs = [registers(s, copies_of(len(s))).astype(np.int32) for s in sets]
             kinds = pa.array([copies_of(len(s)) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kinds, _lists(regs, pa.int32()), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "copies", "registers", "members"])
+            yield pa.RecordBatch.from_arrays([ids, kinds, _lists(regs, pa.int32()), _lists([band_keys(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "copies", "registers", "keys", "members"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, copies int, registers array<int>, members array<bigint>")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, copies int, registers array<int>, keys array<bigint>, members array<bigint>")
 
 
 def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> tuple[Column, Column]:
@@ -186,20 +194,73 @@ def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> tuple[Column, Co
     return (equal / used - chance) / (1 - chance), used
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, screened by estimate first."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("copies").alias(f"k_{x}"), F.col("registers").alias(f"r_{x}"), F.col("members").alias(f"m_{x}"))
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, by_band: bool = False) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, screened by estimate first.
+
+    by_band: pairs that share no band are passed over too.
+    """
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("copies").alias(f"k_{x}"), F.col("registers").alias(f"r_{x}"), F.col("members").alias(f"m_{x}"), *[F.col("keys").alias(f"b_{x}")] * by_band)
     n = lambda x: F.size(f"m_{x}")
     guess, used = estimate(F.col("r_a"), F.col("r_b"), n("a"), n("b"))
     share = percent / 100
     likely = guess >= share - 6 * F.sqrt(share * (1 - share) / used)  # six standard deviations below
     likely |= F.col("k_a") != F.col("k_b")  # registers of two kinds do not compare
+    if by_band:
+        likely &= F.arrays_overlap("b_a", "b_b")
     sized = 100 * F.least(n("a"), n("b")) >= percent * F.greatest(n("a"), n("b"))
     common = F.size(F.array_intersect("m_a", "m_b"))
     linked = 100 * common >= percent * (n("a") + n("b") - common)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & likely & linked).select("a", "b").distinct()
 
 
+def rare_members(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(grp, token, cls, label, n, own) of (cls, label, grp): the members by which a set finds its like.
+
+    With all members ordered from rare to common, a set of n and one of at most n linked with it share
+    one of the first n - ceil(p n) + 1 members of the larger and, marked ``own``, the first
+    n - ceil(2 p n / (1 + p)) + 1 of the smaller, p being the least similarity. Members that no other
+    set holds come first and are left out.
+    """
+    each = held.join(sets.select(F.col("id").alias("cls"), "members"), "cls").select("grp", "cls", "label", F.size("members").alias("n"), F.explode("members").alias("token"))
+    each = cut(each, "near-each")
+    often = cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "near-often")
+    listed = each.join(often, "token").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("label").alias("label"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("l"))
+    alone = F.col("n") - F.size("l")
+    probe = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - alone
+    own = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1") - alone
+    listed = listed.withColumns({"probe": probe, "first_own": own}).where("probe > 0")
+    found = listed.select("grp", "cls", "label", "n", "first_own", F.posexplode(F.expr("slice(l, 1, CAST(probe AS INT))")).alias("at", "t"))
+    found = cut(found.select("grp", "t.token", "cls", "label", "n", (F.col("at") < F.col("first_own")).alias("own")), "near-rare")
+    drop(each, often)
+    return found
+
+
+def by_rare_members(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between texts (cls, label, grp) of one group that share a band and differ in label."""
+    found = rare_members(held, sets, percent)
+    size = F.count(F.lit(1)) * F.count_if("own")
+    postings = found.groupBy("grp", "token").agg(size.alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cls").alias("first")).where("lo <> hi and size > 0")
+    postings = cut(postings.select("grp", "token", "size", "first"), "near-postings")
+    few = found.join(postings.where(F.col("size") <= PAIRS).select("grp", "token"), ["grp", "token"])
+    x = few.select("grp", "token", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+    y = few.where("own").select("grp", "token", F.col("cls").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
+    pairs = x.join(y, ["grp", "token"]).where(f"lx <> ly and ny <= nx and 100 * ny >= {percent} * nx")
+    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
+    links = confirm(pairs, sets, percent, by_band=True)
+    many = found.join(postings.where(F.col("size") > PAIRS).select("grp", "token", "first"), ["grp", "token"]).select("cls", "label", "n", "first").distinct()
+    many = cut(many, "near-many")
+    if many.isEmpty():
+        out = cut(links, "near-links")
+        drop(found, postings, pairs, many)
+        return out
+    group = components(many.select(F.col("cls").alias("u"), F.col("first").alias("v"))).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    rest = cut(many.select("cls", "label", "n").distinct().join(group, "cls"), "near-rest")
+    sizes = rest.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    out = cut(links.unionAll(_blocked(rest.join(sizes, "grp"), sets, percent)), "near-links")
+    drop(found, postings, pairs, many, rest)
+    return out
+
+
 def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of incidence matrices."""
     sizes = [len(x) for x in (*left, *right)]
@@ -241,9 +302,9 @@ def _spanning(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> lis
 
 
 def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links of different components between two blocks of (cls, label, members)."""
+    """Links of different components between two blocks of (cls, label, copies, registers, keys, members)."""
     sets = [[np.asarray(m).view(U) for m in side["members"]] for side in (left, right)]
-    open_ = common([band_keys(s) for s in sets[0]], [band_keys(s) for s in sets[1]]) > 0
+    open_ = common(list(left["keys"]), list(right["keys"])) > 0
     label = [side["label"].to_numpy() for side in (left, right)]
     open_ &= label[0][:, None] != label[1][None, :]
     n = [np.array([len(s) for s in side]) for side in sets]
@@ -252,8 +313,8 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[
     if not len(p):
         return []
     # Screening by the collision-corrected estimate, where both have registers of one kind.
-    kind = [np.array([copies_of(len(s)) for s in side]) for side in sets]
-    regs = [np.stack([registers(s, int(k)) for s, k in zip(side, ks, strict=True)]) for side, ks in zip(sets, kind, strict=True)]
+    kind = [side["copies"].to_numpy() for side in (left, right)]
+    regs = [np.stack(list(side["registers"])) for side in (left, right)]
     share, likely = percent / 100, np.zeros(len(p), bool)
     chance = 0.169919487159739 / (1 << MANTISSA)  # the largest collision share
     for at in range(0, len(p), 20_000):
@@ -275,10 +336,9 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[
 
 
 def _blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within groups of (grp, cls, label, size) of any size, block against block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumns({"_n": blocks, "_b": F.pmod(F.xxhash64("cls"), blocks).cast("int")}).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("grp", "cls", "label", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).join(sets.select(F.col("id").alias("cls"), "members"), "cls")
+    """Links (a, b) within groups of (grp, cls, label, blocks) of any size, block against block."""
+    rows = members.withColumn("_b", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("grp", "cls", "label", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).join(sets.withColumnRenamed("id", "cls"), "cls")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["_b"] == pdf["_i"].iat[0]], pdf[pdf["_b"] == pdf["_j"].iat[0]]
@@ -289,8 +349,9 @@ def _blocked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with id and raw, the hash of the text as it stands."""
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), "raw": F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))})
+    """``docs`` with id, which orders null last, and raw, the hash of the text as it stands."""
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("value"))
+    return docs.withColumns({"id": ident, "raw": F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))})
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -298,6 +359,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     ``component`` is the smallest identifier reachable over links of at least ``percent`` similarity, ``kept``
     marks the one row that stays of a component. Nodes are texts, whatever identifiers their rows have.
+    ``id`` and ``component`` are (none, value), so that any number and null are told apart; see :func:`number`.
     """
     docs = _keyed(docs).select("id", "raw", "text")
     rows = cut(sketch(docs, width).withColumn("row", F.monotonically_increasing_id()), "near-rows")
@@ -332,9 +394,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rest = at.join(open_, "key").select("cls", "label", "first").distinct()
     rest = cut(rest, "near-rest")
     group = components(rest.select(F.col("cls").alias("u"), F.col("first").alias("v"))).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    held = rest.select("cls", "label").distinct().join(group, "cls")
-    held = cut(held.join(held.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp"), "near-groups")
-    links2 = cut(_blocked(held, sets, percent), "near-links")
+    held = cut(rest.select("cls", "label").distinct().join(group, "cls"), "near-groups")
+    links2 = by_rare_members(held, sets, percent)
     final = components(links.unionAll(links2).select(F.col("a").alias("u"), F.col("b").alias("v")))
     at_last = same.join(final, same["cls"] == final["node"], "left").select("cls", "best", F.coalesce("component", "cls").alias("grp"))
     at_last = cut(at_last, "near-last")
@@ -346,10 +407,14 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out
 
 
+def number(ident: str) -> Column:
+    """The number of an identifier (none, value); null where it is none."""
+    return F.when(~F.col(f"{ident}.none"), F.col(f"{ident}.value"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"), width=4)
-    ident = lambda c: F.nullif(F.col(c), F.lit(LAST_ID))
-    return found.select(ident("id").alias("doc_id"), "n_shingles", ident("component").alias("component_id"), "kept")
+    return found.select(number("id").alias("doc_id"), "n_shingles", number("component").alias("component_id"), "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,8 +63,51 @@ def test_near_dedup_by_brute_force(spark):
             for j, b in enumerate(sets):
                 if a and b and 100 * len(a & b) >= 80 * len(a | b):
                     comp[i] = comp[j] = min(comp[i], comp[j])
-    got = {r["id"]: (r["n_shingles"], r["component"]) for r in near.classes(docs(spark, texts), 4).collect()}
-    assert got == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
+    assert near_result(spark, docs(spark, texts)) == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
+
+
+def near_result(spark, rows):
+    """{doc_id: (n_shingles, component)} of shingles of four words."""
+    found = near.classes(rows, 4).select(near.number("id").alias("id"), "n_shingles", near.number("component").alias("c"))
+    return {r["id"]: (r["n_shingles"], r["c"]) for r in found.collect()}
+
+
+def components_by_force(sets):
+    comp = list(range(len(sets)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                comp[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("kind", ["template", "pool"])
+def test_near_groups_around_the_threshold(spark, kind, monkeypatch):
+    """Hundreds of texts that share bands and are partly linked; none of their links is lost."""
+    rng = random.Random(9)
+    monkeypatch.setattr(near, "BLOCK", 50)
+    texts = []
+    for i in range(240):
+        if kind == "template":  # one part in common, own parts of different lengths, some copied from another text
+            own = [f"u{i}x{j}" for j in range(rng.choice((10, 20, 26, 30)))]
+            other = texts[rng.randrange(len(texts))].split()[180:] if texts and rng.random() < 0.3 else []
+            texts.append(" ".join([f"t{k}" for k in range(180)] + own + other[:25]))
+        else:  # shares of one pool, so that rare members are held by many
+            texts.append(" ".join(f"p{k} q{k} r{k} s{k}" for k in range(60) if rng.random() < 0.93))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    want = components_by_force(sets)
+    assert 1 < len(set(want)) < len(want)
+    assert near_result(spark, docs(spark, texts)) == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
 def test_near_blocks_give_exact_intersections():
