@@ -5,7 +5,8 @@ to the shard of the least one. A new shard only takes the records for which its
 all other records stay where they are.
 
 Defined results: a null text has 8 bytes and checksum 0; a null key is one key. Equal scores go to the
-lower shard. Rows that repeat a key go to the same shard and get slots of their own.
+lower shard. Rows that repeat a key go to the same shard and get slots of their own; rows alike in all
+columns are counted first and numbered by arithmetic, so that no task orders all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plexus.session import cut, table
+from plexus.functions.ranks import numbered
+from plexus.session import cut, spare_name, table
 
 #: Rows that one numbering task takes, about.
 SLOT_ROWS = 4000
@@ -35,20 +37,21 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 
 def slots(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
-    """Adds ``slot``: row numbers from 0 without gaps in each value of ``by``.
+    """Adds ``slot``: row numbers from 0 without gaps in each value of ``by`` (null is no value: such rows go).
 
-    Numbers within parts of about SLOT_ROWS rows are moved by the sizes of the parts before, so that
-    no task numbers a whole shard.
+    Numbers within parts of about SLOT_ROWS different rows are moved by the sizes of the parts before, so
+    that no task numbers a whole shard. Columns must be such as can be grouped by.
     """
-    n = rows.count()
-    groups = rows.agg(F.approx_count_distinct(by)).first()[0] or 1
-    parts = max(1, -(-n // (groups * SLOT_ROWS)))
-    split = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    sizes = split.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    number = F.row_number().over(W.partitionBy(by, "_part").orderBy(*order)) - 1
-    return split.withColumn("_row", number).join(offsets, [by, "_part"]).withColumn("slot", F.col("_before") + F.col("_row")).drop("_part", "_before", "_row")
+    n, part, first, before = (spare_name(x, rows) for x in ("n", "part", "first", "before"))
+    alike = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(n)), "shard-rows")
+    largest = alike.groupBy(by).agg(F.count(F.lit(1)).alias("count")).agg(F.max("count")).first()[0] or 0
+    split = alike.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(max(1, -(-largest // SLOT_ROWS)))))
+    sizes = split.groupBy(by, part).agg(F.sum(n).alias(before))
+    earlier = W.partitionBy(by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(by, part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    inside = W.partitionBy(by, part).orderBy(*order, *[c for c in rows.columns if c not in order]).rowsBetween(W.unboundedPreceding, -1)
+    placed = split.withColumn(first, F.coalesce(F.sum(n).over(inside), F.lit(0))).join(offsets, [by, part])
+    return numbered(placed, n, "slot").withColumn("slot", F.col("slot") + F.col(first) + F.col(before)).select(*rows.columns, "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
@@ -62,5 +65,4 @@ def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
         shard_of(F.col("doc_id"), [1.0] * shards).alias("shard"),
         shard_of(F.col("doc_id"), [1.0] * (shards + 1)).alias("grown_shard"),
     )
-    rows = cut(placed, "shard-rows")
-    return slots(rows, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return slots(placed, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

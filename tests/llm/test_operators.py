@@ -26,20 +26,21 @@ def plain(t):
     return "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
 
 
+def dedup_result(rows, *how):
+    return {r["id"]: (r["keep"], r["group_size"]) for r in dedup.decide(dedup.stored(rows)[0], *how).collect()}
+
+
 def test_exact_dedup_by_brute_force(spark):
     groups = {}
     for i, t in enumerate(TEXTS):
         groups.setdefault(plain(t), []).append((-len(t or ""), i))
-    want = {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
-    got = {r["id"]: (r["keep"], r["group_size"]) for r in dedup.decide(docs(spark)).collect()}
-    assert got == want
+    assert dedup_result(docs(spark)) == {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
 
 
 def test_exact_dedup_with_colliding_digests(spark):
     texts = [f"t{i % 5}" for i in range(15)]
     weak = lambda t, g: F.lit("one") if g == 0 else F.concat(F.lit(str(g)), F.substring(t, 2, 1))
-    got = {r["id"]: (r["keep"], r["group_size"]) for r in dedup.decide(docs(spark, texts), weak).collect()}
-    assert got == {i: (i % 5, 3) for i in range(15)}
+    assert dedup_result(docs(spark, texts), weak) == {i: (i % 5, 3) for i in range(15)}
 
 
 def test_near_dedup_by_brute_force(spark):
@@ -229,7 +230,7 @@ def test_marginals_equal_enumeration():
 
 def test_empty_tables(spark):
     d = none(spark)
-    assert dedup.decide(d).count() == 0
+    assert dedup.decide(dedup.stored(d)[0]).count() == 0
     assert near.classes(d).count() == 0
     assert bpe.digests(d).count() == 0
     assert wordpiece.token_counts(d).count() == 0
