@@ -1,13 +1,15 @@
 """Language of words and texts by a linear-chain conditional random field.
 
 A word's features are its beginnings and ends, its character n-grams and whether a lexicon of frequent
-words holds it, each hashed to one weight per language. Weights and the transitions between languages
-are learned together by gradient steps on the log likelihood of sequences spliced from texts of
-several languages, so that changes of language inside a text occur while learning. Forward-backward
-gives every word's marginals; a text's language is the one of the largest mean marginal.
+words holds it, each hashed to one weight per language. Runs of letters too long for a word, as in scripts
+without spaces, are read as pieces that overlap, so that every n-gram counts. Weights and the transitions
+between languages are learned together by gradient steps on the log likelihood of sequences spliced from
+texts of several languages, so that changes of language inside a text occur while learning.
+Forward-backward gives every word's marginals: :func:`spans` labels the words of code-switched texts,
+:func:`identify` gives a text the language of the largest mean marginal.
 
 Defined results: a null text or one without a letter is ``und`` with score 0. Without learned rows
-every text is ``und``. Languages tie to the one that comes first in code point order. Repeated rows
+every text is ``und`` and has no spans. Languages tie to the one that comes first in code point order. Repeated rows
 and further columns have no influence; identifiers serve only to choose the learned rows.
 """
 
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +31,14 @@ from pyspark.sql import Window as W
 from plexus.llm.toxicity import fold
 from plexus.session import ship, table
 
-#: Texts of each language that are learned from, and characters of each, at most; bounds of the fit only.
-FIT_ROWS, FIT_CHARS = 400, 4000
+#: Labelled rows of each language that are learned from, whole, at most; the only bound of the fit.
+FIT_ROWS = 120
 SLOTS = 1 << 16
 LEXICON = 400
-MOST = 18
-MEMO = 400_000
+#: Runs up to LONGEST letters are words; longer ones are read in pieces of PIECE that overlap by LAP.
+LONGEST, PIECE, LAP = 24, 18, 4
+#: Words, which are short, that a worker remembers before it starts anew; it bounds memory, not results.
+MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,14 +55,25 @@ class _Slots(dict):
 _slots = _Slots()
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Slots of a word's features, MOST at most; of words beyond 12 letters the two ends give them."""
-    x = word if len(word) <= 12 else word[:6] + word[-6:]
-    w = f"<{x}>"
-    found = ["p" + x[:3], "s" + x[-1:], "s" + x[-2:], "s" + x[-4:]]
-    if word in lexicon:
-        found.append("=" + word)
-    found += [w[i : i + 3] for i in range(len(w) - 2)]
+def pieces(run: str) -> list[str]:
+    """A run of letters as one marked word, or as overlapping pieces of which the ends alone are marked."""
+    w = f"<{run}>"
+    if len(run) <= LONGEST:
+        return [w]
+    return [w[at : at + PIECE] for at in range(0, len(w) - LAP, PIECE - LAP)]
+
+
+def features(piece: str, lexicon: frozenset[str]) -> list[int]:
+    """Slots of a piece's features: beginning, ends and lexicon where it has them, and all its trigrams."""
+    found = []
+    if piece[0] == "<":
+        found.append("p" + piece[1:4].rstrip(">"))
+    if piece[-1] == ">":
+        x = piece[:-1].lstrip("<")
+        found += ["s" + x[-1:], "s" + x[-2:], "s" + x[-4:]]
+    if piece in lexicon:
+        found.append("=" + piece)
+    found += [piece[i : i + 3] for i in range(len(piece) - 2)]
     return list(map(_slots.__getitem__, found))
 
 
@@ -90,68 +106,73 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, moves: np.ndarray, start:
     return p, alpha, beta
 
 
+def _spliced(texts: list[list[list[str]]], length: int, rng: np.random.Generator) -> Iterator[tuple[list[str], list[int]]]:
+    """Sequences of ``length`` words and their languages that use up every word of every text once.
+
+    Most often the same language goes on, at times another one follows.
+    """
+    step = length // 3
+    left = [[ws[a : a + step] for ws in own for a in range(0, len(ws), step)] for own in texts]
+    for own in left:
+        rng.shuffle(own)
+    words: list[str] = []
+    tags: list[int] = []
+    lang = -1
+    while any(left):
+        if lang < 0 or not left[lang] or rng.random() > 0.75:
+            n = np.array([len(own) for own in left], float)
+            lang = int(rng.choice(len(left), p=n / n.sum()))
+        add = left[lang].pop()
+        words += add
+        tags += [lang] * len(add)
+        while len(words) >= length:
+            yield words[:length], tags[:length]
+            words, tags = words[length:], tags[length:]
+    if words:
+        yield words, tags
+
+
 def fit(rows: list[tuple[str, str]], epochs: int = 3, length: int = 48, seed: int = 5) -> Model | None:
     langs = sorted({lang for _, lang in rows})
-    if not langs:
+    texts = [[w for w in (tokens(t) for t, x in rows if x == lang) if w] for lang in langs]
+    if not any(texts):
         return None
-    texts = {lang: [w for w in (WORD.findall(t.lower()) for t, x in rows if x == lang) if w] for lang in langs}
-    counts = {lang: Counter(w for ws in texts[lang] for w in ws) for lang in langs}
-    lexicon = frozenset(w for lang in langs for w, _ in counts[lang].most_common(LEXICON))
+    counts = [Counter(w for ws in own for w in ws) for own in texts]
+    lexicon = frozenset(w for c in counts for w, _ in c.most_common(LEXICON))
     rng = np.random.default_rng(seed)
     k = len(langs)
-    segments = [(i, ws[a : a + 16]) for i, lang in enumerate(langs) for ws in texts[lang] for a in range(0, len(ws), 16)]
-    if not segments:
-        return None
-    cache: dict[str, list[int]] = {}
-    seqs = []
-    for i in rng.permutation(len(segments))[:5_000]:  # most often the same language goes on, at times another one follows
-        lang, words = segments[i]
-        tags, out = [lang] * len(words), list(words)
-        while len(out) < length:
-            if rng.random() < 0.75:
-                same = texts[langs[lang]]
-                ws = same[rng.integers(len(same))]
-            else:
-                j = rng.integers(len(segments))
-                lang, ws = segments[j]
-            a = rng.integers(max(1, len(ws) - 16))
-            add = ws[a : a + int(rng.integers(3, 17))]
-            out += add
-            tags += [lang] * len(add)
-        seqs.append((out[:length], tags[:length]))
-    weights, moves, start = np.zeros((SLOTS + 1, k)), np.zeros((k, k)), np.zeros(k)
+    seqs = sorted(_spliced(texts, length, rng), key=lambda s: -len(s[0]))  # all of one length but the last
+    slots = {w: np.array(features(w, lexicon)) for w in {w for ws, _ in seqs for w in ws}}
+    weights, moves, start = np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(k)
     power = np.full(weights.shape, 1e-8)
-    for word in {w for ws, _ in seqs for w in ws}:
-        cache[word] = features(word, lexicon)
     size = 128
     for _ in range(epochs):
         order = rng.permutation(len(seqs))
         for at in range(0, len(order), size):
-            batch = [seqs[i] for i in order[at : at + size]]
-            f = np.full((len(batch), length, MOST), SLOTS)
-            for r, (ws, _) in enumerate(batch):
-                for c, w in enumerate(ws):
-                    x = cache[w]
-                    f[r, c, : len(x)] = x
-            y = np.array([tags for _, tags in batch])
-            z = weights[f].sum(2)
+            batch = [seqs[i] for i in sorted(order[at : at + size])]  # longest first
+            mask = np.arange(length)[None, :] < np.array([len(ws) for ws, _ in batch])[:, None]
+            own = [slots[w] for ws, _ in batch for w in ws]
+            sizes = np.array([len(x) for x in own])
+            flat = np.concatenate(own)
+            z = np.zeros((*mask.shape, k))
+            z[mask] = np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0)
             e = np.exp(z - z.max(2, keepdims=True))
             mv, st = np.exp(moves), np.exp(start)
-            p, alpha, beta = forward_backward(e, np.ones(y.shape, bool), mv, st)
-            gold = np.eye(k)[y]
+            p, alpha, beta = forward_backward(e, mask, mv, st)
+            gold = np.zeros_like(z)
+            gold[mask] = np.eye(k)[np.concatenate([tags for _, tags in batch])]
             g = gold - p
-            grad = np.zeros_like(weights)
-            np.add.at(grad, f.reshape(-1), np.repeat(g.reshape(-1, k), MOST, 0))
-            grad[SLOTS] = 0
+            each = np.repeat(g[mask], sizes, 0)
+            grad = np.stack([np.bincount(flat, each[:, j], SLOTS) for j in range(k)], 1)
             power += grad**2
             weights += 0.3 * grad / np.sqrt(power) - 1e-5 * weights
-            weights[SLOTS] = 0
             pair = alpha[:, :-1, :, None] * mv[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
+            pair /= np.maximum(pair.sum((2, 3), keepdims=True), 1e-30)
+            both = mask[:, 1:, None, None]
             seen = np.einsum("ntk,ntl->kl", gold[:, :-1], gold[:, 1:])
-            moves += 0.5 * (seen - pair.sum((0, 1))) / (len(batch) * length)
+            moves += 0.5 * (seen - (pair * both).sum((0, 1))) / mask.sum()
             start += 0.5 * g[:, 0].mean(0)
-    return Model(langs, lexicon, weights[:SLOTS].astype(np.float32), np.exp(moves).astype(np.float32), np.exp(start).astype(np.float32))
+    return Model(langs, lexicon, weights.astype(np.float32), np.exp(moves).astype(np.float32), np.exp(start).astype(np.float32))
 
 
 class _Index(dict):
@@ -210,11 +231,8 @@ class Tagger:
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        seqs = [_letters(t) for t in texts]
-        # A letter beyond the word pattern's own notion still makes a word.
-        seqs = [s if s or not t or not any(map(str.isalpha, t)) else ["".join(filter(str.isalpha, t))] for s, t in zip(seqs, texts)]
         langs, scores = [], []
-        for p in self.marginals(seqs):
+        for p in self.marginals([tokens(t) for t in texts]):
             if not len(p):
                 langs.append("und")
                 scores.append(0.0)
@@ -225,10 +243,44 @@ class Tagger:
                 scores.append(float(min(1.0, mean[j])))
         return langs, scores
 
+    def spans(self, texts: list[str | None]) -> list[list[dict]]:
+        """For each text its stretches of one language: start and length in code points, lang, mean marginal.
+
+        A stretch begins with its first word and ends with its last one.
+        """
+        found = [[x for m in WORD.finditer(t or "") if m[0].isalpha() for x in placed(m[0].lower(), m.start(), m.end())] for t in texts]
+        out = []
+        for words, p in zip(found, self.marginals([[w for _, _, w in ws] for ws in found]), strict=True):
+            own: list[dict] = []
+            for (start, end, _), row in zip(words, p, strict=True):
+                j = int(row.argmax())
+                if own and own[-1]["lang"] == self.m.langs[j]:
+                    last = own[-1]
+                    last["length"], last["sum"], last["n"] = max(end, last["start"] + last["length"]) - last["start"], last["sum"] + float(row[j]), last["n"] + 1
+                else:
+                    own.append({"start": start, "length": end - start, "lang": self.m.langs[j], "sum": float(row[j]), "n": 1})
+            out.append([{"start": s["start"], "length": s["length"], "lang": s["lang"], "score": s["sum"] / s["n"]} for s in own])
+        return out
+
+
+def placed(run: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """The pieces of a run that stands at ``start`` to ``end``, each with its own place."""
+    found = pieces(run)
+    for i, piece in enumerate(found):
+        at = start + i * (PIECE - LAP) - 1  # the mark before the run counts as one
+        yield max(start, at), end if i == len(found) - 1 else min(end, at + PIECE), piece
 
-def _letters(text: str | None) -> list[str]:
-    words = WORD.findall(text.lower()) if text else []
-    return words if not words or "".join(words).isalpha() else [w for w in words if w.isalpha()]
+
+def tokens(text: str | None) -> list[str]:
+    """All words of a text, long ones in pieces; a letter beyond the word pattern's own notion makes a word too."""
+    runs = WORD.findall(text.lower()) if text else []
+    if runs and not "".join(runs).isalpha():
+        runs = [r for r in runs if r.isalpha()]
+    if not runs and text and any(map(str.isalpha, text)):
+        runs = ["".join(filter(str.isalpha, text))]
+    if runs and max(map(len, runs)) > LONGEST:
+        return [p for r in runs for p in pieces(r)]
+    return [f"<{r}>" for r in runs]
 
 
 _taggers: dict[int, Tagger] = {}
@@ -243,19 +295,32 @@ def _tagger(model: Model) -> Tagger:
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS, held_out_fold: int = 2) -> Model | None:
-    """Fit on at most ``rows`` texts of each language, chosen by hash outside the held-out fold.
-
-    Of each text a stretch of ``FIT_CHARS`` characters from a hashed offset is learned from.
-    """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != held_out_fold)).select("doc_id", "lang")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= rows).select("doc_id", "lang")
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - FIT_CHARS, F.lit(1))) + 1
-    texts = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(FIT_CHARS)).alias("text"))
-    found = texts.where("text is not null").orderBy("lang", "doc_id", "text").collect()
+    """Fit on at most ``rows`` whole texts of each language, chosen by hash outside the held-out fold."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != held_out_fold)).select("doc_id", "lang", "text")
+    n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("lang", "_lang")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # Eight times as many as are wanted, so that none but these are ranked.
+    some = known.join(n, F.col("lang") == F.col("_lang")).where(draw * F.col("_n") <= 8 * rows)
+    first = W.partitionBy("lang").orderBy(draw, "doc_id", "text")
+    found = some.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= rows).orderBy("lang", "doc_id", "text").select("text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in found])
 
 
+def spans(docs: DataFrame, model: Model | None, text: str = "text", out: str = "spans") -> DataFrame:
+    """Adds the stretches of one language of each whole text: array of (start, length, lang, score)."""
+    kind = "array<struct<start:int,length:int,lang:string,score:double>>"
+    if model is None:
+        return docs.withColumn(out, F.expr(f"CAST(array() AS {kind})"))
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights for each language
+
+    @F.pandas_udf(kind)
+    def labelled(texts: pd.Series) -> pd.Series:
+        return pd.Series(_tagger(shared.value).spans([t if isinstance(t, str) else None for t in texts]), dtype=object)
+
+    return docs.withColumn(out, labelled(F.col(text)))
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score of each whole text to (doc_id, text)."""
     if model is None:
