@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from plexus.session import ship, table
 
-#: Words a worker remembers before it starts anew; it bounds memory, not results.
-MEMO = 100_000
+#: Words a worker remembers before it starts anew, none above MEMO_CHARS; this bounds memory, not results.
+MEMO, MEMO_CHARS = 100_000, 64
 #: Below this code point, but for U+0130, every character is its own NFC form and has one lower-case character.
 PLAIN = 0x180
 
@@ -56,9 +56,11 @@ class _Memo(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(key if isinstance(key, str) else key[0]) <= MEMO_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
         return out
 
 

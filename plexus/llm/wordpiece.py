@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from plexus.session import ship, table
 
-#: Words a worker remembers before it starts anew; it bounds memory, not results.
-MEMO = 400_000
+#: Words a worker remembers before it starts anew, none above MEMO_BYTES; this bounds memory, not results.
+MEMO, MEMO_BYTES = 400_000, 64
 
 
 class Automaton:
@@ -108,9 +108,11 @@ class Counter:
     def word(self, word: bytes) -> int:
         n = self.memo.get(word)
         if n is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            n = self.memo[word] = self.automaton.count("".join([self.letters[b] for b in word]))
+            n = self.automaton.count("".join([self.letters[b] for b in word]))
+            if len(word) <= MEMO_BYTES:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = n
         return n
 
     def text(self, text: str | None) -> tuple[int, int, int]:
