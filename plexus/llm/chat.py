@@ -1,13 +1,14 @@
 """Chat formatting by schema fingerprints.
 
-A record's nested field paths, whatever their types, are hashed to a fingerprint; it selects one of
-the declarative mappings, each of which turns one layout (messages, prompt and answer, instruction and
-input, single turns) into canonical turns of role and text. A template marks the turns, escapes its own
+Of a record's nested field paths, whatever their types, those that any layout names are hashed to a
+fingerprint; it selects one of the declarative mappings, each of which turns one layout (messages, prompt
+and answer, instruction and input, single turns) into canonical turns of role and text. A template marks the turns, escapes its own
 control strings in texts so that reading back restores them, and notes the spans to learn from.
 
-Defined results: null roles and texts are empty. Records of no known layout have null turns and keep
-their fingerprint. Turns that repeat a position are ordered by role and text. Further columns have no
-influence. A conversation is one output row, so it must fit one (2 GB); other rows are independent.
+Defined results: null roles and texts are empty. Fields that no layout names have no influence. An empty
+list of messages is a conversation without turns. Records of no known layout, of fields of two layouts, or
+whose list holds no objects have null turns and keep their fingerprint; :func:`rejected` counts them.
+Turns that repeat a position are ordered by role and text. Further columns have no influence. A conversation is one output row, so it must fit one (2 GB); other rows are independent.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexus.session import table
+from plexus.session import spare_name, table
 
 TURN = "array<struct<role:string,text:string>>"
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -40,7 +41,9 @@ class Layout:
 
 
 def _list(path: str, role: str, text: str) -> str:
-    return f"transform(variant_get(record, '$.{path}', 'array<struct<{role}:string,{text}:string>>'), t -> named_struct('role', CASE t.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE t.{role} END, 'text', t.{text}))"
+    all_ = f"try_variant_get(record, '$.{path}', 'array<struct<{role}:string,{text}:string>>')"
+    objects = f"CASE WHEN NOT exists({all_}, t -> t IS NULL) THEN {all_} END"
+    return f"transform({objects}, t -> named_struct('role', CASE t.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE t.{role} END, 'text', t.{text}))"
 
 
 def _pair(user: str, assistant: str) -> str:
@@ -48,7 +51,7 @@ def _pair(user: str, assistant: str) -> str:
 
 
 def _get(path: str) -> str:
-    return f"variant_get(record, '$.{path}', 'string')"
+    return f"try_variant_get(record, '$.{path}', 'string')"
 
 
 def _system(body: str) -> str:
@@ -57,45 +60,47 @@ def _system(body: str) -> str:
 
 
 LAYOUTS = (
-    Layout("turn", ("role", "text"), f"array(named_struct('role', {_get('role')}, 'text', {_get('text')}))", ("conv_id", "turn")),
-    Layout("messages", ("messages", "messages[].content", "messages[].role"), _list("messages", "role", "content"), ("id",)),
-    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), _list("conversations", "from", "value"), ("id",)),
-    Layout("prompt", ("completion", "prompt"), _system(_pair(_get("prompt"), _get("completion"))), ("system", "id")),
-    Layout("prompt_response", ("prompt", "response"), _system(_pair(_get("prompt"), _get("response"))), ("system", "id")),
-    Layout("instruction", ("instruction", "output"), _system(_pair(f"concat({_get('instruction')}, CASE WHEN coalesce({_get('input')}, '') = '' THEN '' ELSE concat('\\n\\n', {_get('input')}) END)", _get("output"))), ("input", "system", "id")),
-    Layout("question", ("answer", "question"), _pair(_get("question"), _get("answer")), ("id",)),
+    Layout("turn", ("role", "text"), f"array(named_struct('role', {_get('role')}, 'text', {_get('text')}))"),
+    Layout("messages", ("messages",), _list("messages", "role", "content"), ("messages[].content", "messages[].role")),
+    Layout("conversations", ("conversations",), _list("conversations", "from", "value"), ("conversations[].from", "conversations[].value")),
+    Layout("prompt", ("completion", "prompt"), _system(_pair(_get("prompt"), _get("completion"))), ("system",)),
+    Layout("prompt_response", ("prompt", "response"), _system(_pair(_get("prompt"), _get("response"))), ("system",)),
+    Layout("instruction", ("instruction", "output"), _system(_pair(f"concat({_get('instruction')}, CASE WHEN coalesce({_get('input')}, '') = '' THEN '' ELSE concat('\\n\\n', {_get('input')}) END)", _get("output"))), ("input", "system")),
+    Layout("question", ("answer", "question"), _pair(_get("question"), _get("answer"))),
 )
 
 
+def _present(path: str) -> str:
+    """Whether a record has a field, be it null: of the record, or of any object in one of its lists."""
+    outer, _, inner = path.partition("[].")
+    if not inner:
+        return f"variant_get(record, '$.{outer}', 'variant') IS NOT NULL"
+    return f"coalesce(exists(try_variant_get(record, '$.{outer}', 'array<variant>'), x -> try_variant_get(x, '$.{inner}', 'variant') IS NOT NULL), false)"
+
+
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds fingerprint, layout and turns to rows that hold a variant (or JSON text) column.
+    """Adds fingerprint, layout and turns to rows that hold a variant, struct or JSON text column.
 
     JSON that does not parse, and null, have a null fingerprint.
     """
     kind = dict(records.dtypes)[record]
     data = F.col(record) if kind == "variant" else F.try_parse_json(F.col(record)) if kind == "string" else F.to_variant_object(F.col(record))
-    rows = records.withColumn("record", data)
-    # OBJECT<a: STRING, m: ARRAY<OBJECT<b: STRING>>>: types go, names and nesting stay.
-    shape = F.schema_of_variant("record")
-    bare = F.regexp_replace(shape, r": (?!ARRAY<|OBJECT<)[A-Z0-9(),_ ]+?(?=, [^ ]+: |>|$)", "")
-    rows = rows.withColumn("_shape", bare).withColumn("fingerprint", F.xxhash64("_shape"))
+    held = spare_name("held", records)
+    rows = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias(held), data.alias("record"))
+    named = sorted({p for one in layouts for p in (*one.paths, *one.optional)})
+    found = F.filter(F.array(*[F.when(F.expr(_present(p)), F.lit(p)) for p in named]), lambda p: p.isNotNull())
+    rows = rows.withColumn("fingerprint", F.when(F.col("record").isNotNull(), F.xxhash64(F.concat_ws(",", found))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for one in layouts:
-        known = [_shape(p) for p in one.path_sets()]
-        hit = F.col("fingerprint").isin([F.xxhash64(F.lit(k)) for k in known])
+        hit = F.col("fingerprint").isin([F.xxhash64(F.lit(",".join(p))) for p in one.path_sets()])
         layout = F.when(hit, F.lit(one.name)).otherwise(layout)
         turns = F.when(hit, F.expr(one.turns)).otherwise(turns)
-    return rows.withColumns({"layout": layout, "turns": turns}).drop("_shape")
+    return rows.withColumns({"layout": layout, "turns": turns}).select(f"{held}.*", "fingerprint", "layout", "turns")
 
 
-def _shape(paths: tuple[str, ...]) -> str:
-    """The shape that :func:`canonical_turns` makes of a record with these paths."""
-    tops = [p for p in paths if "[]." not in p]
-    parts = []
-    for t in tops:
-        inner = [p.split("[].", 1)[1] for p in paths if p.startswith(f"{t}[].")]
-        parts.append(f"{t}: ARRAY<OBJECT<{', '.join(inner)}>>" if inner else t)
-    return f"OBJECT<{', '.join(parts)}>"
+def rejected(known: DataFrame) -> DataFrame:
+    """(fingerprint, layout, n): how many records of :func:`canonical_turns` have no turns, by what they look like."""
+    return known.where("turns IS NULL").groupBy("fingerprint", "layout").agg(F.count(F.lit(1)).alias("n"))
 
 
 def escape(text: Column) -> Column:
@@ -156,17 +161,17 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.lit(False).alias("added"), F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     say = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], rows.schema)
-    records = rows.unionByName(extra).select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
-    known = canonical_turns(records)
-    turns = known.select("conv_id", "turn", F.inline("turns"))
-    back = read_back(formatted(turns))
+    extra = spark.createDataFrame([(True, -1, 0, "user", say), (True, -1, 1, "assistant", say)], rows.schema)
+    # A conversation of the table that is numbered -1 as well is another one.
+    records = rows.unionByName(extra).select(F.struct("conv_id", "added").alias("conv"), "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
+    turns = canonical_turns(records).select("conv", "turn", F.inline_outer("turns"))
+    back = read_back(formatted(turns, "conv"))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     learned = F.concat_ws("", "learned")
     return back.select(
-        "conv_id",
+        "conv.conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.char_length(learned).cast("bigint").alias("loss_chars"),
