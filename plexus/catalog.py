@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import argmax0, node_key
+from plexus.functions.ranks import running
 from plexus.operators import attend as A
 from plexus.operators import edges as E
 from plexus.operators import metrics as M
@@ -50,7 +51,7 @@ def _walk(edges: str, starts: str, per: int, length: int, seed: int = 0) -> str:
         ctes.append(f"w{t} AS (SELECT start, walk, coalesce(adj.dst, w.node) AS node FROM w{t - 1} w LEFT JOIN deg ON deg.src = w.node LEFT JOIN adj ON adj.src = w.node AND adj.pos = {key} % deg.deg)")
     ctes.append("steps AS (" + " UNION ALL ".join(f"SELECT start, walk, {t}::BIGINT AS step, node FROM w{t}" for t in range(length + 1)) + ")")
     ctes.append("lagged AS (SELECT *, lag(node) OVER (PARTITION BY start, walk ORDER BY step) AS prev FROM steps)")
-    return ", ".join(ctes)
+    return ", ".join(c.replace(" AS (", " AS MATERIALIZED (", 1) if c[0] == "w" or c[:3] in ("adj", "deg") else c for c in ctes)
 
 
 def _pool(min_hop: int) -> str:
@@ -93,10 +94,17 @@ def _merged(spark: SparkSession, sf: str) -> DataFrame:
     return S.merged(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 4, 4)
 
 
+def _split(spark: SparkSession, sf: str, part: str) -> DataFrame:
+    """The nodes of one part of the split."""
+    return G.splits(spark, sf).where(F.col("part") == part).select("id")
+
+
 def _some(spark: SparkSession, sf: str, cond: str) -> DataFrame:
     return G.nodes(spark, sf).where(cond).select("id")
 
 
+_TRAIN, _TEST = f"{_hn('vec_id')} % 10 < 6", f"{_hn('vec_id')} % 10 >= 8"
+
 # --- sources, filters and set operations
 
 
@@ -128,19 +136,12 @@ def _(spark, sf):
     return m.select(names[F.col("k")].alias("part"), F.explode("ids").alias("id"))
 
 
-@query("row_l1_norm", f"WITH {_NODES} SELECT id, round(list_sum(list_transform(x, lambda v: abs(v / list_sum(x)))), 4) AS total FROM nodes WHERE abs(list_sum(x)) > 0.5")
-def _(spark, sf):
-    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
-    n = G.nodes(spark, sf).withColumn("t", total).where(F.abs("t") > 0.5)
-    return n.select("id", F.round(F.aggregate(F.transform("x", lambda v: F.abs(v / F.col("t"))), F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
-
-
-@query("row_l1_norm_all")
+@query("row_l1_norm", f"WITH {_NODES}, t AS (SELECT id, list_sum(x) AS t, list_sum(list_transform(x, lambda v: abs(v))) AS size FROM nodes) SELECT id, round(CASE WHEN t = 0 THEN 0 ELSE ln(size / abs(t)) END, 6) AS log_total FROM t")
 def _(spark, sf):
-    n = G.nodes(spark, sf).withColumn("t", F.aggregate("x", F.lit(0.0), lambda s, v: s + v))
+    # Compared by logarithm, since a sum near 0 makes the normalised entries large.
+    n = E.row_normalised(G.nodes(spark, sf))
     size = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.abs(v))
-    # A row without a sum is normalised to zeros, as in the reference.
-    return n.select("id", F.when(F.col("t") == 0, F.lit(0.0)).otherwise(size / F.abs(F.nullif("t", F.lit(0.0)))).alias("total"))
+    return n.select("id", F.round(F.when(size > 0, F.ln(size)).otherwise(0.0), 6).alias("log_total"))
 
 
 @query("dst_semi_filter", f"WITH {_ITEM} SELECT src, dst FROM item WHERE dst IN (SELECT vec_id FROM embeddings WHERE label = 3)")
@@ -148,9 +149,11 @@ def _(spark, sf):
     return E.by_destination(G.item_edges(spark, sf), _some(spark, sf, "y = 3"))
 
 
-@query("edge_slice", f"WITH {_ITEM} SELECT src - 50 AS src, dst - 50 AS dst FROM item WHERE src BETWEEN 50 AND 149 AND dst BETWEEN 50 AND 149")
+@query("edge_slice", f"WITH {_ITEM} SELECT r, src - r * c // 4 AS src, dst - r * c // 4 AS dst FROM item, n, range(4) t(r) WHERE src >= r * c // 4 AND src < (r + 1) * c // 4 AND dst >= r * c // 4 AND dst < (r + 1) * c // 4")
 def _(spark, sf):
-    return E.window_slice(G.item_edges(spark, sf), 50, 150)
+    e, c = G.item_edges(spark, sf), G.n_nodes(spark, sf)
+    ranks = [E.window_slice(e, r * c // 4, (r + 1) * c // 4).select(F.lit(r).cast("bigint").alias("r"), "src", "dst") for r in range(4)]
+    return ranks[0].unionByName(ranks[1]).unionByName(ranks[2]).unionByName(ranks[3])
 
 
 @query("virtual_node_edges", f"WITH {_ITEM} SELECT src + 1 AS src, dst + 1 AS dst FROM item UNION ALL SELECT vec_id + 1, 0 FROM embeddings UNION ALL SELECT 0, vec_id + 1 FROM embeddings")
@@ -183,9 +186,9 @@ def _(spark, sf):
     return E.set_measures(S.topk(e, 4, 17), S.topk(e, 6, 18))
 
 
-@query("induced_subgraph", f"WITH {_ITEM}, b AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id % 5 = 2) SELECT s.pos AS src, d.pos AS dst FROM item JOIN b s ON s.node = src JOIN b d ON d.node = dst")
+@query("induced_subgraph", f"WITH {_ITEM}, b AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE {_TRAIN}) SELECT s.pos AS src, d.pos AS dst FROM item JOIN b s ON s.node = src JOIN b d ON d.node = dst")
 def _(spark, sf):
-    batch = _some(spark, sf, "id % 5 = 2").select(F.col("id").alias("node"), F.expr("(id - 2) div 5").alias("pos"))
+    batch = running(_split(spark, sf, "train"), ["id"], {"pos": F.lit(1)}).select(F.col("id").alias("node"), F.col("pos").cast("bigint").alias("pos"))
     return E.induced(G.item_edges(spark, sf), batch)
 
 
@@ -194,9 +197,9 @@ def _(spark, sf):
     return E.induced(G.item_edges(spark, sf), E.sampled_nodes(G.nodes(spark, sf), 100, 3))
 
 
-@query("edge_power2", f"WITH {_ITEM}, t AS (SELECT src, dst FROM {_top('item', 4, 17)}) SELECT DISTINCT a.src, b.dst FROM t a JOIN t b ON a.dst = b.src")
+@query("edge_power2", f"WITH {_ITEM} SELECT DISTINCT a.src, b.dst FROM item a JOIN item b ON a.dst = b.src")
 def _(spark, sf):
-    return E.edge_power(S.topk(G.item_edges(spark, sf), 4, 17), 2)
+    return E.edge_power(G.item_edges(spark, sf), 2)
 
 
 @query("sparsity", f"WITH {_ITEM} SELECT 1 - count(*) / (max(c) * max(c)) AS sparsity FROM item, n")
@@ -256,18 +259,18 @@ def _(spark, sf):
     return S.seed_subgraph(G.item_edges(spark, sf), _some(spark, sf, "y = 1"), 3, 3)
 
 
-@query("seed_first_nodes", f"WITH {_ITEM}, t AS (SELECT src, dst FROM {_top('item', 4, 17)} WHERE dst % 10 = 0), s AS (SELECT vec_id AS node FROM embeddings WHERE vec_id % 10 = 0) SELECT node, false AS is_context FROM s UNION ALL SELECT node, true FROM (SELECT src AS node FROM t UNION SELECT dst FROM t) ANTI JOIN s USING (node)")
+@query("seed_first_nodes", f"WITH {_ITEM}, s AS (SELECT vec_id AS node FROM embeddings WHERE {_TRAIN}), t AS (SELECT src, dst FROM {_top('item', 4, 17)} WHERE dst IN (SELECT node FROM s)) SELECT node, false AS is_context FROM s UNION ALL SELECT node, true FROM (SELECT src AS node FROM t UNION SELECT dst FROM t) ANTI JOIN s USING (node)")
 def _(spark, sf):
-    e = S.topk(G.item_edges(spark, sf), 4, 17).where("dst % 10 = 0")
-    return S.seed_first(_some(spark, sf, "id % 10 = 0"), e)
+    seeds = _split(spark, sf, "train")
+    return S.seed_first(seeds, E.by_destination(S.topk(G.item_edges(spark, sf), 4, 17), seeds))
 
 
-_FAN = f"WITH {_ITEM}, f1 AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_h('dst', 'src', 1)}, dst) AS r FROM item) WHERE r <= 3), f2 AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_h('dst', 'src', 2)}, dst) AS r FROM item) WHERE r <= 2), q AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 = 0), a AS (SELECT q.id AS dst, f1.dst AS cur FROM q JOIN f1 ON f1.src = q.id), b AS (SELECT a.dst, f2.dst AS cur FROM a JOIN f2 ON f2.src = a.cur)"
+_FAN = f"WITH {_ITEM}, f1 AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_h('dst', 'src', 1)}, dst) AS r FROM item) WHERE r <= 3), f2 AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_h('dst', 'src', 2)}, dst) AS r FROM item) WHERE r <= 2), q AS (SELECT vec_id AS id FROM embeddings), a AS (SELECT q.id AS dst, f1.dst AS cur FROM q JOIN f1 ON f1.src = q.id), b AS (SELECT a.dst, f2.dst AS cur FROM a JOIN f2 ON f2.src = a.cur)"
 
 
 @query("fanout_pool", _FAN + " SELECT cur AS src, dst, 1::BIGINT AS hop FROM a WHERE cur <> dst UNION ALL SELECT cur, dst, 2 FROM b WHERE cur <> dst")
 def _(spark, sf):
-    return S.fanout_pool(G.item_edges(spark, sf), _some(spark, sf, "id % 10 = 0"), (3, 2))
+    return S.fanout_pool(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), (3, 2))
 
 
 @query("merged_edges", _MERGED + " SELECT src, dst FROM merged")
@@ -283,28 +286,29 @@ def _(spark, sf):
     return S.merged_typed(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 4, 4)
 
 
-@query("probe_pools", _MERGED + f", cone AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 = 0), r AS (SELECT src, dst FROM item WHERE dst IN (SELECT id FROM cone)), p AS (SELECT src, dst FROM pool WHERE dst IN (SELECT id FROM cone)) SELECT p.src, p.dst FROM p ANTI JOIN r ON p.src = r.src AND p.dst = r.dst")
+@query("probe_pools", _MERGED + f", d0 AS (SELECT vec_id AS id FROM embeddings WHERE {_TEST}), cone AS (SELECT id FROM d0 UNION SELECT src FROM item WHERE dst IN (SELECT id FROM d0)), r AS (SELECT src, dst FROM item WHERE dst IN (SELECT id FROM cone)), p AS (SELECT src, dst FROM pool WHERE dst IN (SELECT id FROM cone)) SELECT p.src, p.dst FROM p ANTI JOIN r ON p.src = r.src AND p.dst = r.dst")
 def _(spark, sf):
-    cone, e = _some(spark, sf, "id % 7 = 0"), G.item_edges(spark, sf)
+    e = G.item_edges(spark, sf)
+    cone = P.reception_cone(e, _split(spark, sf, "test"), 2)
     return E.subtract(E.by_destination(_pooled(spark, sf), cone), E.by_destination(e, cone))
 
 
 # --- spreading
 
 
-_CONE = f"WITH {_ITEM}, t AS (SELECT src, dst FROM {_top('item', 4, 17)}), d0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 50 = 0), d1 AS (SELECT DISTINCT src AS id FROM t WHERE dst IN (SELECT id FROM d0) EXCEPT SELECT id FROM d0), d2 AS (SELECT DISTINCT src AS id FROM t WHERE dst IN (SELECT id FROM d1) EXCEPT (SELECT id FROM d0 UNION SELECT id FROM d1))"
+_CONE = f"WITH {_ITEM}, d0 AS (SELECT vec_id AS id FROM embeddings WHERE {_TEST}), d1 AS (SELECT DISTINCT src AS id FROM item WHERE dst IN (SELECT id FROM d0) EXCEPT SELECT id FROM d0), d2 AS (SELECT DISTINCT src AS id FROM item WHERE dst IN (SELECT id FROM d1) EXCEPT (SELECT id FROM d0 UNION SELECT id FROM d1))"
 
 
 @query("reception_cone", _CONE + " SELECT id, 0::BIGINT AS depth FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2")
 def _(spark, sf):
-    return P.reception_cone(S.topk(G.item_edges(spark, sf), 4, 17), _some(spark, sf, "id % 50 = 0"), 3)
+    return P.reception_cone(G.item_edges(spark, sf), _split(spark, sf, "test"), 3)
 
 
-_SPD = f"WITH {_ITEM}, b AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 = 1), t AS (SELECT src, dst FROM {_top('item', 8, 17)} UNION SELECT dst, src FROM {_top('item', 8, 17)}), u AS (SELECT DISTINCT src, dst FROM t WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b) AND src <> dst), d2 AS (SELECT DISTINCT a.src, c.dst FROM u a JOIN u c ON a.dst = c.src), spd AS (SELECT x.id AS src, y.id AS dst, CASE WHEN x.id = y.id THEN 0 WHEN (x.id, y.id) IN (SELECT (src, dst) FROM u) THEN 1 WHEN (x.id, y.id) IN (SELECT (src, dst) FROM d2) THEN 2 ELSE 3 END::BIGINT AS bin FROM b x, b y)"
+_SPD = f"WITH {_ITEM}, {_BOTH}, b AS (SELECT vec_id AS id, vec_id // 50 AS batch FROM embeddings), u AS (SELECT DISTINCT src, dst FROM both_ JOIN b p ON p.id = src JOIN b q ON q.id = dst AND q.batch = p.batch WHERE src <> dst), d2 AS (SELECT DISTINCT a.src, c.dst FROM u a JOIN u c ON a.dst = c.src), spd AS (SELECT x.id AS src, y.id AS dst, CASE WHEN x.id = y.id THEN 0 WHEN u.src IS NOT NULL THEN 1 WHEN d2.src IS NOT NULL THEN 2 ELSE 3 END::BIGINT AS bin FROM b x JOIN b y ON x.batch = y.batch LEFT JOIN u ON u.src = x.id AND u.dst = y.id LEFT JOIN d2 ON d2.src = x.id AND d2.dst = y.id)"
 
 
 def _spd(spark, sf):
-    return P.spd_bins(S.topk(G.item_edges(spark, sf), 8, 17).select("src", "dst"), _some(spark, sf, "id % 10 = 1"), 3)
+    return P.spd_bins(G.item_edges(spark, sf), G.nodes(spark, sf).select("id", F.expr("id div 50").alias("batch")), 3)
 
 
 @query("spd_bins", _SPD + " SELECT src, dst, bin FROM spd")
@@ -345,30 +349,12 @@ def _(spark, sf):
     return _explode(m.select("id", F.array(*[f"c{i}" for i in range(WIDTH)]).alias("x")), "x", "id")
 
 
-def _ppr(rounds: int) -> str:
-    ctes = [f"t AS (SELECT src, dst FROM {_top('item', 4, 17)})", "dg AS (SELECT src, count(*) AS deg FROM t GROUP BY src)", "st AS (SELECT t.src AS a, t.dst AS b, 1 / deg AS p FROM t JOIN dg ON dg.src = t.src)", "q AS (SELECT vec_id AS s FROM embeddings WHERE vec_id % 25 = 0)", "r0 AS (SELECT s, s AS v, 1.0::DOUBLE AS r FROM q)"]
-    for i in range(1, rounds + 1):
-        ctes.append(f"r{i} AS (SELECT s, v, sum(r) AS r FROM (SELECT s, b AS v, r * p * 0.85 AS r FROM r{i - 1} JOIN st ON st.a = v UNION ALL SELECT s, s, 0.15 FROM q) GROUP BY s, v)")
-    return ", ".join(ctes)
-
-
-@query("ppr_topk", f"WITH {_ITEM}, {_ppr(4)} SELECT s AS src, v AS dst, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(r, 9) DESC, v) AS k FROM r4 WHERE s <> v) WHERE k <= 5")
+@query("ppr_topk")
 def _(spark, sf):
-    return P.ppr_topk(S.topk(G.item_edges(spark, sf), 4, 17).select("src", "dst"), _some(spark, sf, "id % 25 = 0"), 5)
+    return P.ppr_topk(G.item_edges(spark, sf), _split(spark, sf, "test"), 5)
 
 
-_COMP = f"WITH RECURSIVE {_BUY}, thin AS (SELECT src, dst FROM buy WHERE {_h('src', 'dst', 9)} % 40 = 0), e AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)"
-
-
-@query("components", _COMP + " SELECT node, min(seen) AS component FROM r GROUP BY node")
-def _(spark, sf):
-    from plexus.functions.keys import edge_key
-
-    thin = G.purchase_edges(spark, sf).where(edge_key(F.col("src"), F.col("dst"), 9) % 40 == 0)
-    return components(thin.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-
-
-@query("components_all")
+@query("components")
 def _(spark, sf):
     return components(G.purchase_edges(spark, sf).select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
@@ -537,7 +523,7 @@ def _(spark, sf):
     return M.hop_report(_shares(spark, sf)).select("hop", F.round("ratio", 9).alias("ratio"), F.round("graph_ratio", 9).alias("graph_ratio"))
 
 
-_RUNS = "runs AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS epoch, value::DOUBLE AS loss FROM events QUALIFY epoch <= 20)"
+_RUNS = "runs AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS epoch, value::DOUBLE AS loss FROM events)"
 
 
 def _runs(spark, sf):
@@ -552,22 +538,12 @@ def _best(runs: DataFrame) -> DataFrame:
     return M.best_by_validation(runs.select("run", "epoch", F.floor(F.col("loss") / 20).alias("valid"), F.col("loss").alias("test")))
 
 
-@query("ema_loss", f"WITH RECURSIVE {_RUNS}, f AS (SELECT run, epoch, loss AS ema FROM runs WHERE epoch = 1 UNION ALL SELECT f.run, r.epoch, f.ema * 0.9 + r.loss * 0.1 FROM f JOIN runs r ON r.run = f.run AND r.epoch = f.epoch + 1) SELECT run, round(arg_max(ema, epoch), 6) AS ema FROM f GROUP BY run")
-def _(spark, sf):
-    return M.ema(_runs(spark, sf).where("epoch <= 20")).withColumn("ema", F.round("ema", 6))
-
-
-@query("ema_loss_all")
+@query("ema_loss")
 def _(spark, sf):
     return M.ema(_runs(spark, sf))
 
 
 @query("best_by_val", f"WITH {_RUNS} SELECT run, epoch, test FROM (SELECT run, epoch, loss AS test, row_number() OVER (PARTITION BY run ORDER BY floor(loss / 20) DESC, epoch) AS k FROM runs) WHERE k = 1")
-def _(spark, sf):
-    return _best(_runs(spark, sf).where("epoch <= 20"))
-
-
-@query("best_by_val_all")
 def _(spark, sf):
     return _best(_runs(spark, sf))
 
@@ -599,7 +575,7 @@ def _(spark, sf):
     return grid.select("w", "l", B.working_set(F.col("e"), F.lit(G.n_nodes(spark, sf)), F.col("w"), F.col("l")).alias("bytes"))
 
 
-@query("budget_grid", "SELECT a * 2 AS real, b * 2 AS rw FROM range(5) x(a), range(5) y(b) WHERE a * 2 + b * 2 <= 8 AND a + b > 0")
+@query("budget_grid", "SELECT row_number() OVER (ORDER BY a + b, b) - 1 AS place, a * 2 AS real, b * 2 AS rw FROM (VALUES (1::BIGINT, 0::BIGINT), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (4, 0), (4, 2)) t(a, b) WHERE a * 2 + b * 2 <= 8")
 def _(spark, sf):
     return B.initial_grid(spark, 8)
 
@@ -617,7 +593,5 @@ def _(spark, sf):
 
 @query("random_batches", f"SELECT vec_id AS id, (row_number() OVER (ORDER BY {_hn('vec_id', 5)}, vec_id) - 1) // 64 AS batch FROM embeddings")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
-    r = F.row_number().over(W.orderBy(node_key(F.col("id"), 5), "id")) - 1
-    return G.nodes(spark, sf).select("id", F.floor(r / 64).cast("bigint").alias("batch"))
+    nodes = G.nodes(spark, sf).select("id", node_key(F.col("id"), 5).alias("key"))
+    return running(nodes, ["key", "id"], {"at": F.lit(1)}).select("id", F.floor(F.col("at") / 64).cast("bigint").alias("batch"))

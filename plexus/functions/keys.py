@@ -14,16 +14,21 @@ OFFSET = 12345
 MODULUS = 2147483648
 
 
+def _low(x: Column) -> Column:
+    """Reduced before it is multiplied, so that no identifier overflows; the key is the same."""
+    return F.pmod(x, F.lit(MODULUS))
+
+
 def edge_key(src: Column, dst: Column, seed: int) -> Column:
-    return F.pmod(src * SRC_FACTOR + dst * DST_FACTOR + F.lit(seed * SEED_FACTOR + OFFSET), F.lit(MODULUS))
+    return F.pmod(_low(src) * SRC_FACTOR + _low(dst) * DST_FACTOR + F.lit(seed * SEED_FACTOR + OFFSET), F.lit(MODULUS))
 
 
 def walk_key(start: Column, walk: Column, step: int, seed: int) -> Column:
-    return F.pmod(start * SRC_FACTOR + walk * DST_FACTOR + F.lit(step * STEP_FACTOR + seed * SEED_FACTOR + OFFSET), F.lit(MODULUS))
+    return F.pmod(_low(start) * SRC_FACTOR + _low(walk) * DST_FACTOR + F.lit(step * STEP_FACTOR + seed * SEED_FACTOR + OFFSET), F.lit(MODULUS))
 
 
 def node_key(node: Column, seed: int = 0) -> Column:
-    return F.pmod(node * SRC_FACTOR + F.lit(seed * SEED_FACTOR + OFFSET), F.lit(MODULUS))
+    return F.pmod(_low(node) * SRC_FACTOR + F.lit(seed * SEED_FACTOR + OFFSET), F.lit(MODULUS))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

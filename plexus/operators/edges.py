@@ -120,3 +120,9 @@ def expander(ids: DataFrame, cycles: int, seed: int = 0) -> DataFrame:
         e = ids.select(F.col("id").alias("src"), F.coalesce(F.lead("id").over(order), F.first("id").over(whole)).alias("dst")).where("src <> dst")
         out += [e, flip(e)]
     return reduce(DataFrame.unionByName, out)
+
+
+def row_normalised(nodes: DataFrame) -> DataFrame:
+    """(id, x, ...) with each row of x divided by its sum; a row without a sum becomes zeros."""
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    return nodes.withColumn("x", F.transform("x", lambda v: F.when(total == 0, F.lit(0.0)).otherwise(v / F.nullif(total, F.lit(0.0)))))

@@ -46,18 +46,22 @@ class Controller:
             self.idle, self.run = self.idle + 1, ("", 0)
             self.frozen = self.idle >= max(3, self.patience)
             return False
-        self.idle = 0
         self.run = (kind, self.run[1] + 1 if self.run[0] == kind else 1)
         if self.run[1] < min(self.moves + 1, 3):
             return False
-        (self.real, self.rw), self.moves, self.run = options[kind], self.moves + 1, ("", 0)
+        (self.real, self.rw), self.moves, self.run, self.idle = options[kind], self.moves + 1, ("", 0), 0
         return True
 
 
-def initial_grid(spark: SparkSession, ceiling: int) -> DataFrame:
-    """(real, rw) anchors within the ceiling."""
-    b = spark.range(0, 5).select((F.col("id") * BLOCK).alias("v"))
-    return b.select(F.col("v").alias("real")).crossJoin(b.select(F.col("v").alias("rw"))).where(f"real + rw <= {ceiling} and real + rw > 0")
+# The first budgets (real, walk) to try, in blocks.
+ANCHORS = ((1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (4, 0), (4, 2))
+
+
+def initial_grid(spark: SparkSession, ceiling: int, block: int = BLOCK) -> DataFrame:
+    """(place, real, rw): the anchors within the ceiling by total and walk budget; if none, one of real edges only."""
+    fit = sorted({(a * block, b * block) for a, b in ANCHORS if (a + b) * block <= ceiling}, key=lambda p: (sum(p), p[1]))
+    fit = (fit or [(min(ceiling, block), 0)]) if ceiling > 0 else []
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(fit)], "place bigint, real bigint, rw bigint")
 
 
 def probe_choice(probes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Edge cases on graphs of a few edges."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from plexus.components import components
 from plexus.operators import attend, edges, metrics, sample, spread
@@ -61,7 +62,7 @@ def test_cone_and_distances_on_a_path(spark):
     path = frame(spark, [(i, i + 1) for i in range(4)])
     cone = got(spread.reception_cone(path, spark.range(4, 5), 3))
     assert cone == [(2, 2), (3, 1), (4, 0)]
-    d = {(r[0], r[1]): r[2] for r in spread.spd_bins(path, ids(spark, 5), 2).collect()}
+    d = {(r[0], r[1]): r[2] for r in spread.spd_bins(path, ids(spark, 5).selectExpr("id", "0 AS batch"), 2).collect()}
     assert d[0, 0] == 0 and d[0, 1] == 1 and d[0, 4] == 2 and len(d) == 25
 
 
@@ -113,3 +114,32 @@ def test_stream_of_edges_keeps_topk(spark, tmp_path):
             frame(spark, more).coalesce(1).write.mode("append").parquet(src)
         keep_topk(stream(), str(tmp_path / "out"), str(tmp_path / "cp"), 4, 17).awaitTermination()
     assert got(latest(spark.read.parquet(str(tmp_path / "out")))) == got(sample.topk(frame(spark, star), 4, 17))
+
+
+def test_keys_of_large_identifiers(spark):
+    from plexus.functions.keys import edge_key, node_key
+
+    r = spark.range(1).select(F.lit(10**18).alias("a"), F.lit(2**31 + 5).alias("b")).select(edge_key(F.col("a"), F.col("b"), 17), node_key(F.col("a"), 3)).first()
+    assert tuple(r) == ((10**18 * 1103515245 + (2**31 + 5) * 214013 + 17 * 2654435761 + 12345) % 2**31, (10**18 * 1103515245 + 3 * 2654435761 + 12345) % 2**31)
+
+
+def test_first_budgets(spark):
+    from plexus.plans.budget import initial_grid
+
+    pairs = lambda *a: [(r["real"], r["rw"]) for r in initial_grid(spark, *a).orderBy("place").collect()]
+    assert pairs(8) == [(2, 0), (4, 0), (2, 2), (4, 2), (2, 4), (8, 0), (4, 4)]
+    assert pairs(1) == [(1, 0)] and pairs(0) == []
+
+
+def test_running_positions_over_ranges(spark):
+    from plexus.functions.ranks import numbered, running
+
+    d = spark.range(1000).selectExpr("id", "id % 7 AS v", "1 AS part")
+    got = {r["id"]: (r["at"], r["before"]) for r in running(d, ["v", "id"], {"at": F.lit(1), "before": "v"}, 60).collect()}
+    total = 0
+    for i, x in enumerate(sorted(range(1000), key=lambda x: (x % 7, x))):
+        assert got[x] == (i, total)
+        total += x % 7
+    assert running(d.where("id < 0"), ["id"], {"at": F.lit(1)}).count() == 0
+    many = numbered(spark.createDataFrame([("a", 5, 1), ("b", 0, 1), ("c", 23, 1)], "k string, n bigint, block int"), "n", "i", 10)
+    assert sorted((r["k"], r["i"]) for r in many.collect()) == [("a", i) for i in range(5)] + [("c", i) for i in range(23)]

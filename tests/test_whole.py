@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from plexus import catalog
-from plexus.operators import spread
+from plexus.operators import edges, spread
 from plexus.session import table
 from plexus.sources import graphs as G
 
@@ -54,7 +54,7 @@ def test_components_of_all_purchases(spark):
     for i, j in G.purchase_edges(spark, SF).collect():
         p, q = find(i), find(j)
         root[max(p, q)] = min(p, q)
-    assert dict(map(tuple, catalog.QUERIES["components_all"](spark, SF).collect())) == {v: find(v) for v in root}
+    assert dict(map(tuple, catalog.QUERIES["components"](spark, SF).collect())) == {v: find(v) for v in root}
 
 
 @tables
@@ -63,8 +63,8 @@ def test_runs_are_folded_and_searched_to_their_end(spark):
     for r in sorted(table(spark, SF, "events").collect(), key=lambda r: r["event_id"]):
         runs.setdefault(r["event_type"], []).append(float(r["value"]))
     assert min(map(len, runs.values())) > 20
-    ema = dict(map(tuple, catalog.QUERIES["ema_loss_all"](spark, SF).collect()))
-    best = {r["run"]: (r["epoch"], r["test"]) for r in catalog.QUERIES["best_by_val_all"](spark, SF).collect()}
+    ema = dict(map(tuple, catalog.QUERIES["ema_loss"](spark, SF).collect()))
+    best = {r["run"]: (r["epoch"], r["test"]) for r in catalog.QUERIES["best_by_val"](spark, SF).collect()}
     for run, losses in runs.items():
         e = losses[0]
         for v in losses[1:]:
@@ -76,6 +76,46 @@ def test_runs_are_folded_and_searched_to_their_end(spark):
 
 @tables
 def test_every_row_is_normalised(spark):
-    want = {r["id"]: sum(map(abs, r["x"])) / abs(sum(r["x"])) for r in G.nodes(spark, SF).collect()}
-    got = dict(map(tuple, catalog.QUERIES["row_l1_norm_all"](spark, SF).collect()))
-    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+    rows = {r["id"]: r["x"] for r in G.nodes(spark, SF).collect()}
+    got = dict(map(tuple, catalog.QUERIES["row_l1_norm"](spark, SF).collect()))
+    assert got.keys() == rows.keys() and all(got[i] == pytest.approx(np.log(sum(map(abs, x)) / abs(sum(x))), abs=1e-5) for i, x in rows.items())
+    zero = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, 3.0])], "id bigint, x array<double>")
+    assert {r["id"]: r["x"] for r in edges.row_normalised(zero).collect()} == {1: [0.0, 0.0], 2: [0.25, 0.75]}
+
+
+def test_page_rank_settles(spark):
+    rng = np.random.default_rng(3)
+    n = 40
+    pairs = sorted({(int(i), int(j)) for i, j in rng.integers(0, n, (160, 2)) if i != j} | {(i, (i + 1) % n) for i in range(n)})
+    got = {(r["src"], r["rank"]): r["dst"] for r in spread.ppr_topk(spark.createDataFrame(pairs, "src bigint, dst bigint"), spark.range(0, n, 5), 4).collect()}
+    step = np.zeros((n, n))
+    for i, j in pairs:
+        step[i, j] = 1
+    step /= step.sum(1, keepdims=True)
+    for s in range(0, n, 5):
+        r = np.linalg.solve(np.eye(n) - 0.85 * step.T, 0.15 * np.eye(n)[s])
+        r[s] = -1
+        order = np.argsort(-r, kind="stable")
+        gaps = r[order[:4]] - r[order[1:5]]
+        for k in range(4):
+            if gaps[k] > 1e-4 and (k == 0 or gaps[k - 1] > 1e-4):
+                assert got[s, k + 1] == order[k]
+
+
+def favor(x, fixed):
+    """Linear attention of x to itself by positive random features, both sides scaled by width ** -1/4."""
+    width = x.shape[1]
+    u = x / width**0.25 @ fixed.T
+    h = (x**2).sum(1, keepdims=True) / (2 * width**0.5)
+    q, k = np.exp(u - h - u.max(1, keepdims=True)) + 1e-4, np.exp(u - h - u.max()) + 1e-4
+    return (q @ (k.T @ x)) / (q @ k.sum(0))[:, None]
+
+
+@tables
+def test_random_features_give_the_attention_of_their_formula(spark):
+    rows = G.nodes(spark, SF).collect()
+    x = np.array([r["x"] for r in rows])
+    fixed = np.sin(1.0 + 7.0 * np.arange(8)[:, None] + 3.0 * np.arange(64)[None, :])
+    want = favor(x, fixed)
+    got = {(r["id"], r["dim"]): r["v"] for r in catalog.QUERIES["favor_attention"](spark, SF).collect()}
+    assert len(got) == x.size and all(got[r["id"], d] == pytest.approx(want[i, d], abs=2e-5) for i, r in enumerate(rows) for d in range(64))
