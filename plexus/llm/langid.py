@@ -32,7 +32,7 @@ from plexus.llm.toxicity import fold
 from plexus.session import ship, table
 
 #: Labelled rows of each language that are learned from, whole, at most; the only bound of the fit.
-FIT_ROWS = 120
+FIT_ROWS, SALTS = 120, 24
 SLOTS = 1 << 16
 LEXICON = 400
 #: Runs up to LONGEST letters are words; longer ones are read in pieces of PIECE that overlap by LAP.
@@ -295,14 +295,20 @@ def _tagger(model: Model) -> Tagger:
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS, held_out_fold: int = 2) -> Model | None:
-    """Fit on at most ``rows`` whole texts of each language, chosen by hash outside the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != held_out_fold)).select("doc_id", "lang", "text")
-    n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("lang", "_lang")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # Eight times as many as are wanted, so that none but these are ranked.
-    some = known.join(n, F.col("lang") == F.col("_lang")).where(draw * F.col("_n") <= 8 * rows)
-    first = W.partitionBy("lang").orderBy(draw, "doc_id", "text")
-    found = some.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= rows).orderBy("lang", "doc_id", "text").select("text", "lang").collect()
+    """Fit on at most ``rows`` whole texts of each language, chosen by hash outside the held-out fold.
+
+    Each of SALTS parts of a language, dealt by another hash, gives its share, so that no task ranks a language.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != held_out_fold))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))
+    most = max(1, rows // SALTS)
+    part = W.partitionBy("lang", salt)
+    chosen = known.select("doc_id", "lang").withColumn("_r", F.row_number().over(part.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    chosen = chosen.where(F.col("_r") <= most).select("doc_id", "lang").distinct()
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # ``rows`` ids a language
+    # Identifiers that repeat are ranked once more, by their texts.
+    last = texts.withColumn("_r", F.row_number().over(part.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).where(F.col("_r") <= most)
+    found = last.orderBy("lang", "doc_id", "text").select("text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in found])
 
 
