@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import node_key
+from plexus.functions.ranks import running
 
 
 def union_distinct(*parts: DataFrame) -> DataFrame:
@@ -111,13 +112,13 @@ def degrees(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def expander(ids: DataFrame, cycles: int, seed: int = 0) -> DataFrame:
     """Edges, both ways, of ``cycles`` cycles through all nodes in hash order; repeats are possible.
 
-    The order is global and held in one task: the node table is this operator's bound.
+    The order is dealt to ranges; a node is joined to the one whose place follows its own.
     """
-    out = []
+    out, n = [], max(1, ids.count())
     for c in range(cycles):
-        order = W.orderBy(node_key(F.col("id"), seed + c), "id")
-        whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        e = ids.select(F.col("id").alias("src"), F.coalesce(F.lead("id").over(order), F.first("id").over(whole)).alias("dst")).where("src <> dst")
+        placed = running(ids.select("id", node_key(F.col("id"), seed + c).alias("key")), ["key", "id"], {"at": F.lit(1)})
+        after = placed.select(F.col("id").alias("dst"), ((F.col("at") + (n - 1)) % n).alias("at"))
+        e = placed.select(F.col("id").alias("src"), "at").join(after, "at").where("src <> dst").select("src", "dst")
         out += [e, flip(e)]
     return reduce(DataFrame.unionByName, out)
 

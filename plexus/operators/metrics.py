@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plexus.functions.ranks import running
+
 
 def quantile_labels(values: DataFrame, n: int) -> DataFrame:
     """(id, y): bin of v between linearly interpolated quantiles, [lo, hi), the last one closed; -1 for null or NaN."""
-    good = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    cuts = good.agg(F.percentile("v", F.array(*[F.lit(k / n) for k in range(1, n)])).alias("q"))
-    y = F.when(F.col("v").isNull() | F.isnan("v"), F.lit(-1)).otherwise(F.size(F.filter("q", lambda t: t <= F.col("v"))))
-    return values.join(F.broadcast(cuts)).select("id", y.cast("bigint").alias("y"))  # one row
+    good = running(values.where(F.col("v").isNotNull() & ~F.isnan("v")).select("v"), ["v"], {"at": F.lit(1)})
+    last = good.count() - 1
+    places = [last * k / n for k in range(1, n)]
+    wanted = sorted({i for p in places for i in (int(p), min(int(p) + 1, last))})
+    v = {r["at"]: r["v"] for r in good.where(F.col("at").isin(wanted)).collect()} if last >= 0 else {}  # two rows a bin at most
+    cuts = [v[int(p)] + (v[min(int(p) + 1, last)] - v[int(p)]) * (p - int(p)) for p in places] if v else []
+    q = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    y = F.when(F.col("v").isNull() | F.isnan("v"), F.lit(-1)).otherwise(F.size(F.filter(q, lambda t: t <= F.col("v"))))
+    return values.select("id", y.cast("bigint").alias("y"))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
@@ -26,8 +33,7 @@ def accuracy(rows: DataFrame) -> DataFrame:
 def auc(rows: DataFrame) -> DataFrame:
     """(auc) of (score, y in 0, 1) by mid-ranks over counts of equal scores."""
     per = rows.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    wins = running(per, ["score"], {"below": "n"}).withColumn("w", F.col("p") * (F.col("below") + F.col("n") / 2))
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -57,12 +63,12 @@ def hop_report(shares: DataFrame) -> DataFrame:
 def ema(rows: DataFrame, keep: float = 0.9) -> DataFrame:
     """(run, ema): fold of (run, epoch, loss) in order of epochs; the first loss starts it.
 
-    Written out as a weighted sum, so that no run is held as a list; one task numbers the rows of a run.
+    Written out as a weighted sum over places in one order of all runs, so that no task holds a whole run.
     """
-    by = W.partitionBy("run")
-    age = F.row_number().over(by.orderBy(F.col("epoch").desc())) - 1
-    weighted = rows.withColumns({"age": age, "n": F.count(F.lit(1)).over(by)})
-    share = F.pow(F.lit(float(keep)), F.col("age")) * F.when(F.col("age") == F.col("n") - 1, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
+    placed = running(rows.select("run", "epoch", "loss"), ["run", "epoch"], {"at": F.lit(1)})
+    ends = placed.groupBy("run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    weighted = placed.join(ends, "run")
+    share = F.pow(F.lit(float(keep)), F.col("last") - F.col("at")) * F.when(F.col("at") == F.col("first"), F.lit(1.0)).otherwise(F.lit(1.0 - keep))
     return weighted.groupBy("run").agg(F.sum(share * F.col("loss")).alias("ema"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import edge_key, walk_key
+from plexus.functions.ranks import running
 from plexus.operators.edges import typed, union_distinct
 from plexus.session import cut
 
@@ -31,13 +32,17 @@ def budgets(total: int, walks_per_node: int = 1) -> tuple[int, int]:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, pos, dst, deg): out-neighbours numbered by id."""
-    by = W.partitionBy("src")
-    return edges.select("src", "dst").withColumns({"pos": (F.row_number().over(by.orderBy("dst")) - 1).cast("bigint"), "deg": F.count(F.lit(1)).over(by)})
+    """(src, pos, dst, deg): out-neighbours numbered by id.
 
+    All edges are numbered in one order dealt to ranges, so that no task holds a hub's whole list.
+    """
+    placed = running(edges.select("src", "dst"), ["src", "dst"], {"at": F.lit(1)})
+    per = placed.groupBy("src").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("deg"))
+    return placed.join(per, "src").select("src", (F.col("at") - F.col("first")).cast("bigint").alias("pos"), "dst", "deg")
 
-def walks(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
-    """(start, walk, step, node) with step 0 .. length; a sink repeats itself.
+
+def paths(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
+    """(start, walk, path) with the nodes of steps 0 .. length; a sink repeats itself.
 
     One equi join a step; lineage is cut every four steps.
     """
@@ -52,7 +57,25 @@ def walks(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed
         path = path.withColumn("path", F.concat("path", F.array("node")))
         if step % 4 == 0 and step < length:
             path = cut(path, "walks")
-    return path.select("start", "walk", F.posexplode("path").alias("step", "node")).withColumn("step", F.col("step").cast("bigint"))
+    return path.select("start", "walk", "path")
+
+
+def walks(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
+    """(start, walk, step, node): one row a step of :func:`paths`."""
+    steps = paths(edges, starts, per_start, length, seed).select("start", "walk", F.posexplode("path").alias("step", "node"))
+    return steps.withColumn("step", F.col("step").cast("bigint"))
+
+
+def visits(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
+    """(start, walk, step, node, prev) with step 1 .. length; the node before comes from the path itself, without a shuffle."""
+    at = lambda d: F.struct(d.cast("bigint").alias("step"), F.get("path", d).alias("node"), F.get("path", d - 1).alias("prev"))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(length)), at)
+    return paths(edges, starts, per_start, length, seed).select("start", "walk", F.inline(steps))
+
+
+def moves(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
+    """The visits that count: the first step, and every later one that leaves its node."""
+    return visits(edges, starts, per_start, length, seed).where("step = 1 OR node <> prev")
 
 
 def walk_pool(edges: DataFrame, starts: DataFrame, per_start: int, length: int, min_hop: int = 1, seed: int = 0) -> DataFrame:
@@ -60,17 +83,13 @@ def walk_pool(edges: DataFrame, starts: DataFrame, per_start: int, length: int,
 
     A step that stays where it was counts at hop 1 only, so a sink gives one self edge a walk.
     """
-    w = walks(edges, starts, per_start, length, seed)
-    before = F.lag("node").over(W.partitionBy("start", "walk").orderBy("step"))
-    kept = w.withColumn("_b", before).where((F.col("step") >= max(1, min_hop)) & ((F.col("step") == 1) | (F.col("node") != F.col("_b"))))
+    kept = moves(edges, starts, per_start, length, seed).where(F.col("step") >= min_hop)
     return kept.select(F.col("node").alias("src"), F.col("start").alias("dst"), "walk", F.col("step").alias("hop"))
 
 
 def seed_subgraph(edges: DataFrame, seeds: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
     """Distinct edges from each step's node to the node before it and to the walk's start."""
-    w = walks(edges, seeds, per_start, length, seed)
-    before = F.lag("node").over(W.partitionBy("start", "walk").orderBy("step"))
-    s = w.withColumn("prev", before).where("step > 0")
+    s = visits(edges, seeds, per_start, length, seed)
     both = s.select(F.col("node").alias("src"), F.col("prev").alias("dst")).unionByName(s.select(F.col("node").alias("src"), F.col("start").alias("dst")))
     return both.distinct()
 

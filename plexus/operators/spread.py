@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plexus.functions.ranks import running
 from plexus.operators.edges import bidirect
 from plexus.session import cut, drop
 
@@ -179,7 +180,7 @@ def _combined(now: DataFrame, c, step, theta) -> DataFrame:
 
 def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> DataFrame:
     """(id, part, new_id): parts by label propagation (most frequent neighbour label, then the smallest),
-    new ids contiguous by part. The numbering is one ordered pass over the node table."""
+    new ids contiguous by part, numbered over ranges of the node table."""
     near = cut(bidirect(edges).where("src <> dst"), "parts-edges")
     label = ids.select("id", F.col("id").alias("part"))
     for _ in range(rounds):
@@ -187,4 +188,4 @@ def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> Data
         best = votes.groupBy("dst").agg(F.max(F.struct("n", (-F.col("part")).alias("minus"))).alias("b"))
         label = label.join(best.withColumnRenamed("dst", "id"), "id", "left").select("id", F.coalesce(-F.col("b.minus"), F.col("part")).alias("part"))
         label = cut(label, "parts")
-    return label.withColumn("new_id", (F.row_number().over(W.orderBy("part", "id")) - 1).cast("bigint"))
+    return running(label, ["part", "id"], {"new_id": F.lit(1)})

@@ -54,6 +54,11 @@ def spare_name(base: str, df: DataFrame) -> str:
     return base
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`new_path` named."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -143,3 +143,21 @@ def test_running_positions_over_ranges(spark):
     assert running(d.where("id < 0"), ["id"], {"at": F.lit(1)}).count() == 0
     many = numbered(spark.createDataFrame([("a", 5, 1), ("b", 0, 1), ("c", 23, 1)], "k string, n bigint, block int"), "n", "i", 10)
     assert sorted((r["k"], r["i"]) for r in many.collect()) == [("a", i) for i in range(5)] + [("c", i) for i in range(23)]
+
+
+def test_stream_is_compacted_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from plexus.streaming.edges import keep_topk, latest
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    star = [(i, i % 2) for i in range(1, 29)]
+    for n in range(7):
+        frame(spark, star[4 * n : 4 * n + 4]).coalesce(1).write.mode("append").parquet(src)
+        keep_topk(spark.readStream.schema("src bigint, dst bigint").parquet(src), out, str(tmp_path / "cp"), 3, 17, 2).awaitTermination()
+    want = got(sample.topk(frame(spark, star), 3, 17))
+    assert got(latest(spark.read.parquet(out))) == want
+    assert sorted(r[0] for r in spark.read.parquet(out).select("batch").distinct().collect())[0] >= 4
+    last = max((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+    keep_topk(spark.readStream.schema("src bigint, dst bigint").parquet(src), out, str(tmp_path / "cp"), 3, 17, 2).awaitTermination()
+    assert got(latest(spark.read.parquet(out))) == want
