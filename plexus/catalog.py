@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plexus.functions.keys import argmax0, node_key
 from plexus.functions.ranks import running
 from plexus.operators import attend as A
+from plexus.operators import batches as H
 from plexus.operators import edges as E
 from plexus.operators import metrics as M
 from plexus.operators import sample as S
@@ -595,3 +596,157 @@ def _(spark, sf):
 def _(spark, sf):
     nodes = G.nodes(spark, sf).select("id", node_key(F.col("id"), 5).alias("key"))
     return running(nodes, ["key", "id"], {"at": F.lit(1)}).select("id", F.floor(F.col("at") / 64).cast("bigint").alias("batch"))
+
+
+# --- ranges, batches and head views
+
+
+@query("rank_range", f"WITH {_N}, r AS (SELECT r, r * ((c + 2) // 3) AS lo, (r + 1) * ((c + 2) // 3) AS hi FROM n, range(3) t(r)) SELECT r, vec_id - lo AS id, label::BIGINT AS y FROM embeddings, r WHERE vec_id >= lo AND vec_id < hi")
+def _(spark, sf):
+    nodes, n = G.nodes(spark, sf).select("id", "y"), G.n_nodes(spark, sf)
+    width = (n + 2) // 3
+    parts = [H.rank_range(nodes, r * width, (r + 1) * width, n).select(F.lit(r).cast("bigint").alias("r"), "id", "y") for r in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("dst_filter_each", f"WITH {_ITEM} SELECT src, dst, count(*) AS n FROM item JOIN lineitem ON l_suppkey = dst GROUP BY ALL")
+def _(spark, sf):
+    probes = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"))
+    return H.by_destination_each(G.item_edges(spark, sf), probes).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hop_bound", f"WITH {_ITEM}, {_STARTS}, {_walk('item', 'starts', 2, 3)}, {_pool(1)} SELECT src, dst, walk, hop FROM pool WHERE hop <= 2")
+def _(spark, sf):
+    return H.hop_bound(S.walk_pool(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 2, 3), 2)
+
+
+@query("padded_nodes", f"WITH {_N} SELECT vec_id AS id, label::BIGINT AS y, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM embeddings UNION ALL SELECT i, -100, 0.0 FROM n, range(c, c + 37) t(i)")
+def _(spark, sf):
+    n = G.n_nodes(spark, sf)
+    p = H.pad(G.nodes(spark, sf), n, n + 37, {"x": F.array_repeat(F.lit(0.0), WIDTH), "y": F.lit(-100)})
+    return p.select("id", "y", (F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6) + 0.0).alias("total"))
+
+
+@query("local_subgraph", f"WITH {_ITEM}, s AS (SELECT vec_id AS node FROM embeddings WHERE {_TRAIN}), t AS (SELECT src, dst FROM {_top('item', 4, 17)} WHERE dst IN (SELECT node FROM s)), m AS (SELECT node, false AS c FROM s UNION ALL SELECT node, true FROM (SELECT src AS node FROM t UNION SELECT dst FROM t) ANTI JOIN s USING (node)), p AS (SELECT node, row_number() OVER (ORDER BY c, node) - 1 AS pos FROM m) SELECT a.pos AS src, b.pos AS dst FROM t JOIN p a ON a.node = src JOIN p b ON b.node = dst")
+def _(spark, sf):
+    seeds = _split(spark, sf, "train")
+    return H.local_subgraph(E.by_destination(S.topk(G.item_edges(spark, sf), 4, 17), seeds), seeds)[1]
+
+
+_VISITS = "WITH " + _ITEM + ", " + _STARTS + ", {walk}, m AS (SELECT * FROM lagged WHERE step >= 1 AND (step = 1 OR node <> prev))"
+
+
+@query("grouped_walks", _VISITS.format(walk=_walk("item", "starts", 6, 3)) + ", g AS (SELECT *, (start * 6 + walk) // (c * 2) AS grp FROM m, n), k AS (SELECT * FROM g WHERE (step - 1) % 3 = grp), f AS (SELECT node, min(step) AS step FROM k GROUP BY node) SELECT grp, start AS src, node AS dst FROM k JOIN f USING (node, step)")
+def _(spark, sf):
+    return H.grouped_walks(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 2, 3, 3)
+
+
+@query("group_nodes", _VISITS.format(walk=_walk("item", "starts", 2, 2)) + ", g AS (SELECT start % 4 AS grp, step, start, walk, node FROM m WHERE node % 4 <> start % 4), f AS (SELECT grp, node, min(step) AS step FROM g GROUP BY ALL), a AS (SELECT id % 4 AS grp, 0 AS step, id AS start, 0 AS walk, id AS node FROM starts UNION ALL SELECT grp, step, start, walk, node FROM g JOIN f USING (grp, node, step)) SELECT grp, pos, node FROM (SELECT grp, node, row_number() OVER (PARTITION BY grp ORDER BY step, start, walk) - 1 AS pos FROM a) WHERE pos < 300")
+def _(spark, sf):
+    return H.group_nodes(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 2, 2, 4, 300)
+
+
+@query("edge_drop", f"WITH {_ITEM} SELECT src, dst FROM item WHERE {_h('src', 'dst', 5)} >= 0.25::DOUBLE * 2147483648")
+def _(spark, sf):
+    return H.edge_drop(G.item_edges(spark, sf), 0.25, 5)
+
+
+@query("grouped_heads", f"WITH {_ITEM} SELECT head, src, dst FROM item, range(8) t(head) WHERE src % 3 = least(head // 3, 2)")
+def _(spark, sf):
+    return H.grouped_heads(G.item_edges(spark, sf), 8, 3)
+
+
+@query("hop_heads", f"WITH {_ITEM}, {_STARTS}, {_walk('item', 'starts', 2, 2)}, {_pool(1)} SELECT head, src, dst FROM pool, range(4) t(head) WHERE hop - 1 = CASE head // 2 WHEN 0 THEN 1 ELSE 0 END")
+def _(spark, sf):
+    pool = _pooled(spark, sf).withColumn("bucket", F.col("hop") - 1)
+    return H.hop_heads(pool, 4, [1, 5], 2, 2)
+
+
+@query("expander_graph", f"WITH {_ITEM}, {_STARTS}, c AS (SELECT * FROM {_cycle(0)} UNION ALL SELECT * FROM {_cycle(1)}) SELECT src, dst, 0::BIGINT AS etype FROM item UNION ALL SELECT id, id, 0 FROM starts UNION ALL SELECT src, dst, 1 FROM c UNION ALL SELECT dst, src, 1 FROM c")
+def _(spark, sf):
+    return H.expander_graph(G.item_edges(spark, sf), G.nodes(spark, sf), 2)
+
+
+_BATCH = f"WITH {_ITEM}, r AS (SELECT *, row_number() OVER (ORDER BY {_hn('vec_id', 5)}, vec_id) - 1 AS place FROM embeddings), p AS (SELECT place // 64 AS batch, place % 64 + 1 AS pos, vec_id AS id, label::BIGINT AS y FROM r), k AS (SELECT batch, count(*) AS n FROM p GROUP BY batch)"
+
+
+@query("batch_nodes", _BATCH + " SELECT batch, pos, id, y FROM p UNION ALL SELECT batch, 0, -1, -100 FROM k UNION ALL SELECT batch, i, -1, -100 FROM k, range(1, 65) t(i) WHERE i > n")
+def _(spark, sf):
+    return H.batch_tables(G.item_edges(spark, sf), G.nodes(spark, sf), 64, WIDTH, 5)[0].select("batch", "pos", F.coalesce("id", F.lit(-1)).alias("id"), "y")
+
+
+@query("batch_edges", _BATCH + " SELECT a.batch, a.pos AS src, b.pos AS dst FROM item JOIN p a ON a.id = src JOIN p b ON b.id = dst AND a.batch = b.batch UNION ALL SELECT batch, pos, 0 FROM p UNION ALL SELECT batch, 0, pos FROM p")
+def _(spark, sf):
+    return H.batch_tables(G.item_edges(spark, sf), G.nodes(spark, sf), 64, WIDTH, 5)[1]
+
+
+@query("edge_bias_table", _SPD + f", {_NODES}, {_w('spd', f'greatest(least({_KQ} / 8, 5), -5)', ' + e.bin * 0.25')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
+def _(spark, sf):
+    spd = _spd(spark, sf)
+    e = A.with_bias(spd.select("src", "dst"), spd.where("bin > 0").select("src", "dst", (F.col("bin") * 0.25).alias("bias")))
+    return A.weights(e, G.nodes(spark, sf), WIDTH, bias=F.col("bias")).groupBy(F.col("dst").alias("id")).agg(F.round(F.sum("w"), 6).alias("z"))
+
+
+@query("edge_softmax_type_vectors", _TYPED + f", {_NODES}, sc AS (SELECT e.dst, exp(greatest(least(list_sum(list_transform(range(64), lambda i: k.x[i + 1] * q.x[i + 1] / 8 * (1 + ((etype + 1) * i % 5) * 0.25))), 5), -5)) AS w FROM typed e JOIN nodes k ON k.id = e.src JOIN nodes q ON q.id = e.dst) SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
+def _(spark, sf):
+    n = G.nodes(spark, sf)
+    types = {t: [1 + ((t + 1) * i % 5) * 0.25 for i in range(WIDTH)] for t in (0, 1)}
+    e = A.by_type(S.merged_typed(G.item_edges(spark, sf), n.select("id"), 4, 4), n, WIDTH, types)
+    return e.groupBy(F.col("dst").alias("id")).agg(F.round(F.sum("w"), 6).alias("z"))
+
+
+def _matrix(a: int) -> str:
+    return f"list_transform(range(32), lambda i: list_sum(list_transform(range(64), lambda j: x[j + 1] * (((i * {a} + j * 7) % 11) - 5) * 0.125)))"
+
+
+@query("multi_head_attention", _MERGED + f", {_NODES}, pr AS (SELECT id, {_matrix(3)} AS q, {_matrix(5)} AS k, {_matrix(9)} AS v FROM nodes), hd AS (SELECT id, h, q[h * 8 + 1 : h * 8 + 8] AS q, k[h * 8 + 1 : h * 8 + 8] AS k, v[h * 8 + 1 : h * 8 + 8] AS v FROM pr, range(4) t(h)), sc AS (SELECT e.dst, s.h, s.v, exp(greatest(least({_dot('s.k', 'd.q')} / sqrt(8), 5), -5)) AS w FROM merged e JOIN hd s ON s.id = e.src JOIN hd d ON d.id = e.dst AND d.h = s.h), zs AS (SELECT dst, h, sum(w) AS z FROM sc GROUP BY ALL), vs AS (SELECT dst, h, dim, sum(w * v) AS s FROM (SELECT dst, h, w, unnest(range(8))::BIGINT AS dim, unnest(v) AS v FROM sc) GROUP BY ALL) SELECT id, f.h AS head, f.dim, round(coalesce(s, 0) / (coalesce(z, 0) + 1e-6), 6) + 0.0 AS v FROM (SELECT id, h, unnest(range(8))::BIGINT AS dim FROM hd) f LEFT JOIN zs ON zs.dst = id AND zs.h = f.h LEFT JOIN vs ON vs.dst = id AND vs.h = f.h AND vs.dim = f.dim")
+def _(spark, sf):
+    w = [[[(((i * a + j * 7) % 11) - 5) * 0.125 for j in range(WIDTH)] for i in range(32)] for a in (3, 5, 9)]
+    out = A.multi_head(_merged(spark, sf), G.nodes(spark, sf), 4, *w)
+    return _explode(out, "out", "id", "head")
+
+
+@query("batch_norm", f"WITH {_NODES}, l AS (SELECT id, unnest(range(64))::BIGINT AS dim, unnest(x) AS v FROM nodes), s AS (SELECT dim, avg(v) AS m, var_pop(v) AS s2 FROM l GROUP BY dim) SELECT id, dim, round((v - m) / sqrt(s2 + 1e-5), 6) + 0.0 AS v FROM l JOIN s USING (dim)")
+def _(spark, sf):
+    return _explode(A.batch_norm(G.nodes(spark, sf), WIDTH), "x", "id")
+
+
+@query("needed_hops", _MASS + " SELECT avg(h) AS mean_hop, max(h) AS max_hop, count(*) AS n FROM (SELECT dst, max(hop) AS h FROM share GROUP BY dst)")
+def _(spark, sf):
+    return M.needed_hops(_shares(spark, sf))
+
+
+@query("hop_relative", _MASS + ", q AS (SELECT count(DISTINCT dst) AS q FROM share), t AS (SELECT count(*) AS t FROM spd), c2 AS (SELECT bin AS hop, count(*) AS n FROM spd GROUP BY bin), s AS (SELECT hop, sum(share) AS s FROM share GROUP BY hop) SELECT hop, round(t / q, 9) AS n_eff, round(s / n * (t / q), 9) AS relative FROM s JOIN c2 USING (hop), q, t")
+def _(spark, sf):
+    r = M.hop_relative(_shares(spark, sf), _spd(spark, sf).withColumnRenamed("bin", "hop"))
+    return r.select("hop", F.round("n_eff", 9).alias("n_eff"), F.round("relative", 9).alias("relative"))
+
+
+@query("edge_hop_mass", f"WITH {_ITEM}, {_STARTS}, {_walk('item', 'starts', 2, 3)}, {_pool(1)}, p AS (SELECT hop, sum(1 + (src + dst) % 3)::DOUBLE AS m FROM pool GROUP BY hop), s AS (SELECT hop, m / sum(m) OVER () AS share FROM p), u AS (SELECT *, sum(share) OVER (ORDER BY hop) AS cum FROM s) SELECT hop, round(share, 9) AS share, min(hop) FILTER (WHERE cum >= 0.6 - 1e-12) OVER () AS needed FROM u")
+def _(spark, sf):
+    pool = S.walk_pool(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 2, 3)
+    return M.edge_hop_mass(pool.withColumn("p", (1 + (F.col("src") + F.col("dst")) % 3).cast("double")), 0.6).withColumn("share", F.round("share", 9))
+
+
+@query("throughput", "WITH r AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS epoch, value::DOUBLE AS v FROM events) SELECT run, round(avg(v), 6) AS wall, round(sum(v / 4) / sum(v), 6) AS prep_share, round(1000 / avg(v / 2), 6) AS nodes_per_s FROM r WHERE epoch > 1 GROUP BY run")
+def _(spark, sf):
+    r = _runs(spark, sf).select("run", "epoch", F.col("loss").alias("wall"), (F.col("loss") / 4).alias("prep"), (F.col("loss") / 2).alias("eval"))
+    return M.throughput(r, 1000).select("run", *[F.round(c, 6).alias(c) for c in ("wall", "prep_share", "nodes_per_s")])
+
+
+_GATE = "WITH p AS (SELECT user_id AS run, event_id % 4 AS budget, max(value)::DOUBLE AS peak FROM events GROUP BY ALL), s AS (SELECT *, (peak - lag(peak) OVER w) / (budget - lag(budget) OVER w) AS slope FROM p WINDOW w AS (PARTITION BY run ORDER BY budget)), a AS (SELECT run, count(*) AS n, max_by(peak, budget) AS p, max(budget) AS b, greatest(coalesce(max(slope), 0), 0) AS slope FROM s GROUP BY run), x AS (SELECT run, 6::BIGINT AS target, CASE WHEN n >= 2 THEN p + slope * (6 - b) END AS predicted FROM a)"
+
+
+@query("peak_gate", _GATE + " SELECT run, target, round(predicted, 6) AS predicted, coalesce(predicted <= 270.0, true) AS fits FROM x")
+def _(spark, sf):
+    seen = table(spark, sf, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 4).alias("budget"), F.col("value").cast("double").alias("peak"))
+    wanted = seen.select("run").distinct().withColumn("target", F.lit(6).cast("bigint"))
+    return B.peak_gate(seen, wanted, 300.0, 0.1).withColumn("predicted", F.round("predicted", 6))
+
+
+@query("plan_text", "WITH s AS (SELECT p_partkey AS id, ['gpu_persist', 'gpu_ephemeral', 'elsewhere'][p_partkey % 3 + 1] AS policy, ['recompute', 'keep_mha', 'retain', 'drop'][p_partkey % 4 + 1] AS tier, p_size % 16 AS k FROM part) SELECT id, policy, tier, CASE WHEN tier = 'recompute' THEN 0 ELSE k END::BIGINT AS n FROM s WHERE policy <> 'elsewhere' AND tier <> 'drop' AND (tier = 'recompute' OR k <= 12)")
+def _(spark, sf):
+    at = lambda names, m: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % m + 1).cast("int"))
+    tier = at(["recompute", "keep_mha", "retain", "drop"], 4)
+    spec = F.concat(at(["gpu_persist", "gpu_ephemeral", "elsewhere"], 3), F.lit(": "), tier, F.when(tier == "recompute", "").otherwise(F.concat(F.lit("="), F.col("p_size") % 16)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), B.parse_plan(spec, 12).alias("p")).where("p IS NOT NULL").select("id", "p.*")

@@ -110,3 +110,49 @@ def layer_norm(x: Column | str, eps: float = 1e-5) -> Column:
 
 def relu(x: Column | str) -> Column:
     return F.transform(x, lambda v: F.greatest(v, F.lit(0.0)))
+
+
+def with_bias(edges: DataFrame, bias: DataFrame) -> DataFrame:
+    """Edges with ``bias`` looked up by (src, dst) in a table of distinct pairs; 0 for a pair it lacks."""
+    return edges.join(bias.select("src", "dst", "bias"), ["src", "dst"], "left").withColumn("bias", F.coalesce("bias", F.lit(0.0)))
+
+
+def by_type(edges: DataFrame, nodes: DataFrame, width: int, types: dict[int, list[float]]) -> DataFrame:
+    """Adds w to typed edges: every dimension's product is scaled by the type's vector, then summed and clamped."""
+    e = edge_scores(edges, nodes)
+    factors = F.coalesce(*[F.when(F.col("etype") == t, F.array(*[F.lit(float(x)) for x in v])) for t, v in types.items()])
+    return e.withColumn("w", F.exp(_clamped(dot(F.zip_with("k", "q", lambda a, b: a * b / float(width) ** 0.5), factors))))
+
+
+def project(x: Column | str, weight: list[list[float]]) -> Column:
+    """A matrix times a vector; the matrix is one folded literal, so the expression does not grow with it."""
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in weight])
+    return F.transform(rows, lambda r: dot(x, r))
+
+
+def multi_head(edges: DataFrame, nodes: DataFrame, heads: int, wq: list[list[float]], wk: list[list[float]], wv: list[list[float]]) -> DataFrame:
+    """(id, head, out): attention along edges of each head's slice of projected queries, keys and values.
+
+    Edges (src, dst) serve all heads; with a column ``head`` each serves its own. Zeros without in-edges.
+    """
+    dim = len(wq) // heads
+    root = float(dim) ** 0.5
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(heads - 1).cast("bigint"))
+    cut_ = lambda c: F.slice(c, (F.col("head") * dim + 1).cast("int"), F.lit(dim))
+    p = nodes.select("id", project("x", wq).alias("q"), project("x", wk).alias("k"), project("x", wv).alias("v")).withColumn("head", F.explode(every))
+    p = p.select("id", "head", cut_("q").alias("q"), cut_("k").alias("k"), cut_("v").alias("v"))
+    e = edges if "head" in edges.columns else edges.select("src", "dst", F.explode(every).alias("head"))
+    joined = e.join(p.select(F.col("id").alias("src"), "head", "k", "v"), ["src", "head"]).join(p.select(F.col("id").alias("dst"), "head", "q"), ["dst", "head"])
+    w = joined.withColumn("w", F.exp(_clamped(dot("k", "q") / root)))
+    sums = w.groupBy(F.col("dst").alias("id"), "head").agg(F.sum("w").alias("z"), *[F.sum(F.col("w") * F.get("v", F.lit(i))).alias(f"c{i}") for i in range(dim)])
+    full = p.select("id", "head").join(sums, ["id", "head"], "left")
+    z = F.coalesce("z", F.lit(0.0)) + 1e-6
+    return full.select("id", "head", F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) / z for i in range(dim)]).alias("out"))
+
+
+def batch_norm(nodes: DataFrame, width: int, eps: float = 1e-5) -> DataFrame:
+    """(id, x) with every dimension moved to mean 0 and biased variance 1 over all rows."""
+    stats = nodes.agg(*[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(width) for n, f in (("m", F.avg), ("v", F.var_pop))])
+    one = stats.select(F.array(*[f"m{i}" for i in range(width)]).alias("m"), F.array(*[f"v{i}" for i in range(width)]).alias("v"))
+    moved = F.zip_with("x", "m", lambda a, m: a - m)
+    return nodes.join(F.broadcast(one)).select("id", F.zip_with(moved, "v", lambda a, v: a / F.sqrt(v + eps)).alias("x"))  # one row

@@ -88,3 +88,39 @@ def learning_rate(step: Column, peak: float, warmup: int, total: int, end: float
     p = (step - warmup) / float(max(1, total - warmup))
     late = F.lit(end) + (peak - end) * (0.5 * (1 + F.cos(F.pi() * p)) if power is None else F.pow(1 - p, F.lit(power)))
     return F.when(step < warmup, step * peak / float(max(1, warmup))).when(step >= total, F.lit(end)).otherwise(late)
+
+
+def needed_hops(shares: DataFrame) -> DataFrame:
+    """(mean_hop, max_hop, n): the last hop that the cut of :func:`hop_mass` leaves to each dst."""
+    return shares.groupBy("dst").agg(F.max("hop").alias("h")).agg(F.avg("h").alias("mean_hop"), F.max("h").alias("max_hop"), F.count(F.lit(1)).alias("n"))
+
+
+def edge_hop_mass(weighted: DataFrame, mass: float) -> DataFrame:
+    """(hop, share, needed) of edges (hop, p): each hop's part of all weights, and the first hop at which the
+    running sum reaches ``mass`` (null if never). Hops are few: one row each."""
+    per = weighted.where("hop >= 0").groupBy("hop").agg(F.sum("p").alias("m"))
+    whole = W.partitionBy(F.lit(0))
+    share = F.col("m") / F.sum("m").over(whole)
+    cum = F.sum("share").over(whole.orderBy("hop").rowsBetween(W.unboundedPreceding, 0))
+    run = per.withColumn("share", share).withColumn("cum", cum)
+    return run.select("hop", "share", F.min(F.when(F.col("cum") >= mass - 1e-12, F.col("hop"))).over(whole).alias("needed"))
+
+
+def hop_relative(shares: DataFrame, hops: DataFrame) -> DataFrame:
+    """(hop, n_eff, relative): a node's share at a hop against an even spread over all nodes in reach.
+
+    ``hops`` has one row (dst, src, hop) a node in reach; n_eff is their number a query.
+    """
+    n = shares.agg(F.count_distinct("dst").alias("queries"))
+    total = hops.agg(F.count(F.lit(1)).alias("reach"))
+    per = shares.groupBy("hop").agg(F.sum("share").alias("s")).join(hops.groupBy("hop").agg(F.count(F.lit(1)).alias("n")), "hop")
+    eff = F.col("reach") / F.col("queries")
+    return per.join(F.broadcast(n)).join(F.broadcast(total)).select("hop", eff.alias("n_eff"), (F.col("s") / F.col("n") * eff).alias("relative"))  # one row each
+
+
+def throughput(rows: DataFrame, n_nodes: int) -> DataFrame:
+    """(run, wall, prep_share, nodes_per_s) of (run, epoch, wall, prep, eval) in seconds, without epoch 1; null without others."""
+    late = rows.where("epoch > 1").groupBy("run").agg(F.avg("wall").alias("wall"), F.sum("prep").alias("p"), F.sum("wall").alias("w"), F.avg("eval").alias("e"))
+    share = F.when(F.col("w") > 0, F.col("p") / F.col("w")).otherwise(0.0)
+    speed = F.when(F.col("e") > 0, n_nodes / F.col("e")).otherwise(0.0)
+    return rows.select("run").distinct().join(late, "run", "left").select("run", "wall", F.when(F.col("w").isNotNull(), share).alias("prep_share"), F.when(F.col("w").isNotNull(), speed).alias("nodes_per_s"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK, START = 2, (2, 2)
@@ -70,6 +71,43 @@ def probe_choice(probes: DataFrame) -> DataFrame:
     return probes.withColumn("gain", gain).groupBy("round").agg(F.max_by(F.struct("kind", "gain"), F.struct("gain", "kind")).alias("b")).select("round", "b.kind", "b.gain")
 
 
+def arbitrated_choice(probes: DataFrame, band: float = 0.01) -> DataFrame:
+    """(round, kind, gain) of (round, kind, base, cand, acc, ceiling): the best loss gain, but the best accuracy in
+    a round at the ceiling in which every gain is within ``band`` of 0. Ties go to the later kind."""
+    gain = (F.col("base") - F.col("cand")) / F.greatest(F.col("base"), F.lit(1e-6))
+    near = F.bool_and(F.abs("gain") < band) & F.bool_and("ceiling")
+    best = lambda c: F.max_by(F.struct("kind", "gain"), F.struct(c, "kind"))
+    per = probes.withColumn("gain", gain).groupBy("round").agg(near.alias("near"), best("acc").alias("a"), best("gain").alias("g"))
+    return per.select("round", F.when(F.col("near"), F.col("a")).otherwise(F.col("g")).alias("b")).select("round", "b.kind", "b.gain")
+
+
+def peak_gate(peaks: DataFrame, targets: DataFrame, limit: float, margin: float) -> DataFrame:
+    """(run, target, predicted, fits) of observed (run, budget, peak) and wanted (run, target) budgets.
+
+    Beyond the largest budget seen, the peak grows by the steepest slope between neighbouring ones; with fewer
+    than two budgets nothing is predicted and everything fits. A budget's largest peak counts.
+    """
+    seen = peaks.groupBy("run", "budget").agg(F.max("peak").alias("peak"))
+    by = W.partitionBy("run").orderBy("budget")
+    step = (F.col("peak") - F.lag("peak").over(by)) / (F.col("budget") - F.lag("budget").over(by))
+    per = seen.withColumn("slope", step).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max_by("peak", "budget").alias("p"), F.max("budget").alias("b"), F.greatest(F.max("slope"), F.lit(0.0)).alias("slope"))
+    grown = F.col("p") + F.col("slope") * F.greatest(F.col("target") - F.col("b"), F.lit(0))
+    joined = targets.join(per, "run", "left").withColumn("predicted", F.when(F.col("n") >= 2, grown))
+    return joined.select("run", "target", "predicted", F.coalesce(F.col("predicted") <= limit * (1 - margin), F.lit(True)).alias("fits"))
+
+
+# Names of edge policies and tiers in a plan's text.
+POLICIES = ("gpu_persist", "gpu_ephemeral", "cpu_broadcast_prefetch", "cpu_rank_local_prefetch")
+
+
+def parse_plan(spec: Column, layers: int) -> Column:
+    """Struct (policy, tier, n) of ``policy:recompute``, ``policy:keep_mha=N`` or ``policy:retain=N``; null for anything else."""
+    form = r"^\s*(\w+)\s*:\s*(recompute|(?:keep_mha|retain)=(\d{1,9}))\s*$"
+    policy, tier = F.regexp_extract(spec, form, 1), F.regexp_extract(spec, form, 2)
+    n = F.coalesce(F.nullif(F.regexp_extract(spec, form, 3), F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(policy.isin(*POLICIES) & (n <= layers), F.struct(policy.alias("policy"), F.split_part(tier, F.lit("="), F.lit(1)).alias("tier"), n.alias("n")))
+
+
 def plan_choice(spark: SparkSession, layers: int, cap: float, resident: float = 1.0, kept: float = 3.0, moved: float = 1.6, model: float = 10.0) -> DataFrame:
     """Cheapest split of layers over three tiers (recompute, keep, move) under a peak of ``cap``.
 

@@ -54,7 +54,7 @@ def read_role_json(spark: SparkSession, path: str) -> DataFrame:
     known = [c for c in raw.columns if c in PARTS]
     if not known:
         raise ValueError("no split part in the file")
-    parts = [raw.select(F.lit(PARTS[c]).alias("part"), F.explode(F.col(c)).cast("bigint").alias("id")) for c in known]
+    parts = [raw.select(F.lit(PARTS[c]).alias("part"), F.explode(F.col(c).cast("array<bigint>")).alias("id")) for c in known]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
