@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Since toxic texts are
 mostly ordinary prose, the second holds the first one's content as well. Texts are read whole, as
 windows: each run of letters, long runs as overlapping pieces that together cover them, written as
-overlapping character groups so that lengths in bytes resolve fine differences. What a window gains, its
-length with the ordinary dictionary less that with the toxic one, is standardised by window size and
+overlapping character groups so that lengths in bytes resolve fine differences. The first groups of a
+run are written again with marks of their places, since how a run begins tells more than what occurs
+somewhere in it. What a window gains, its length with the ordinary dictionary less that with the toxic one, is standardised by window size and
 turned into log odds calibrated on labelled rows that no dictionary was trained on.
 
 Not all windows of a toxic text are toxic, and no list of words says which: the toxic dictionary is
@@ -35,7 +36,13 @@ FIT_ROWS = 1500
 GRAM, LEVEL = 4, 3
 ORDINARY_BYTES = 110_000
 #: Rounds of the toxic dictionary: its bytes, and the share of ordinary windows that the next round's windows must outdo.
-ROUNDS = ((16_384, 0.95), (8192, 0.98), (8192, 0.98))
+ROUNDS = ((24_576, 0.95), (12_288, 0.98), (12_288, 0.98))
+#: Bytes of the toxic dictionary trained on the last round's windows, and segment and matched lengths of its training.
+TOXIC_BYTES, SEGMENT, MATCHED = 12_288, 200, 8
+#: Marks of places in a run. Letters are lowered, so no other group looks like a marked one.
+PLACES = b"ABCDEFGH"
+#: Of the rows of a class, one in so many calibrates; the others train.
+LOOK_EVERY = 3
 #: Runs of up to LONGEST letters are one window; longer ones are pieces of PIECE, one every STEP letters.
 LONGEST, PIECE, STEP = 24, 14, 4
 #: Windows whose odds a worker remembers before it starts anew. They are short, so this bounds bytes; results don't depend on it.
@@ -59,7 +66,10 @@ def windows(text: str | None) -> Iterator[str]:
 
 def _bytes(window: str) -> bytes:
     w = window.encode("utf-8", "replace")
-    return b" ".join([w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]) + b" "
+    groups = [w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]
+    if w.startswith(b"^"):
+        groups += [PLACES[i : i + 1] + w[i + 1 : i + 1 + GRAM] for i in range(min(len(PLACES), max(1, len(w) - GRAM)))]
+    return b" ".join(groups) + b" "
 
 
 def _size(window: str) -> int:
@@ -138,10 +148,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w, mean, scale
 
 
-def _halves(texts: list[str | None]) -> tuple[list[list[str]], list[list[str]]]:
+def _parts(texts: list[str | None]) -> tuple[list[list[str]], list[list[str]]]:
     """Distinct windows of the rows to train on, and of those to calibrate on."""
     rows = [list(dict.fromkeys(windows(t))) for t in texts]
-    return (rows[0::2], rows[1::2]) if len(rows) > 1 else (rows, rows)
+    return ([r for i, r in enumerate(rows) if i % LOOK_EVERY], rows[0::LOOK_EVERY]) if len(rows) > 1 else (rows, rows)
+
+
+def _against(ordinary: bytes, toxic: bytes, plain: list[str], sizes: np.ndarray, share: float) -> tuple[Gains, np.ndarray, np.ndarray, float]:
+    """The gains by a dictionary, mean and deviation of ordinary windows' ones, and what ``share`` of them stay below."""
+    gain = Gains(ordinary, toxic)
+    gains = np.array([gain(w) for w in plain], float)
+    mean, dev = _scale(gains, sizes)
+    return gain, mean, dev, float(np.quantile((gains - mean[sizes]) / dev[sizes], share)) if len(plain) else 0.0
 
 
 def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict | None:
@@ -152,21 +170,18 @@ def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict |
     texts = {y: [t for t, label in rows if label == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
-    (train0, look0), (train1, look1) = _halves(texts[0]), _halves(texts[1])
+    (train0, look0), (train1, look1) = _parts(texts[0]), _parts(texts[1])
     ordinary = _train(ORDINARY_BYTES, [_bytes(w) for ws in train0 for w in ws])
     plain = list(dict.fromkeys(w for ws in look0 for w in ws))
     sizes = np.array([_size(w) for w in plain])
     every = [w for ws in train1 for w in ws]
     chosen = every
     for size, share in ROUNDS:
-        toxic = _train(size, [_bytes(w) for w in chosen], k=32, d=6)
-        gain = Gains(ordinary, toxic)
-        gains = np.array([gain(w) for w in plain], float)
-        mean, dev = _scale(gains, sizes)
-        least = np.quantile((gains - mean[sizes]) / dev[sizes], share) if len(plain) else 0.0
-        known = {w: gain(w) for w in dict.fromkeys(every)}
-        stand = lambda w: (known[w] - mean[_size(w)]) / dev[_size(w)]  # noqa: B023, E731
-        chosen = [w for w in every if stand(w) > least] or every
+        gain, mean, dev, least = _against(ordinary, _train(size, [_bytes(w) for w in chosen], k=SEGMENT, d=MATCHED), plain, sizes, share)
+        strong = {w for w in set(every) if (gain(w) - mean[_size(w)]) / dev[_size(w)] > least}
+        chosen = [w for w in every if w in strong] or every
+    toxic = _train(TOXIC_BYTES, [_bytes(w) for w in chosen], k=SEGMENT, d=MATCHED)
+    gain, mean, dev, _ = _against(ordinary, toxic, plain, sizes, 1.0)
     model = {"ordinary": ordinary, "toxic": toxic, "mean": mean, "dev": dev}
     # Odds: over all sizes by standardised gain, rising; then each size's own gains, leaning on those.
     known = {w: gain(w) for ws in (*look0, *look1) for w in ws}
