@@ -153,3 +153,21 @@ def test_language_edges(spark, tmp_path):
     assert langid.learn(none) is None and langid.identify(none, None).count() == 0
     assert {r["lang_pred"] for r in langid.identify(d, None).collect()} == {"und"}
     assert [len(r["spans"]) for r in langid.spans(d, langid.learn(d)).where("doc_id in (900, 901)").collect()] == [0, 0]
+
+
+def test_toxic_beginnings_of_runs():
+    """The only sign is how some words begin; the same letters stand inside ordinary words."""
+    rng = np.random.default_rng(3)
+    parts = ["lo", "mir", "ta", "ven", "su", "kel", "ra", "dob"]
+    word = lambda: "".join(rng.choice(parts, 3))
+
+    def text(toxic: bool) -> str:
+        words = [word() if rng.random() < 0.8 else word()[:3] + "grunzak" + word()[:2] for _ in range(60)]
+        return " ".join([*words, *["grunzak" + word() for _ in range(8 * toxic)]])
+
+    rows = [(text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    score = toxicity.Scorer(toxicity.fit(rows))
+    assert (score([text(True) for _ in range(50)]) >= 0.5).mean() >= 0.9
+    assert (score([text(False) for _ in range(50)]) >= 0.5).mean() <= 0.1
+    plain, marked = toxicity._bytes("agrunzak"), toxicity._bytes("^grunzak$")
+    assert b"Agrun" in marked and b"Agrun" not in plain
