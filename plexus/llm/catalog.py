@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plexus.llm import bpe, chat, dedup, flac, langid, mixing, near, sharding, toxicity, wordpiece
+from plexus.llm import align, bpe, chat, decontam, dedup, flac, langid, mixing, near, sharding, toxicity, whiten, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_near_dedup": near.op8_near_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_language": langid.op10_language,
+    "op11_decontamination": decontam.op11_decontamination,
+    "op12_alignment": align.op12_alignment,
+    "op13_whitening": whiten.op13_whitening,
 }
-ORACLES = {"op2_exact_dedup": dedup.ORACLE, "op3_chat": chat.ORACLE}
+ORACLES = {"op2_exact_dedup": dedup.ORACLE, "op3_chat": chat.ORACLE, "op11_decontamination": decontam.ORACLE}
