@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import argmax0, node_key
-from plexus.functions.ranks import running
+from plexus.functions.ranks import placed_in, running
 from plexus.operators import attend as A
 from plexus.operators import batches as H
 from plexus.operators import edges as E
@@ -189,7 +189,7 @@ def _(spark, sf):
 
 @query("induced_subgraph", f"WITH {_ITEM}, b AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE {_TRAIN}) SELECT s.pos AS src, d.pos AS dst FROM item JOIN b s ON s.node = src JOIN b d ON d.node = dst")
 def _(spark, sf):
-    batch = running(_split(spark, sf, "train"), ["id"], {"pos": F.lit(1)}).select(F.col("id").alias("node"), F.col("pos").cast("bigint").alias("pos"))
+    batch = running(_split(spark, sf, "train"), ["id"], {"pos": 1}).select(F.col("id").alias("node"), F.col("pos").cast("bigint").alias("pos"))
     return E.induced(G.item_edges(spark, sf), batch)
 
 
@@ -528,11 +528,8 @@ _RUNS = "runs AS (SELECT event_type AS run, row_number() OVER (PARTITION BY even
 
 
 def _runs(spark, sf):
-    from pyspark.sql import Window as W
-
     e = table(spark, sf, "events").select(F.col("event_type").alias("run"), F.col("value").cast("double").alias("loss"), "event_id")
-    r = F.row_number().over(W.partitionBy("run").orderBy("event_id")).cast("bigint")
-    return e.withColumn("epoch", r).select("run", "epoch", "loss")
+    return placed_in(e, ["run"], ["event_id"], "epoch").select("run", (F.col("epoch") + 1).alias("epoch"), "loss")
 
 
 def _best(runs: DataFrame) -> DataFrame:
@@ -595,7 +592,7 @@ def _(spark, sf):
 @query("random_batches", f"SELECT vec_id AS id, (row_number() OVER (ORDER BY {_hn('vec_id', 5)}, vec_id) - 1) // 64 AS batch FROM embeddings")
 def _(spark, sf):
     nodes = G.nodes(spark, sf).select("id", node_key(F.col("id"), 5).alias("key"))
-    return running(nodes, ["key", "id"], {"at": F.lit(1)}).select("id", F.floor(F.col("at") / 64).cast("bigint").alias("batch"))
+    return running(nodes, ["key", "id"], {"at": 1}).select("id", F.floor(F.col("at") / 64).cast("bigint").alias("batch"))
 
 
 # --- ranges, batches and head views

@@ -9,10 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import MODULUS, edge_key, node_key
-from plexus.functions.ranks import running
+from plexus.functions.ranks import placed_in, running
 from plexus.operators.edges import expander, induced
 from plexus.operators.sample import moves, seed_first
 
+#: Rows of a group that one task numbers, at most: Spark limits groups before a shuffle up to this many.
+TASK_CAP = 1000
+
 
 def rank_range(rows: DataFrame, start: int, end: int, n: int) -> DataFrame:
     """Rows whose id is in [start, min(end, n)), moved to 0; a range beyond ``n`` is empty."""
@@ -38,7 +41,12 @@ def pad(rows: DataFrame, n: int, to: int, fills: dict[str, Column]) -> DataFrame
 
 
 def prefix_cap(rows: DataFrame, group: str, order: list[str], cap: int, out: str = "pos") -> DataFrame:
-    """The first ``cap`` rows of each group in ``order``, numbered from 0 in ``out``."""
+    """The first ``cap`` rows of each group in ``order``, numbered from 0 in ``out``.
+
+    Up to TASK_CAP rows a group are limited within partitions before the shuffle; for more, rows are numbered over ranges.
+    """
+    if cap > TASK_CAP:
+        return placed_in(rows, [group], order, out).where(F.col(out) < cap)
     place = F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("bigint")
     return rows.withColumn(out, place).where(F.col(out) <= cap).withColumn(out, F.col(out) - 1)
 
@@ -50,7 +58,7 @@ def lift(f: Callable[[DataFrame], DataFrame], edges: DataFrame | list[DataFrame]
 
 def local_subgraph(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, pos, is_context) and the edges by those positions: seeds first, then the edges' other nodes, each by id."""
-    met = running(seed_first(seeds, edges), ["is_context", "node"], {"pos": F.lit(1)})
+    met = running(seed_first(seeds, edges), ["is_context", "node"], {"pos": 1})
     return met, induced(edges, met)
 
 
@@ -62,7 +70,7 @@ def grouped_walks(edges: DataFrame, ids: DataFrame, per_start: int, length: int,
     that reaches it only; visits at that same step all stay.
     """
     n = ids.count()
-    which = F.floor((F.col("start") * (per_start * groups) + F.col("walk")) / max(1, n * per_start)).cast("bigint")
+    which = F.expr(f"(start * {per_start * groups} + walk) div {max(1, n * per_start)}")
     m = moves(edges, ids, per_start * groups, length, seed).withColumn("grp", which).where((F.col("step") - 1) % groups == F.col("grp"))
     first = m.groupBy("node").agg(F.min("step").alias("step"))
     return m.join(first, ["node", "step"]).select("grp", F.col("start").alias("src"), F.col("node").alias("dst"))
@@ -121,7 +129,7 @@ def batch_tables(edges: DataFrame, nodes: DataFrame, size: int, width: int, seed
     Nodes: (batch, pos, id, x, y); pos 0 is the virtual node, with null id, zeros and label -100, as padding has.
     Edges: (batch, src, dst) between nodes of one batch by position, and both ways between pos 0 and every real node.
     """
-    at = running(nodes.withColumn("key", node_key(F.col("id"), seed)), ["key", "id"], {"at": F.lit(1)})
+    at = running(nodes.withColumn("key", node_key(F.col("id"), seed)), ["key", "id"], {"at": 1})
     real = at.select(F.expr(f"at div {size}").alias("batch"), (F.col("at") % size + 1).alias("pos"), "id", "x", "y")
     slots = real.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).select("batch", F.explode(F.expr(f"array_union(array(0L), IF(n < {size}, sequence(n + 1, {size}L), array()))")).alias("pos"))
     empty = slots.select("batch", "pos", F.lit(None).cast("bigint").alias("id"), F.array_repeat(F.lit(0.0), width).alias("x"), F.lit(-100).cast("bigint").alias("y"))

@@ -116,7 +116,7 @@ def expander(ids: DataFrame, cycles: int, seed: int = 0) -> DataFrame:
     """
     out, n = [], max(1, ids.count())
     for c in range(cycles):
-        placed = running(ids.select("id", node_key(F.col("id"), seed + c).alias("key")), ["key", "id"], {"at": F.lit(1)})
+        placed = running(ids.select("id", node_key(F.col("id"), seed + c).alias("key")), ["key", "id"], {"at": 1})
         after = placed.select(F.col("id").alias("dst"), ((F.col("at") + (n - 1)) % n).alias("at"))
         e = placed.select(F.col("id").alias("src"), "at").join(after, "at").where("src <> dst").select("src", "dst")
         out += [e, flip(e)]

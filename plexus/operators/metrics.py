@@ -7,15 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.ranks import running
+from plexus.session import drop
 
 
 def quantile_labels(values: DataFrame, n: int) -> DataFrame:
-    """(id, y): bin of v between linearly interpolated quantiles, [lo, hi), the last one closed; -1 for null or NaN."""
-    good = running(values.where(F.col("v").isNotNull() & ~F.isnan("v")).select("v"), ["v"], {"at": F.lit(1)})
-    last = good.count() - 1
+    """(id, y): bin of v between linearly interpolated quantiles, [lo, hi), the last one closed; -1 for null or NaN.
+
+    Distributed selection on values and their counts: however often a value repeats, it is one row that
+    stands for a stretch of ranks.
+    """
+    good = values.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(good, ["v"], {"before": "n"})
+    last = (ranked.agg(F.sum("n")).first()[0] or 0) - 1
     places = [last * k / n for k in range(1, n)]
-    wanted = sorted({i for p in places for i in (int(p), min(int(p) + 1, last))})
-    v = {r["at"]: r["v"] for r in good.where(F.col("at").isin(wanted)).collect()} if last >= 0 else {}  # two rows a bin at most
+    wanted = sorted({i for p in places for i in (int(p), min(int(p) + 1, last))}) if last >= 0 else []
+    held = F.array(*[F.lit(i) for i in wanted]).cast("array<bigint>")
+    mine = ranked.select("v", F.filter(held, lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("n"))).alias("at"))
+    v = {r["at"]: r["v"] for r in mine.select("v", F.explode("at").alias("at")).collect()}  # two rows a bin at most
+    drop(ranked)
     cuts = [v[int(p)] + (v[min(int(p) + 1, last)] - v[int(p)]) * (p - int(p)) for p in places] if v else []
     q = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
     y = F.when(F.col("v").isNull() | F.isnan("v"), F.lit(-1)).otherwise(F.size(F.filter(q, lambda t: t <= F.col("v"))))
@@ -65,7 +74,7 @@ def ema(rows: DataFrame, keep: float = 0.9) -> DataFrame:
 
     Written out as a weighted sum over places in one order of all runs, so that no task holds a whole run.
     """
-    placed = running(rows.select("run", "epoch", "loss"), ["run", "epoch"], {"at": F.lit(1)})
+    placed = running(rows.select("run", "epoch", "loss"), ["run", "epoch"], {"at": 1})
     ends = placed.groupBy("run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     weighted = placed.join(ends, "run")
     share = F.pow(F.lit(float(keep)), F.col("last") - F.col("at")) * F.when(F.col("at") == F.col("first"), F.lit(1.0)).otherwise(F.lit(1.0 - keep))

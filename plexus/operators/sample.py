@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import edge_key, walk_key
-from plexus.functions.ranks import running
+from plexus.functions.ranks import placed_in
 from plexus.operators.edges import typed, union_distinct
 from plexus.session import cut
 
@@ -32,13 +32,10 @@ def budgets(total: int, walks_per_node: int = 1) -> tuple[int, int]:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, pos, dst, deg): out-neighbours numbered by id.
-
-    All edges are numbered in one order dealt to ranges, so that no task holds a hub's whole list.
-    """
-    placed = running(edges.select("src", "dst"), ["src", "dst"], {"at": F.lit(1)})
-    per = placed.groupBy("src").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("deg"))
-    return placed.join(per, "src").select("src", (F.col("at") - F.col("first")).cast("bigint").alias("pos"), "dst", "deg")
+    """(src, pos, dst, deg): out-neighbours numbered by id; no task holds a hub's whole list."""
+    placed = placed_in(edges.select("src", "dst"), ["src"], ["dst"], "pos")
+    deg = placed.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    return placed.join(deg, "src")
 
 
 def paths(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:

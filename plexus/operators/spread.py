@@ -188,4 +188,4 @@ def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> Data
         best = votes.groupBy("dst").agg(F.max(F.struct("n", (-F.col("part")).alias("minus"))).alias("b"))
         label = label.join(best.withColumnRenamed("dst", "id"), "id", "left").select("id", F.coalesce(-F.col("b.minus"), F.col("part")).alias("part"))
         label = cut(label, "parts")
-    return running(label, ["part", "id"], {"new_id": F.lit(1)})
+    return running(label, ["part", "id"], {"new_id": 1})

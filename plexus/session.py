@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders named since each open :func:`scratch` began.
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A folder of the shared one that nothing has been written to."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Every folder that is named inside is deleted at the end: write a result elsewhere before it."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """The rows that ``make`` returns, written and read back; all tables made on the way are deleted."""
+    path = new_path(spark, what)
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:

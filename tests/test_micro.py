@@ -132,19 +132,71 @@ def test_first_budgets(spark):
 
 
 def test_running_positions_over_ranges(spark):
-    from plexus.functions.ranks import numbered, running
-
-    d = spark.range(1000).selectExpr("id", "id % 7 AS v", "1 AS part")
-    got = {r["id"]: (r["at"], r["before"]) for r in running(d, ["v", "id"], {"at": F.lit(1), "before": "v"}, 60).collect()}
-    total = 0
-    for i, x in enumerate(sorted(range(1000), key=lambda x: (x % 7, x))):
-        assert got[x] == (i, total)
-        total += x % 7
-    assert running(d.where("id < 0"), ["id"], {"at": F.lit(1)}).count() == 0
+    from plexus.functions.ranks import numbered, placed_in, running
+
+    d = spark.range(1000).selectExpr("id", "id % 7 AS v", "1 AS part", "0 AS at")
+    for task_rows in (60, 10_000):
+        got = {r["id"]: (r["place"], r["before"]) for r in running(d, ["v", "id"], {"place": 1, "before": "v"}, task_rows).collect()}
+        total = 0
+        for i, x in enumerate(sorted(range(1000), key=lambda x: (x % 7, x))):
+            assert got[x] == (i, total)
+            total += x % 7
+        own = {r["id"]: r["place"] for r in placed_in(d.withColumn("v", F.nullif("v", F.lit(3))), ["v"], ["id"], "place", task_rows).collect()}
+        assert own == {x: x // 7 for x in range(1000)}
+    assert running(d.where("id < 0"), ["id"], {"place": 1}).count() == 0
     many = numbered(spark.createDataFrame([("a", 5, 1), ("b", 0, 1), ("c", 23, 1)], "k string, n bigint, block int"), "n", "i", 10)
     assert sorted((r["k"], r["i"]) for r in many.collect()) == [("a", i) for i in range(5)] + [("c", i) for i in range(23)]
 
 
+def test_rows_that_tie_are_dealt_to_several_ranges(spark):
+    from plexus.functions.ranks import running
+    from plexus.session import drop, exists
+
+    placed = running(spark.range(100_000).selectExpr("7 AS v"), ["v"], {"at": 1}, 10_000)
+    files = {f.rpartition("/")[0] for f in placed.inputFiles()}
+    assert len(files) == 1 and len(placed.inputFiles()) == 10
+    sizes = [spark.read.parquet(f).count() for f in placed.inputFiles()]
+    assert max(sizes) < 20_000
+    assert placed.agg(F.count_distinct("at"), F.min("at"), F.max("at")).first()[:] == (100_000, 0, 99_999)
+    drop(placed)
+    assert not exists(spark, files.pop())
+
+
+def test_quantiles_of_equal_values(spark):
+    v = spark.range(300_000).select("id", F.when(F.col("id") < 290_000, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    y = metrics.quantile_labels(v, 4).groupBy("y").count().collect()
+    # All inner quantiles are 5, so every value is in the last bin.
+    assert [tuple(r) for r in y] == [(3, 300_000)]
+
+
+def test_large_caps_number_rows_over_ranges(spark):
+    from plexus.operators.batches import prefix_cap
+
+    d = spark.range(5000).selectExpr("id % 2 AS g", "-id AS o")
+    for cap in (3, 1500):
+        r = prefix_cap(d, "g", ["o"], cap).groupBy("g").agg(F.count(F.lit(1)), F.min("pos"), F.max("pos"), F.min("o")).orderBy("g").collect()
+        assert [tuple(x) for x in r] == [(0, cap, 0, cap - 1, -4998), (1, cap, 0, cap - 1, -4999)]
+
+
+def test_what_is_made_on_the_way_is_deleted(spark):
+    from plexus.session import cut, exists, new_path, scratch, settled
+
+    seen = []
+
+    def make():
+        t = cut(spark.range(5).toDF("id"), "way")
+        seen.append(t.inputFiles()[0].rpartition("/")[0])
+        return t.where("id > 2")
+
+    out = settled(spark, make, "kept")
+    assert sorted(r[0] for r in out.collect()) == [3, 4] and not exists(spark, seen[0])
+    with scratch(spark):
+        t = cut(spark.range(3).toDF("id"), "way")
+        path = t.inputFiles()[0].rpartition("/")[0]
+        assert exists(spark, path)
+    assert not exists(spark, path) and not exists(spark, new_path(spark, "unused"))
+
+
 def test_stream_is_compacted_and_a_repeated_batch_changes_nothing(spark, tmp_path):
     from plexus.streaming.edges import keep_topk, latest
 
