@@ -34,7 +34,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], percent: int, cap: i
     Sources fill up in order of cap * size / weight; those that fill pass the rest on by weight. Any number
     of sources is ranked and summed up in ranges.
     """
-    ranked = running(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    ranked = running(sources, [F.col("source").asc_nulls_last()], {"rank": 1})
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     own = ranked.withColumns({"weight": weight, "most": (F.col("source_size") * cap).cast("double")}).withColumn("full_at", F.col("most") / F.col("weight"))
     own = running(own, ["full_at", "rank"], {"filled": "most", "passed": "weight"})
