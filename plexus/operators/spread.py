@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plexus.functions.ranks import running
 from plexus.operators.edges import bidirect
-from plexus.session import cut, drop
+from plexus.session import cut, drop, settled
 
 
 def reception_cone(edges: DataFrame, probes: DataFrame, layers: int) -> DataFrame:
@@ -71,26 +71,47 @@ def propagate(weighted: DataFrame, features: DataFrame, hops: int, width: int) -
     return reduce(DataFrame.unionByName, out)
 
 
-def ppr_topk(edges: DataFrame, sources: DataFrame, k: int, c: float = 0.15, tolerance: float = 1e-5) -> DataFrame:
-    """(src, dst, rank): the k nodes of largest personalised PageRank of each source, itself left out.
+def ppr_push(edges: DataFrame, sources: DataFrame, c: float = 0.15, epsilon: float = 1e-6) -> DataFrame:
+    """(source, node, p, r): personalised PageRank by forward push, and the residual that is left at each node.
 
-    Power iteration over out-edges with equal weights, until no source's scores change by more than
-    ``tolerance`` in sum; the change shrinks by 1 - c a round at least. Scores within 1e-9 tie by id.
+    A walk from the source stops at each step with probability ``c`` and else follows an out-edge. All nodes whose
+    residual is at least ``epsilon`` for each out-edge are pushed at once, round after round: the share c of the residual
+    becomes rank, the rest goes to the out-neighbours. A push that sends anything settles c * epsilon of a source's mass of 1 an
+    edge, so a source holds at most 1 / (c * epsilon) nodes however large the graph is. ``p`` falls short of the true rank by
+    the source's remaining residuals at most, all of them together. Mass that reaches a node without out-edges ends there.
     """
-    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    step = cut(edges.join(deg, "src").select(F.col("src").alias("at"), F.col("dst").alias("to"), (1 / F.col("deg")).alias("p")), "ppr")
-    seed = sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.lit(1.0).alias("r"))
-    now, change = cut(seed, "ppr"), 1.0
-    while change > tolerance:
-        moved = now.join(step, "at").select("source", F.col("to").alias("at"), (F.col("r") * F.col("p") * (1 - c)).alias("r"))
-        after = cut(moved.unionByName(seed.withColumn("r", F.lit(c))).groupBy("source", "at").agg(F.sum("r").alias("r")), "ppr")
-        both = after.unionByName(now.withColumn("r", -F.col("r"))).groupBy("source", "at").agg(F.sum("r").alias("d"))
-        change = both.groupBy("source").agg(F.sum(F.abs("d")).alias("d")).agg(F.max("d")).first()[0] or 0.0
-        drop(now)
-        now = after
-    order = W.partitionBy("source").orderBy(F.round("r", 9).desc(), "at")
-    ranked = now.where("source <> at").withColumn("rank", F.row_number().over(order).cast("bigint"))
-    return ranked.where(F.col("rank") <= k).select(F.col("source").alias("src"), F.col("at").alias("dst"), "rank")
+    spark = edges.sparkSession
+
+    def run() -> DataFrame:
+        arcs = cut(edges.select("src", "dst").distinct(), "arcs")
+        deg = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+        start = sources.select(F.col("id").alias("source")).distinct().withColumn("node", F.col("source"))
+        state = cut(start.join(deg, "node", "left").select("source", "node", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"), F.coalesce("deg", F.lit(0)).alias("deg")), "push")
+        due = (F.col("r") > 0) & (F.col("r") >= F.col("deg") * epsilon)
+        while not state.where(due).isEmpty():
+            sent = state.where(due & (F.col("deg") > 0)).select("source", F.col("node").alias("src"), (F.col("r") * (1 - c) / F.col("deg")).alias("r"))
+            got = sent.join(arcs, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("r").alias("r"))
+            kept = state.select("source", "node", (F.col("p") + F.when(due, F.col("r") * c).otherwise(0.0)).alias("p"), F.when(due, 0.0).otherwise(F.col("r")).alias("r"))
+            both = kept.unionByName(got.withColumn("p", F.lit(0.0))).groupBy("source", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+            after = cut(both.join(deg, "node", "left").select("source", "node", "p", "r", F.coalesce("deg", F.lit(0)).alias("deg")), "push")
+            drop(state)
+            state = after
+        return state.select("source", "node", "p", "r")
+
+    return settled(spark, run, "pushed")
+
+
+def ppr_topk(edges: DataFrame, sources: DataFrame, k: int, c: float = 0.15, epsilon: float = 1e-6) -> DataFrame:
+    """(src, dst, rank, held, residual): the k nodes of largest personalised PageRank of each source, itself left out.
+
+    By :func:`ppr_push`: ``held`` is the number of nodes that the source reached with a rank or a residual,
+    ``residual`` what their ranks may fall short by together. Scores that are equal to nine digits tie by identifier.
+    """
+    state = ppr_push(edges, sources, c, epsilon)
+    per = state.groupBy("source").agg(F.count(F.lit(1)).alias("held"), F.sum("r").alias("residual"))
+    order = W.partitionBy("source").orderBy(F.round("p", 9).desc(), "node")
+    ranked = state.where((F.col("source") != F.col("node")) & (F.col("p") > 0)).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.join(per, "source").select(F.col("source").alias("src"), F.col("node").alias("dst"), "rank", "held", "residual")
 
 
 def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: float = 1e-6, most_rounds: int = 300) -> DataFrame:
