@@ -25,7 +25,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,9 @@ MEMO, MEMO_LETTERS = 500_000, 12_000_000
 JOINED = 100
 #: Letters of text that are taken apart and looked up at a time.
 CHUNK = 500_000
-BOUNDARY = re.compile(r"(?<=\S) ")
+BOUNDARY, AFTER_SPACE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+#: Below this code point both of A's libraries split texts alike; others go to the one that its file is written for.
+PLAIN = re.compile("[\x00-\u024f]*")
 MARK = "▁"
 STATS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -65,6 +67,8 @@ def chunks(text: str) -> Iterator[list[str]]:
 
 def _parts(s: str) -> list[str]:
     """s starts with a space, and so does each part; that space is left out."""
+    if not AFTER_SPACE.search(s):
+        return s[1:].split(" ")
     first, *rest = BOUNDARY.split(s)
     return [first[1:], *rest]
 
@@ -105,9 +109,32 @@ class Aligner:
             raise ValueError("a piece of B holds a space after another character; texts can't be taken apart at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        said = lambda marks, n: [np.array([b"%c%d" % (m, i) for i in range(n)], object) for m in marks]
+        # Ids as they are written in groups, with the sign before them.
+        self.a_said, self.b_said = said(b";,", len(self.a_bytes)), said(b"|,", len(self.b_bytes))
         self.blank = [self.b.piece_to_id(MARK)]
+        self.ranked = self._ranked(a_file)
         self.clear()
 
+    def _ranked(self, a_file: str):
+        """A faster library for A's vocabulary, where ids stand in the order of merges and words are split by the usual pattern; else None."""
+        import json
+
+        with open(a_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+        vocab, split = spec["model"]["vocab"], spec["pre_tokenizer"]
+        usual = spec["normalizer"] is None and split["type"] == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if not usual or any(vocab[m.replace(" ", "")] != 256 + i for i, m in enumerate(merges)):
+            return None
+        try:
+            import tiktoken
+            from public_tokenizers import PATTERN
+        except ImportError:
+            return None
+        special = {t["content"] for t in spec["added_tokens"]}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for t, i in vocab.items() if t not in special}, special_tokens={})
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.letters = 0
@@ -119,10 +146,15 @@ class Aligner:
     def full(self) -> bool:
         return len(self.index) >= MEMO or self.letters >= MEMO_LETTERS
 
+    def _a_ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked and all(map(PLAIN.fullmatch, texts)):
+            return list(map(self.ranked.encode_ordinary, texts))
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encoded(self, parts: list[str], joined: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts one after another; the first ``joined`` parts are encoded as texts of several."""
         texts = [" ".join(parts[i : min(i + JOINED, joined)]) for i in range(0, joined, JOINED)] + parts[joined:]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = self._a_ids([" " + t for t in texts])
         b = [x if t else self.blank for t, x in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
         return tuple(np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b))
 
@@ -130,44 +162,53 @@ class Aligner:
         """Whether the ids have these bytes, and tokens end where parts do."""
         if not whole == b"".join(map(self.a_bytes.__getitem__, fa.tolist())) == b"".join(map(self.b_bytes.__getitem__, fb.tolist())):
             return False
-        return all(len(np.intersect1d(np.cumsum(n[f]), ends, assume_unique=True)) == len(ends) for n, f in ((self.a_len, fa), (self.b_len, fb)))
+        stops = (np.cumsum(self.a_len[fa]), np.cumsum(self.b_len[fb]))
+        return all((s[np.searchsorted(s, ends)] == ends).all() for s in stops)
 
     def add(self, parts: list[str]) -> None:
         """Align new parts, all at once."""
         if not parts:
             return
         # Parts that end in white space stand alone, since the next one's space would not be a place to cut.
-        plain = [p for p in parts if p and not p[-1].isspace()]
-        parts = plain + [p for p in parts if not p or p[-1].isspace()]
-        whole = [(" " + p).encode() for p in parts]
-        fa, fb = self._encoded(parts, len(plain))
-        if not self._given_back(b"".join(whole), np.cumsum([len(w) for w in whole]), fa, fb):
+        alone = [p for p in parts if not p or p[-1].isspace()]
+        if alone:
+            parts = [p for p in parts if p and not p[-1].isspace()] + alone
+        whole = (" " + " ".join(parts)).encode()
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        if len(whole) != sizes.sum():
+            sizes = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)) + 1
+        ends, first = np.cumsum(sizes), len(self.index)
+        fa, fb = self._encoded(parts, len(parts) - len(alone))
+        if not self._given_back(whole, ends, fa, fb):
             each = [self._encoded([p], 0) for p in parts]
             for i, (a, b) in enumerate(each):
-                if not self._given_back(whole[i], np.array([len(whole[i])]), a, b):
-                    self.bad.add(len(self.index) + i)
-                    each[i], whole[i] = (a[:0], b[:0]), b""
+                if not self._given_back(whole[ends[i] - sizes[i] : ends[i]], sizes[i : i + 1], a, b):
+                    self.bad.add(first + i)
+                    each[i], sizes[i] = (a[:0], b[:0]), 0
             fa, fb = (np.concatenate(x) for x in zip(*each, strict=True))
-        oa, ob = owners(self.a_len[fa]), owners(self.b_len[fb])
-        starts, new = links(oa, ob)
-        la, lb = oa[starts], ob[starts]
-        cuts = np.flatnonzero(new)
-        ends = np.cumsum([len(w) for w in whole])
+            ends = np.cumsum(sizes)
+        na, nb = self.a_len[fa], self.b_len[fb]
+        starts, new = links(oa := owners(na), ob := owners(nb))
+        la, lb, group = oa[starts], ob[starts], np.cumsum(new) - 1
         upto = lambda places: np.diff(np.searchsorted(places, ends), prepend=0)
-        first_byte = lambda n: np.cumsum(n) - n
-        n_groups = upto(starts[cuts])
-        sa, sb = list(map(str, fa.tolist())), list(map(str, fb.tolist()))
-        ga, gb = [*la[cuts].tolist(), len(sa)], [*lb[cuts].tolist(), len(sb)]
-        strings = [f"{','.join(sa[i:j])}|{','.join(sb[k:m])}" for i, j, k, m in zip(ga, ga[1:], gb, gb[1:])]
-        at, first = 0, len(self.index)
-        for n in n_groups.tolist():
-            self.groups.append(";".join(strings[at : at + n]).encode())
-            at += n
+        # Tokens in the order in which groups name them, each with its sign: a new group, B's side, or one more.
+        ga, gb = np.zeros(len(fa), np.int64), np.zeros(len(fb), np.int64)
+        ga[la], gb[lb] = group, group
+        more = lambda g: np.concatenate(([False], g[1:] == g[:-1]))[: len(g)]
+        said = np.concatenate((np.where(more(ga), self.a_said[1][fa], self.a_said[0][fa]), np.where(more(gb), self.b_said[1][fb], self.b_said[0][fb])))
+        said = said[np.argsort(np.concatenate((2 * ga, 2 * gb + 1)), kind="stable")].tolist()
+        at, text = 0, b"".join(said)
+        a_counts, b_counts = upto(np.cumsum(na) - na), upto(np.cumsum(nb) - nb)
+        letters = np.concatenate(([0], np.cumsum(np.fromiter(map(len, said), np.int64, len(said)))))
+        stops = letters[np.cumsum(a_counts + b_counts)].tolist()
+        for stop in stops:
+            self.groups.append(text[at + 1 : stop])
+            at = stop
         self.index.update(zip(parts, range(first, first + len(parts)), strict=True))
         self.letters += sum(map(len, parts))
         while first + len(parts) > len(self.stats):
             self.stats = np.concatenate((self.stats, np.zeros_like(self.stats)))
-        self.stats[first : first + len(parts)] = np.stack([upto(first_byte(self.a_len[fa])), upto(first_byte(self.b_len[fb])), n_groups, upto(starts)], axis=1)
+        self.stats[first : first + len(parts)] = np.stack([a_counts, b_counts, upto(starts[new]), upto(starts)], axis=1)
         self.codes.append(fa[la] << 32 | fb[lb])
 
     def pairs(self) -> np.ndarray:
@@ -184,8 +225,12 @@ class Aligner:
         def known() -> list[tuple[int, np.ndarray]]:
             if self.full():
                 self.clear()
-            self.add(list(set().union(*(p for _, p in held)).difference(self.index)))
-            return [(i, np.fromiter(map(self.index.__getitem__, p), np.int64, len(p))) for i, p in held]
+            found = [np.fromiter(map(self.index.get, p, repeat(-1)), np.int64, len(p)) for _, p in held]
+            missing = [np.flatnonzero(at < 0).tolist() for at in found]
+            self.add(list({p[i] for (_, p), places in zip(held, missing, strict=True) for i in places}))
+            for (_, p), at, places in zip(held, found, missing, strict=True):
+                at[places] = [self.index[p[i]] for i in places]
+            return [(i, at) for (i, _), at in zip(held, found, strict=True)]
 
         for i, text in enumerate(texts):
             if not text or MARK in text:
