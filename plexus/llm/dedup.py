@@ -75,12 +75,25 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), place["file_path"].alias("file"), place["row_index"].alias("row"))
 
 
+def scanned(docs: DataFrame) -> bool:
+    """Whether ``docs`` is Parquet files read by nothing but projections and filters that give the same rows each time.
+
+    Only then does each row have a place of its own: joins, unions and generators repeat the rows of a file.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    try:
+        return node.children().isEmpty() and bool(located(docs).columns)
+    except AnalysisException:  # no files, or none with numbered rows
+        return False
+
+
 def stored(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` as a table with locators, and whether it had to be written for that."""
-    try:
-        return located(docs), False
-    except AnalysisException:  # made by a query: its rows have no place yet
-        return located(cut(docs, "dedup-store")), True
+    return (located(docs), False) if scanned(docs) else (located(cut(docs, "dedup-store")), True)
 
 
 def decide(rows: DataFrame, digest: Callable[[Column, int], Column] = sha256) -> DataFrame:

@@ -9,7 +9,8 @@ chunks again, level by level, until one is left for a source, which is rounded b
 Defined results: a null text has size 0; documents of size 0 take no words. A null source is one
 source, last in order. Without any word every target is 0. The random numbers are hashes of seed,
 all columns and, for rows alike in all of them, a number, so reruns agree and repeated rows are documents
-of their own, spread over all chunks. Rows alike in all columns are interchangeable; others are not.
+of their own, spread over all chunks. Rows alike in all columns are interchangeable; others are not, and
+are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -83,14 +84,15 @@ def _level(items: DataFrame, seed: int) -> DataFrame:
     item = F.struct(F.xxhash64("h", "k", F.lit(seed)).alias("r"), "doc_id", "h", "k", "size", "x")
     chunks = items.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = dict(items.dtypes)["doc_id"]
-    none = f"CAST(array() AS ARRAY<STRUCT<doc_id: {kind}, h: BIGINT, k: BIGINT, size: BIGINT, bump: INT>>)"
+    none = f"CAST(array() AS ARRAY<STRUCT<doc_id: {kind}, h: STRUCT<a: BIGINT, b: BIGINT>, k: BIGINT, size: BIGINT, bump: INT>>)"
     folded = F.expr(f"aggregate(slice(items, 2, size(items)), named_struct('cur', items[0], 'out', {none}), {_fold(seed)})")
     return chunks.select("source", "bucket", folded.alias("f")).select("source", "bucket", "f.cur", "f.out")
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """One hash of all columns: rows that share it are alike."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
+    """A hash of 128 bits of all columns, as two of 64: rows that share it are taken for alike."""
+    own = [F.col(f"`{c}`") for c in sorted(docs.columns)]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(0x9E3779B9), *own).alias("b"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), percent: int = 150, cap: int = 2, seed: int = 11) -> DataFrame:
