@@ -8,19 +8,22 @@ run are written again with marks of their places, since how a run begins tells m
 somewhere in it. What a window gains, its length with the ordinary dictionary less that with the toxic one, is standardised by window size and
 turned into log odds calibrated on labelled rows that no dictionary was trained on.
 
-Not all windows of a toxic text are toxic, and no list of words says which: the toxic dictionary is
-trained on all of them first, then again on those that gained more than nearly all ordinary windows do.
-A text's strongest windows and their number give its score.
+Not all windows of a toxic text are toxic, and no list of words says which. Beginnings of windows are counted in both
+classes; windows with a beginning that toxic rows have far more often train the toxic dictionary, the others of
+ordinary rows the ordinary one. Scores come from compressed lengths alone, of beginnings seen or not. A text's strongest windows, and by how much
+it has more strong ones than ordinary text of its length, give its score.
 
 Defined results: a null or empty text, or one without letters, has no window and gets the score of a
 text of no evidence. Without any toxic or any ordinary labelled row nothing can be learned: every score
-is 0. A class of one row is trained and calibrated on the same row. Ties, repeated rows and further
-columns have no influence: a score depends on text alone.
+is 0. A class of one row is trained and calibrated on the same row. Where windows are too few or too much alike to train a
+dictionary on, their distinct ones, the last ones if they are more than its size, are the dictionary as they stand. Ties,
+repeated rows and further columns have no influence: a score depends on text alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +36,12 @@ from plexus.session import ship, spare_name, table
 
 #: Labelled rows of each class that the model is fitted on, at most; the only bound of the fit.
 FIT_ROWS = 1500
-GRAM, LEVEL = 4, 3
+GRAM, LEVEL = 4, 12
 ORDINARY_BYTES = 110_000
-#: Rounds of the toxic dictionary: its bytes, and the share of ordinary windows that the next round's windows must outdo.
-ROUNDS = ((24_576, 0.95), (12_288, 0.98), (12_288, 0.98))
-#: Bytes of the toxic dictionary trained on the last round's windows, and segment and matched lengths of its training.
-TOXIC_BYTES, SEGMENT, MATCHED = 12_288, 200, 8
+#: Bytes of the toxic dictionary, and segment and matched lengths of its training.
+TOXIC_BYTES, SEGMENT, MATCHED = 24_576, 200, 8
+#: Letters of a beginning, the mark of the start among them; how many times as often as due, and by how many deviations, toxic rows must have it.
+HEADS, TIMES, SURE = (4, 5, 6, 7, 8), 3.0, 4.5
 #: Marks of places in a run. Letters are lowered, so no other group looks like a marked one.
 PLACES = b"ABCDEFGH"
 #: Of the rows of a class, one in so many calibrates; the others train.
@@ -46,8 +49,11 @@ LOOK_EVERY = 3
 #: Runs of up to LONGEST letters are one window; longer ones are pieces of PIECE, one every STEP letters.
 LONGEST, PIECE, STEP = 24, 14, 4
 #: Windows whose odds a worker remembers before it starts anew. They are short, so this bounds bytes; results don't depend on it.
-MEMO = 100_000
-SIZES = 40
+MEMO = 300_000
+#: Log odds above which windows are counted.
+LEVELS = np.array([0.5, 1.0, 2.0, 4.0])
+#: Sizes of windows in bytes are told apart below this; a window of LONGEST letters and its marks has four bytes a letter at most.
+SIZES = 4 * LONGEST + 4
 EDGES = np.arange(-3, 16.01, 0.25)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -127,13 +133,16 @@ def _rising(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([[y] * int(n) for y, _, n in blocks])
 
 
-def _features(values: np.ndarray) -> tuple[float, ...]:
+def _features(values: np.ndarray, rates: np.ndarray) -> tuple[float, ...]:
+    """The strongest windows, and by how much more windows are strong than of as many ordinary ones (``rates``: shares of these)."""
     n = len(values)
     if not n:
-        return (0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0.0,) * (4 + len(LEVELS))
     top = np.sort(np.maximum(values, 0.0) if n <= 4 else np.maximum(np.partition(values, n - 4)[n - 4 :], 0.0))[::-1]
+    due = rates * n
+    over = ((values[:, None] > LEVELS).sum(0) - due) / np.sqrt(due + 1)
     # What the strongest of n ordinary windows shows grows with log n.
-    return (float(top[0]), float(top[1]) if n > 1 else 0.0, float(top.sum()), float((values > 4.0).sum() / np.sqrt(n)), float((values > 2.0).sum() / np.sqrt(n)), float(np.log1p(n)))
+    return (float(top[0]), float(top[1]) if n > 1 else 0.0, float(top.sum()), float(np.log1p(n)), *np.log1p(np.maximum(over, 0.0)).tolist())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +163,23 @@ def _parts(texts: list[str | None]) -> tuple[list[list[str]], list[list[str]]]:
     return ([r for i, r in enumerate(rows) if i % LOOK_EVERY], rows[0::LOOK_EVERY]) if len(rows) > 1 else (rows, rows)
 
 
-def _against(ordinary: bytes, toxic: bytes, plain: list[str], sizes: np.ndarray, share: float) -> tuple[Gains, np.ndarray, np.ndarray, float]:
-    """The gains by a dictionary, mean and deviation of ordinary windows' ones, and what ``share`` of them stay below."""
-    gain = Gains(ordinary, toxic)
-    gains = np.array([gain(w) for w in plain], float)
-    mean, dev = _scale(gains, sizes)
-    return gain, mean, dev, float(np.quantile((gains - mean[sizes]) / dev[sizes], share)) if len(plain) else 0.0
+def _heads(window: str) -> set[str]:
+    return {window[:n] for n in HEADS if len(window) >= n}
+
+
+def _begins(window: str, signs: set[str]) -> bool:
+    return not signs.isdisjoint(_heads(window))
+
+
+def _telling(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Beginnings that windows of toxic rows have far more often than those of ordinary rows, beyond what chance explains.
+
+    Deviations are those of a count if both classes began their windows alike, so rare beginnings need more.
+    """
+    n1, n0 = (Counter(h for w in ws for h in _heads(w)) for ws in (toxic, ordinary))
+    part = len(toxic) / max(1, len(toxic) + len(ordinary))
+    due = {h: (n + n0[h]) * part for h, n in n1.items()}
+    return {h for h, n in n1.items() if n * (1 - part) >= TIMES * n0[h] * part and n - due[h] >= SURE * np.sqrt(due[h] * (1 - part) + 1e-9)}
 
 
 def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict | None:
@@ -171,17 +191,13 @@ def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict |
     if not texts[0] or not texts[1]:
         return None
     (train0, look0), (train1, look1) = _parts(texts[0]), _parts(texts[1])
-    ordinary = _train(ORDINARY_BYTES, [_bytes(w) for ws in train0 for w in ws])
+    every, prose = [w for ws in train1 for w in ws], [w for ws in train0 for w in ws]
+    signs = _telling(every, prose)
+    ordinary = _train(ORDINARY_BYTES, [_bytes(w) for w in prose if not _begins(w, signs)])
+    toxic = _train(TOXIC_BYTES, [_bytes(w) for w in every if _begins(w, signs)] or [_bytes(w) for w in every], k=SEGMENT, d=MATCHED)
+    gain = Gains(ordinary, toxic)
     plain = list(dict.fromkeys(w for ws in look0 for w in ws))
-    sizes = np.array([_size(w) for w in plain])
-    every = [w for ws in train1 for w in ws]
-    chosen = every
-    for size, share in ROUNDS:
-        gain, mean, dev, least = _against(ordinary, _train(size, [_bytes(w) for w in chosen], k=SEGMENT, d=MATCHED), plain, sizes, share)
-        strong = {w for w in set(every) if (gain(w) - mean[_size(w)]) / dev[_size(w)] > least}
-        chosen = [w for w in every if w in strong] or every
-    toxic = _train(TOXIC_BYTES, [_bytes(w) for w in chosen], k=SEGMENT, d=MATCHED)
-    gain, mean, dev, _ = _against(ordinary, toxic, plain, sizes, 1.0)
+    mean, dev = _scale(np.array([gain(w) for w in plain], float), np.array([_size(w) for w in plain], int))
     model = {"ordinary": ordinary, "toxic": toxic, "mean": mean, "dev": dev}
     # Odds: over all sizes by standardised gain, rising; then each size's own gains, leaning on those.
     known = {w: gain(w) for ws in (*look0, *look1) for w in ws}
@@ -207,12 +223,14 @@ def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict |
         own[s, g] = float(np.log(p / (1 - p)) - np.log(rate[1] / rate[0]))
     model["own"] = own
     odds = Odds(model)
-    x = np.array([_features(np.array([odds(w) for w in ws])) for ws in (*look1, *look0)])
+    usual = np.array([odds(w) for ws in look0 for w in ws])
+    rates = (usual[:, None] > LEVELS).mean(0) if len(usual) else np.zeros(len(LEVELS))
+    x = np.array([_features(np.array([odds(w) for w in ws]), rates) for ws in (*look1, *look0)])
     y = np.repeat([1.0, 0.0], [len(look1), len(look0)])
     w, centre, scale = _logistic(x, y)
     if toxic_share is not None:
         w[0] += np.log(toxic_share / (1 - toxic_share)) - np.log(len(look1) / len(look0))
-    return model | {"weights": (w, centre, scale)}
+    return model | {"weights": (w, centre, scale), "rates": rates}
 
 
 class Odds:
@@ -240,12 +258,13 @@ class Scorer:
     def __init__(self, model: dict):
         self.odds = Odds(model)
         self.w, self.mean, self.scale = model["weights"]
+        self.rates = model["rates"]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        x = np.zeros((len(texts), 6))
+        x = np.zeros((len(texts), len(self.mean)))
         for i, t in enumerate(texts):
-            x[i] = _features(np.fromiter(map(self.odds, windows(t)), float))
-        z = (x - self.mean) / self.scale @ self.w[1:] + self.w[0]
+            x[i] = _features(np.fromiter(map(self.odds, windows(t)), float), self.rates)
+        z = ((x - self.mean) / self.scale * self.w[1:]).sum(1) + self.w[0]  # row by row, so that equal texts score alike in any batch
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
