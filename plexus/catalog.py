@@ -16,9 +16,12 @@ from plexus.operators import metrics as M
 from plexus.operators import sample as S
 from plexus.operators import spread as P
 from plexus.plans import budget as B
+from plexus import strong
 from plexus.components import components
+from plexus.operators import partition as T
+from plexus.operators.phases import two_phase
 from plexus.sources import graphs as G
-from plexus.session import table
+from plexus.session import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,12 +132,11 @@ def _(spark, sf):
     return G.splits(spark, sf)
 
 
-@query("split_from_json", "SELECT part, id FROM (VALUES ('train', 0::BIGINT), ('train', 3), ('valid', 1), ('test', 2)) t(part, id)")
+@query("role_json", f"SELECT vec_id AS id, CASE WHEN {_hn('vec_id')} % 10 < 6 THEN 'train' WHEN {_hn('vec_id')} % 10 < 8 THEN 'valid' ELSE 'test' END AS part FROM embeddings")
 def _(spark, sf):
-    raw = spark.range(1).select(F.lit('{"tr": [0, 3], "va": [1], "te": [2]}').alias("j"))
-    m = raw.select(F.explode(F.from_json("j", "map<string,array<bigint>>")).alias("k", "ids"))
-    names = F.create_map(*[F.lit(v) for kv in G.PARTS.items() for v in kv])
-    return m.select(names[F.col("k")].alias("part"), F.explode("ids").alias("id"))
+    path = new_path(spark, "role") + ".json"
+    G.write_role_json(G.splits(spark, sf), path)
+    return G.read_role_json(spark, path).select("id", "part")
 
 
 @query("row_l1_norm", f"WITH {_NODES}, t AS (SELECT id, list_sum(x) AS t, list_sum(list_transform(x, lambda v: abs(v))) AS size FROM nodes) SELECT id, round(CASE WHEN t = 0 THEN 0 ELSE ln(size / abs(t)) END, 6) AS log_total FROM t")
@@ -370,6 +372,30 @@ def _(spark, sf):
     return P.partition_relabel(G.item_edges(spark, sf), G.nodes(spark, sf))
 
 
+@query("balanced_parts")
+def _(spark, sf):
+    return T.relabelled(T.balanced_parts(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"), 4))
+
+
+@query("strong_components", f"WITH RECURSIVE {_ITEM}, reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT a, dst FROM reach JOIN item ON src = b) SELECT p.a AS id, min(p.b) AS component FROM reach p JOIN reach q ON p.a = q.b AND p.b = q.a GROUP BY p.a")
+def _(spark, sf):
+    return strong.strong_components(G.item_edges(spark, sf), G.nodes(spark, sf).select("id"))
+
+
+@query("graph_conditions", f"WITH RECURSIVE {_ITEM}, {_BOTH}, reach AS (SELECT min(vec_id) AS b FROM embeddings UNION SELECT dst FROM reach JOIN both_ ON src = b), k AS (SELECT count(*) AS n_nodes, count(*) FILTER (WHERE vec_id % 7 <> 0) AS n_without_loop FROM embeddings), r AS (SELECT count(*) AS met FROM reach) SELECT n_nodes, n_without_loop, met = n_nodes AS connected FROM k, r")
+def _(spark, sf):
+    nodes = G.nodes(spark, sf).select("id")
+    loops = nodes.where("id % 7 = 0").select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    found = strong.conditions(G.item_edges(spark, sf).unionByName(loops), nodes)
+    return found.select("n_nodes", "n_without_loop", (F.col("n_weak") == 1).alias("connected"))
+
+
+@query("weighted_sample", f"WITH {_ITEM}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY round(-ln(({_h('src', 'dst', 9)} + 1) / 2147483649.0::DOUBLE) / (1 + (src + dst) % 3), 9), src) AS k FROM item) SELECT src, dst FROM r WHERE k <= 5")
+def _(spark, sf):
+    w = G.item_edges(spark, sf).withColumn("w", (1 + (F.col("src") + F.col("dst")) % 3).cast("double"))
+    return H.weighted_sample(w, 5, 9).select("src", "dst")
+
+
 # --- attention
 
 
@@ -395,6 +421,17 @@ def _(spark, sf):
     return _explode(A.softmax(A.weights(_merged(spark, sf), n, WIDTH), n, WIDTH), "out", "id")
 
 
+@query("two_phase_attention", ORACLES["merged_edge_attention"])
+def _(spark, sf):
+    return _explode(two_phase(_merged(spark, sf), G.nodes(spark, sf), WIDTH), "out", "id")
+
+
+@query("head_mass", f"WITH {_ITEM}, {_NODES}, e AS (SELECT head, src, dst FROM item, range(4) t(head) WHERE src % 4 = head), sc AS (SELECT e.head, e.dst, exp(greatest(least({_KQ} / 8, 5), -5)) AS w FROM e JOIN nodes k ON k.id = e.src JOIN nodes q ON q.id = e.dst), t AS (SELECT dst, sum(w) AS t FROM sc GROUP BY dst), p AS (SELECT dst, head, sum(w) AS m FROM sc GROUP BY ALL) SELECT head, round(sum(m / t) / (SELECT count(*) FROM t), 9) AS mass FROM p JOIN t USING (dst) GROUP BY head")
+def _(spark, sf):
+    heads = H.grouped_heads(G.item_edges(spark, sf), 4, 4)
+    return A.head_mass(A.weights(heads, G.nodes(spark, sf), WIDTH)).withColumn("mass", F.round("mass", 9))
+
+
 @query("edge_softmax_list", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ}, 5), -5) / 8')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")
 def _(spark, sf):
     n = G.nodes(spark, sf)
@@ -552,20 +589,9 @@ def _(spark, sf):
     return M.profile_rollup(e).withColumn("mean", F.round("mean", 6))
 
 
-@query("lr_schedule", "SELECT s AS step, round(CASE WHEN s < 10 THEN s * 0.001 / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * (s - 10) / 90)) END, 9) AS cosine, round(CASE WHEN s < 10 THEN s * 0.001 / 10 ELSE 0.0001 + 0.0009 * (1 - (s - 10) / 90) END, 9) AS poly FROM range(100) t(s)")
-def _(spark, sf):
-    s = F.col("id")
-    return spark.range(100).select(s.alias("step"), F.round(M.learning_rate(s, 0.001, 10, 100), 9).alias("cosine"), F.round(M.learning_rate(s, 0.001, 10, 100, 0.0001, 1.0), 9).alias("poly"))
-
-
 # --- planning
 
 
-@query("plan_choice", "WITH p AS (SELECT a, b, 12 - a - b AS c FROM range(13) x(a), range(13) y(b) WHERE a + b <= 12), q AS (SELECT *, (a * 1.0 + b * 3.0 + c * 1.6)::DOUBLE * 1.05::DOUBLE AS peak, (10.0::DOUBLE + a * 0.8::DOUBLE) + greatest(0, c * 2.0 - 10.0)::DOUBLE AS t FROM p) SELECT round(t, 6) AS t, round(peak, 6) AS peak, a, b, c FROM q WHERE peak <= 24 ORDER BY round(t, 6), round(peak, 6), a, b, c LIMIT 1")
-def _(spark, sf):
-    return B.plan_choice(spark, 12, 24.0).select(F.round("t", 6).alias("t"), F.round("peak", 6).alias("peak"), "a", "b", "c")
-
-
 @query("working_set", f"WITH {_ITEM}, e AS (SELECT count(*) AS e FROM item) SELECT w, l, 48 * e + 8 * c + 8 * (c + 1) + 8 * c * w * (l + 1) + 33 * c * w + 16 * c * w * l AS bytes FROM e, n, range(1, 5) a(w), range(1, 5) b(l)")
 def _(spark, sf):
     e = G.item_edges(spark, sf).agg(F.count(F.lit(1)).alias("e"))
@@ -573,11 +599,6 @@ def _(spark, sf):
     return grid.select("w", "l", B.working_set(F.col("e"), F.lit(G.n_nodes(spark, sf)), F.col("w"), F.col("l")).alias("bytes"))
 
 
-@query("budget_grid", "SELECT row_number() OVER (ORDER BY a + b, b) - 1 AS place, a * 2 AS real, b * 2 AS rw FROM (VALUES (1::BIGINT, 0::BIGINT), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (4, 0), (4, 2)) t(a, b) WHERE a * 2 + b * 2 <= 8")
-def _(spark, sf):
-    return B.initial_grid(spark, 8)
-
-
 _PROBES = "p AS (SELECT event_id // 10 AS round, CASE event_id % 2 WHEN 0 THEN 'real_up' ELSE 'rw_up' END AS kind, avg(value) + 1 AS base, max(value) AS cand FROM events GROUP BY ALL)"
 
 

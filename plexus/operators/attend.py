@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from plexus.functions.keys import dot
 
 
+#: Dimensions that one row of a vector sum has; wider vectors are several rows, so generated code does not grow with the width.
+BLOCK = 32
+
+
+def vector_sum(rows: DataFrame, keys: list[str], vector: Column | str, out: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, out, more): vectors of equal length added up for each key, and further aggregates beside them.
+
+    Vectors are dealt to blocks of BLOCK dimensions, summed before and after one shuffle, and put together again.
+    """
+    v, more = F.col(vector) if isinstance(vector, str) else vector, more or {}
+    names = [f"_d{i}" for i in range(BLOCK)]
+    blocks = rows.withColumn("_v", v).withColumn("_b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(size(_v) - 1) div {BLOCK}").cast("int")))))
+    at = lambda i: F.get("_v", F.col("_b") * BLOCK + i)
+    own = {k: F.when(F.col("_b") == 0, c) for k, c in more.items()}
+    wide = blocks.select(*keys, "_b", F.size("_v").alias("_n"), *[at(i).alias(n) for i, n in enumerate(names)], *[c.alias(k) for k, c in own.items()])
+    per = wide.groupBy(*keys, "_b").agg(F.max("_n").alias("_n"), *[F.sum(n).alias(n) for n in names], *[F.sum(k).alias(k) for k in more])
+    whole = per.groupBy(*keys).agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_b", F.array(*names).alias("x")))).alias("_x"), *[F.sum(k).alias(k) for k in more])
+    return whole.select(*keys, F.slice(F.flatten("_x.x"), F.lit(1), F.col("_n")).alias(out), *more)
+
+
 def edge_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each edge with its key and value k = v = x(src), and the query q = x(dst)."""
     s, d = nodes.select(F.col("id").alias("src"), F.col("x").alias("k")), nodes.select(F.col("id").alias("dst"), F.col("x").alias("q"))
@@ -32,10 +52,22 @@ def weights(edges: DataFrame, nodes: DataFrame, width: int, variant: str = "base
 
 def softmax(weighted: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(id, z, out): sum of weights and weighted mean of values; exactly 0 for a node without in-edges."""
-    sums = weighted.groupBy("dst").agg(F.sum("w").alias("z"), *[F.sum(F.col("w") * F.get("k", F.lit(i))).alias(f"c{i}") for i in range(width)])
+    sums = vector_sum(weighted, ["dst"], F.transform("k", lambda v: v * F.col("w")), "s", {"z": F.col("w")})
     full = nodes.select("id").join(sums.withColumnRenamed("dst", "id"), "id", "left")
     z = F.coalesce("z", F.lit(0.0))
-    return full.select("id", z.alias("z"), F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) / (z + 1e-6) for i in range(width)]).alias("out"))
+    return full.select("id", z.alias("z"), F.transform(F.coalesce("s", F.array_repeat(F.lit(0.0), width)), lambda v: v / (z + 1e-6)).alias("out"))
+
+
+def head_mass(weighted: DataFrame) -> DataFrame:
+    """(head, mass): mean share of a head's edges in the weights into their destination, over destinations; weighted has (head, dst, w).
+
+    Where every edge serves every head all heads have the same mass; heads with edges of their own differ. Destinations without edges don't count.
+    """
+    per = weighted.groupBy("dst", "head").agg(F.sum("w").alias("m"))
+    whole = per.groupBy("dst").agg(F.sum("m").alias("t"))
+    n = whole.agg(F.count(F.lit(1)).alias("n"))
+    shares = per.join(whole, "dst").groupBy("head").agg(F.sum(F.col("m") / F.col("t")).alias("s"))
+    return shares.crossJoin(F.broadcast(n)).select("head", (F.col("s") / F.col("n")).alias("mass"))  # one row
 
 
 def normalised_weights(weighted: DataFrame) -> DataFrame:
@@ -54,8 +86,8 @@ def dense(nodes: DataFrame, batch: Column, width: int, multiply: bool = True) ->
     s = pairs.withColumn("s", dot("q", "k") * root if multiply else dot("q", "k") / root)
     top = s.groupBy("id").agg(F.max("s").alias("m"))
     w = s.join(top, "id").withColumn("w", F.exp(F.col("s") - F.col("m")))
-    sums = w.groupBy("id").agg(F.sum("w").alias("z"), *[F.sum(F.col("w") * F.get("k", F.lit(i))).alias(f"c{i}") for i in range(width)])
-    return sums.select("id", F.array(*[F.col(f"c{i}") / F.col("z") for i in range(width)]).alias("out"))
+    sums = vector_sum(w, ["id"], F.transform("k", lambda v: v * F.col("w")), "s", {"z": F.col("w")})
+    return sums.select("id", F.transform("s", lambda v: v / F.col("z")).alias("out"))
 
 
 def favor(nodes: DataFrame, features: list[list[float]], width: int) -> DataFrame:
@@ -144,10 +176,10 @@ def multi_head(edges: DataFrame, nodes: DataFrame, heads: int, wq: list[list[flo
     e = edges if "head" in edges.columns else edges.select("src", "dst", F.explode(every).alias("head"))
     joined = e.join(p.select(F.col("id").alias("src"), "head", "k", "v"), ["src", "head"]).join(p.select(F.col("id").alias("dst"), "head", "q"), ["dst", "head"])
     w = joined.withColumn("w", F.exp(_clamped(dot("k", "q") / root)))
-    sums = w.groupBy(F.col("dst").alias("id"), "head").agg(F.sum("w").alias("z"), *[F.sum(F.col("w") * F.get("v", F.lit(i))).alias(f"c{i}") for i in range(dim)])
+    sums = vector_sum(w.withColumn("id", F.col("dst")), ["id", "head"], F.transform("v", lambda v: v * F.col("w")), "s", {"z": F.col("w")})
     full = p.select("id", "head").join(sums, ["id", "head"], "left")
     z = F.coalesce("z", F.lit(0.0)) + 1e-6
-    return full.select("id", "head", F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) / z for i in range(dim)]).alias("out"))
+    return full.select("id", "head", F.transform(F.coalesce("s", F.array_repeat(F.lit(0.0), dim)), lambda v: v / z).alias("out"))
 
 
 def batch_norm(nodes: DataFrame, width: int, eps: float = 1e-5) -> DataFrame:

@@ -141,7 +141,7 @@ def batch_tables(edges: DataFrame, nodes: DataFrame, size: int, width: int, seed
 
 
 def weighted_sample(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Without replacement, k edges (src, dst, w) of each dst with chances by weight: least -ln(u) / w, u by the edge's key."""
+    """Without replacement, k edges (src, dst, w) of each dst with chances by weight: least -ln(u) / w, to nine digits, u by the edge's key."""
     u = (edge_key(F.col("src"), F.col("dst"), seed) + 1) / (MODULUS + 1.0)
-    order = W.partitionBy("dst").orderBy(-F.ln(u) / F.col("w"), "src")
+    order = W.partitionBy("dst").orderBy(F.round(-F.ln(u) / F.col("w"), 9), "src")
     return rows.where("w > 0").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plexus.functions.keys import edge_key, walk_key
 from plexus.functions.ranks import placed_in
 from plexus.operators.edges import typed, union_distinct
-from plexus.session import cut
+from plexus.session import cut, exists, scratch, shared_dir
 
 #: Seeds of the two families are moved by these.
 REAL_SEED, WALK_SEED = 17, 37
@@ -38,19 +38,55 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return placed.join(deg, "src")
 
 
+#: Neighbours that one row of a walk graph has, at most; hubs have several rows.
+NEAR = 1024
+#: Edges that a bucket of a walk graph has, about, and buckets at least and at most.
+BUCKET_EDGES, FEWEST, MOST = 4_000_000, 8, 20_000
+
+
+def walk_graph(edges: DataFrame) -> DataFrame:
+    """(node, block, deg, near): out-neighbours in order of their ids, NEAR a row, stored in buckets by node.
+
+    The table is named after the edges, by their number and two sums of hashes over all of them, and lies in the shared folder:
+    whoever asks for the walk graph of the same edges again, in this session or another one, reads what is there.
+    """
+    spark = edges.sparkSession
+    total = lambda *salt: F.sum(F.xxhash64(*salt, "src", "dst").cast("decimal(38,0)"))
+    n, a, b = edges.agg(F.count(F.lit(1)), total(), total(F.lit(1))).first()
+    name = f"walk_graph_{n}_{int(a or 0) % 2**64:016x}{int(b or 0) % 2**64:016x}"
+    path, buckets = f"{shared_dir(spark)}/{name}", min(MOST, max(FEWEST, -(-n // BUCKET_EDGES)))
+    stored = exists(spark, f"{path}/_SUCCESS")
+    if not (stored and spark.catalog.tableExists(name)):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if stored:
+            spark.sql(f"CREATE TABLE {name} (node BIGINT, block BIGINT, deg BIGINT, near ARRAY<BIGINT>) USING parquet CLUSTERED BY (node) SORTED BY (node, block) INTO {buckets} BUCKETS LOCATION '{path}'")
+        else:
+            with scratch(spark):
+                placed = adjacency(edges).select(F.col("src").alias("node"), F.expr(f"pos div {NEAR}").alias("block"), "pos", "dst", "deg")
+                rows = placed.groupBy("node", "block").agg(F.max("deg").alias("deg"), F.array_sort(F.collect_list(F.struct("pos", "dst"))).getField("dst").alias("near"))
+                rows.write.bucketBy(buckets, "node").sortBy("node", "block").option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
 def paths(edges: DataFrame, starts: DataFrame, per_start: int, length: int, seed: int = 0) -> DataFrame:
     """(start, walk, path) with the nodes of steps 0 .. length; a sink repeats itself.
 
-    One equi join a step; lineage is cut every four steps.
+    One equi join a step, with one row a node of the stored :func:`walk_graph`, and one more for walks that go beyond a hub's first
+    row; lineage is cut every four steps.
     """
-    adj = cut(adjacency(edges), "adjacency")
-    deg = adj.where("pos = 0").select(F.col("src").alias("node"), "deg")
+    graph = walk_graph(edges)
+    first = graph.where("block = 0").select("node", "deg", "near")
+    others = graph.where("block > 0").select("node", F.col("block").alias("_block"), F.col("near").alias("_more"))
+    hubs = not others.isEmpty()
     now = starts.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_start - 1).cast("bigint"))).alias("walk")).withColumn("node", F.col("start"))
     path = now.withColumn("path", F.array("start"))
     for step in range(1, length + 1):
-        drawn = path.join(deg, "node", "left").withColumn("_p", walk_key(F.col("start"), F.col("walk"), step, seed) % F.col("deg")).drop("deg")
-        nxt = adj.select(F.col("src").alias("node"), F.col("pos").alias("_p"), "dst")
-        path = drawn.join(nxt, ["node", "_p"], "left").withColumn("node", F.coalesce("dst", "node")).drop("dst", "_p")
+        drawn = path.join(first, "node", "left").withColumn("_p", walk_key(F.col("start"), F.col("walk"), step, seed) % F.col("deg"))
+        drawn = drawn.withColumn("_next", F.when(F.col("_p") < NEAR, F.get("near", F.col("_p").cast("int")))).drop("near", "deg")
+        if hubs:
+            drawn = drawn.withColumn("_block", F.expr(f"_p div {NEAR}")).join(others, ["node", "_block"], "left")
+            drawn = drawn.withColumn("_next", F.coalesce("_next", F.get("_more", (F.col("_p") % NEAR).cast("int")))).drop("_more", "_block")
+        path = drawn.withColumn("node", F.coalesce("_next", "node")).drop("_next", "_p")
         path = path.withColumn("path", F.concat("path", F.array("node")))
         if step % 4 == 0 and step < length:
             path = cut(path, "walks")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.ranks import running
+from plexus.operators.attend import vector_sum
 from plexus.operators.edges import bidirect
 from plexus.session import cut, drop, settled
 
@@ -65,8 +66,7 @@ def propagate(weighted: DataFrame, features: DataFrame, hops: int, width: int) -
     out = [now.withColumn("hop", F.lit(0).cast("bigint"))]
     for hop in range(1, hops + 1):
         msgs = weighted.join(now.withColumnRenamed("id", "src"), "src")
-        sums = msgs.groupBy("dst").agg(*[F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"c{i}") for i in range(width)])
-        now = cut(sums.select(F.col("dst").alias("id"), F.array(*[f"c{i}" for i in range(width)]).alias("x")), "propagate")
+        now = cut(vector_sum(msgs, ["dst"], F.transform("x", lambda v: v * F.col("w")), "x").withColumnRenamed("dst", "id"), "propagate")
         out.append(now.withColumn("hop", F.lit(hop).cast("bigint")))
     return reduce(DataFrame.unionByName, out)
 

@@ -108,21 +108,6 @@ def parse_plan(spec: Column, layers: int) -> Column:
     return F.when(policy.isin(*POLICIES) & (n <= layers), F.struct(policy.alias("policy"), F.split_part(tier, F.lit("="), F.lit(1)).alias("tier"), n.alias("n")))
 
 
-def plan_choice(spark: SparkSession, layers: int, cap: float, resident: float = 1.0, kept: float = 3.0, moved: float = 1.6, model: float = 10.0) -> DataFrame:
-    """Cheapest split of layers over three tiers (recompute, keep, move) under a peak of ``cap``.
-
-    Peak has 5 % for fragmentation; time is t_model + serial + max(0, overlap - t_model).
-    """
-    r = spark.range(0, layers + 1)
-    plans = r.select(F.col("id").alias("a")).crossJoin(r.select(F.col("id").alias("b"))).where(f"a + b <= {layers}").withColumn("c", F.lit(layers) - F.col("a") - F.col("b"))
-    peak = (F.col("a") * resident + F.col("b") * kept + F.col("c") * moved) * 1.05
-    serial, overlap = F.col("a") * 0.8, F.col("c") * 2.0
-    t = F.lit(model) + serial + F.greatest(F.lit(0.0), overlap - model)
-    fit = plans.withColumns({"peak": peak, "t": t}).where(F.col("peak") <= cap)
-    best = fit.agg(F.min(F.struct("t", "peak", "a", "b", "c")).alias("p"))
-    return best.select("p.*")
-
-
 def working_set(e: Column, n: Column, w: Column, length: Column) -> Column:
     """Bytes of a walk build: edges, row pointers, walk tensor and masks."""
     return 48 * e + 8 * n + 8 * (n + 1) + 8 * n * w * (length + 1) + 33 * n * w + 16 * n * w * length

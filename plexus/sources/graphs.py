@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import node_key
-from plexus.session import ship, table
+from plexus.session import exists, table
+from plexus.sources.arrays import read_array
 
 PARTS = {"tr": "train", "va": "valid", "te": "test", "train": "train", "val": "valid", "valid": "valid", "test": "test"}
 
@@ -48,9 +45,13 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("id", part_of(F.col("id")).alias("part"))
 
 
+#: Identifiers that one JSON object of a written split has, at most.
+ROLE_IDS = 100_000
+
+
 def read_role_json(spark: SparkSession, path: str) -> DataFrame:
-    """(part, id) of a JSON object of lists; short and long part names are accepted."""
-    raw = spark.read.json(path, multiLine=True)
+    """(part, id) of JSON objects of lists: one in a file, or a folder of lines; short and long part names are accepted."""
+    raw = spark.read.json(path, multiLine=not exists(spark, f"{path}/_SUCCESS"))
     known = [c for c in raw.columns if c in PARTS]
     if not known:
         raise ValueError("no split part in the file")
@@ -62,44 +63,14 @@ def read_role_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_role_json(splits_df: DataFrame, path: str) -> None:
-    short = {"train": "tr", "valid": "va", "test": "te"}
-    one = splits_df.agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == k, F.col("id")))).alias(v) for k, v in short.items()])
-    one.coalesce(1).write.mode("overwrite").json(path)
+    """A folder of JSON lines, each an object with some identifiers of one part: no row has a whole part."""
+    names = F.create_map(*[F.lit(x) for kv in (("train", "tr"), ("valid", "va"), ("test", "te")) for x in kv])
+    n = splits_df.count()
+    dealt = splits_df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // ROLE_IDS)))))
+    lists = dealt.groupBy(names[F.col("part")].alias("k"), "_b").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    lists.select(*[F.when(F.col("k") == k, F.col("ids")).alias(k) for k in ("tr", "va", "te")]).write.mode("overwrite").json(path)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, values) of ``.npy`` files with one or two dimensions, each file read on its own."""
-    ship(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                a = a.reshape(len(a), -1).astype(float)
-                yield pd.DataFrame({"file": name, "row": range(len(a)), "values": list(a)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row bigint, values array<double>")
-
-
-def read_csr_npz(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of a compressed sparse row matrix in an ``.npz`` file (indptr, indices, data); zeros are no edges."""
-    ship(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            for content in batch["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    src = np.repeat(np.arange(len(z["indptr"]) - 1), np.diff(z["indptr"]))
-                    keep = z["data"] != 0 if "data" in z else np.ones(len(src), bool)
-                    yield pd.DataFrame({"src": src[keep].astype("int64"), "dst": z["indices"][keep].astype("int64")})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "src bigint, dst bigint").distinct()
-
-
-def mask_to_index(masks: DataFrame, split_id: int = 0) -> DataFrame:
-    """(id) of rows (id, mask array<boolean>) whose mask is set at ``split_id``."""
-    return masks.where(F.get("mask", F.lit(split_id))).select("id")
+    """(row, values) of a ``.npy`` file with one or two dimensions, split by ranges of rows."""
+    return read_array(spark, path, "npy").select("row", "values")

@@ -1,0 +1,78 @@
+"""Vector sums of any width, attention in two phases, head masses, stored walk graphs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plexus.operators import attend, phases, sample
+from plexus.operators.metrics import learning_rate
+
+
+def test_vector_sums_of_any_width(spark):
+    rng = np.random.default_rng(1)
+    for width in (1, 33, 768):
+        x = rng.normal(size=(40, width))
+        rows = spark.createDataFrame([(i % 3, 1.5, x[i].tolist()) for i in range(40)], "k bigint, w double, x array<double>")
+        got = {r["k"]: (r["s"], r["n"]) for r in attend.vector_sum(rows, ["k"], "x", "s", {"n": F.col("w")}).collect()}
+        for k in range(3):
+            assert np.allclose(got[k][0], x[k::3].sum(0)) and got[k][1] == pytest.approx(1.5 * len(x[k::3]))
+    assert attend.vector_sum(rows.where("k > 9"), ["k"], "x", "s").count() == 0
+
+
+def test_second_phase_needs_no_shuffle(spark):
+    rng = np.random.default_rng(2)
+    nodes = spark.createDataFrame([(i, rng.normal(size=40).tolist()) for i in range(30)], "id bigint, x array<double>")
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 29, (90, 2))})
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    name = phases.score_phase(edges, nodes, 40)
+    again = [phases.aggregate_phase(spark, name) for _ in range(2)]
+    assert "Exchange" not in again[0]._jdf.queryExecution().executedPlan().toString()
+    want = {r["id"]: r for r in attend.softmax(attend.weights(edges, nodes, 40), nodes, 40).collect()}
+    for got in (*again, phases.two_phase(edges, nodes, 40)):
+        for r in got.collect():
+            assert r["z"] == pytest.approx(want[r["id"]]["z"]) and r["out"] == pytest.approx(want[r["id"]]["out"], abs=1e-9)
+    assert got.count() == 30
+    phases.forget(spark, name)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_head_masses(spark):
+    rows = [(0, 1, 3.0), (0, 1, 1.0), (1, 1, 4.0), (1, 2, 5.0)]
+    w = spark.createDataFrame(rows, "head bigint, dst bigint, w double")
+    assert dict(map(tuple, attend.head_mass(w).collect())) == {0: 0.25, 1: 0.75}
+    assert attend.head_mass(w.where("w > 9")).count() == 0
+
+
+def test_a_stored_walk_graph_serves_the_next_query(spark, monkeypatch):
+    monkeypatch.setattr(sample, "NEAR", 3)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 12)] + [(i, 0) for i in range(1, 9)] + [(9, 9)], "src bigint, dst bigint")
+    want = {}
+    for start in range(12):
+        for walk in range(5):
+            node = start
+            for step in (1, 2, 3):
+                near = sorted(range(1, 12)) if node == 0 else [0] if node < 9 else [9] if node == 9 else []
+                if near:
+                    node = near[(start * 1103515245 + walk * 214013 + step * 69069 + 12345) % 2147483648 % len(near)]
+            want[start, walk] = node
+    run = lambda e: {(r["start"], r["walk"]): r["path"][-1] for r in sample.paths(e, spark.range(12), 5, 3).collect()}
+    graph = sample.walk_graph(edges)
+    assert run(edges) == want
+    assert {r["node"]: r["n"] for r in graph.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}[0] == 4
+    # Nothing is built for the same edges in another order, not even where the catalog has lost the table.
+    monkeypatch.setattr(sample, "adjacency", lambda e: 1 / 0)
+    assert run(edges.orderBy(F.desc("dst"))) == want
+    spark.sql(f"DROP TABLE {[t.name for t in spark.catalog.listTables() if t.name.startswith('walk_graph_20_')][0]}")
+    assert run(edges) == want
+    with pytest.raises(ZeroDivisionError):
+        sample.walk_graph(edges.where("src < 9"))
+
+
+def test_learning_rates(spark):
+    s = F.col("id")
+    got = spark.range(0, 120, 5).select(s, learning_rate(s, 0.001, 10, 100).alias("cosine"), learning_rate(s, 0.001, 10, 100, 0.0001, 1.0).alias("linear")).collect()
+    for r in got:
+        t = r["id"]
+        late = min(max(t - 10, 0), 90) / 90
+        assert r["cosine"] == pytest.approx(t * 1e-4 if t < 10 else 0.0005 * (1 + np.cos(np.pi * late)), abs=1e-12)
+        assert r["linear"] == pytest.approx(t * 1e-4 if t < 10 else 0.0001 + 0.0009 * (1 - late), abs=1e-12)
