@@ -18,9 +18,12 @@ from plexus.operators import spread as P
 from plexus.plans import budget as B
 from plexus import strong
 from plexus.components import components
+from plexus.operators import blocks
 from plexus.operators import partition as T
+from plexus.operators.forward import forward
 from plexus.operators.phases import two_phase
 from plexus.sources import graphs as G
+from plexus.sources import splits
 from plexus.session import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,6 +399,38 @@ def _(spark, sf):
     return H.weighted_sample(w, 5, 9).select("src", "dst")
 
 
+_POWERS = _NORM + ", r AS (SELECT vec_id AS id, row_number() OVER (ORDER BY " + _hn("vec_id", 5) + ", vec_id) - 1 AS place FROM embeddings), g AS (SELECT id, place // 64 AS seq, place % 64 AS pos FROM r), p1 AS MATERIALIZED (SELECT src, dst, w FROM w), " + ", ".join(f"p{m} AS MATERIALIZED (SELECT p{m - 1}.src, w.dst, sum(p{m - 1}.w * w.w) AS w FROM p{m - 1} JOIN w ON w.src = p{m - 1}.dst GROUP BY ALL)" for m in (2, 3)) + ", al AS (SELECT 1 AS m, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3)"
+
+
+@query("group_powers", _POWERS + " SELECT a.seq AS seq_id, a.pos AS row, b.pos AS col, m, round(w, 9) + 0.0 AS value FROM al JOIN g a ON a.id = al.src JOIN g b ON b.id = al.dst AND a.seq = b.seq WHERE round(w, 9) <> 0")
+def _(spark, sf):
+    nodes, path = G.nodes(spark, sf), new_path(spark, "batches")
+    splits.write_batches(splits.random_groups(nodes.select("id"), 64, 5), path, "s64")
+    got = blocks.grouped_powers(P.sym_norm(G.item_edges(spark, sf), nodes), spark.read.parquet(f"{path}/data_s64.parquet"), 3)
+    each = got.select("seq_id", "row", "col", F.posexplode("bias").alias("m", "value"))
+    return each.select("seq_id", "row", "col", (F.col("m") + 1).alias("m"), (F.round("value", 9) + 0.0).alias("value")).where("value <> 0")
+
+
+def _weights(spark, sf, hidden: int = 16, classes: int = 10) -> DataFrame:
+    """Weights of a small model, read off the embeddings: a stretch of cells for each layer, the same at every size of the table."""
+    shapes = {"in": (hidden, WIDTH), "out": (classes, hidden)}
+    for i in range(2):
+        shapes |= {f"{i}.{p}": (hidden, hidden) for p in "qkvo"} | {f"{i}.up": (2 * hidden, hidden), f"{i}.down": (hidden, 2 * hidden)}
+    cells = G.nodes(spark, sf).select("id", F.posexplode("x").alias("p", "v")).select((F.col("id") * WIDTH + F.col("p")).alias("at"), "v")
+    out, start = None, 0
+    for name, (r, c) in shapes.items():
+        own = cells.where(F.col("at").between(start, start + r * c - 1)).withColumn("k", F.col("at") - start)
+        own = own.select(F.lit(name).alias("layer"), F.expr(f"k div {c}").alias("row"), (F.col("k") % c).alias("col"), (F.col("v") / float(c) ** 0.5).alias("value"))
+        out, start = own if out is None else out.unionByName(own), start + r * c
+    return out
+
+
+@query("forward_pass")
+def _(spark, sf):
+    got = forward(G.nodes(spark, sf).select("id", "x"), _merged(spark, sf), _weights(spark, sf), 2, 4)
+    return got.select("id", argmax0("logp").alias("pred"), F.transform("logp", lambda v: F.round(v, 6)).alias("logp"))
+
+
 # --- attention
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from plexus.functions.keys import argmax0
+from plexus.functions.keys import argmax0, node_key
+from plexus.functions.ranks import running
 from plexus.session import exists
 from plexus.sources.graphs import PARTS, read_npy, read_role_json
 
@@ -102,6 +103,13 @@ def write_stats(stats: DataFrame, folder: str, model: str, dataset: str, tag: st
         stats.write.mode("overwrite").json(f"{folder}/{model}/{dataset}/{tag}/{name}.json")
 
 
+def random_groups(ids: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(seq_id, pos, node_id): all nodes once, in hash order, in groups of ``size``, the last one shorter."""
+    keyed = ids.select("id", node_key(F.col("id"), seed).alias("key"))
+    at = running(keyed, ["key", "id"], {"at": 1})
+    return at.select(F.expr(f"at div {size}").alias("seq_id"), (F.col("at") % size).alias("pos"), F.col("id").alias("node_id"))
+
+
 def write_batches(batches: DataFrame, folder: str, name: str) -> None:
     """(seq_id, pos, node_id) of dense batches, each in one file's stretch of rows."""
     batches.select("seq_id", "pos", "node_id").repartition("seq_id").sortWithinPartitions("seq_id", "pos").write.mode("overwrite").parquet(f"{folder}/data_{name}.parquet")
