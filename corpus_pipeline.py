@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plexus.llm import bpe, dedup, mixing, near, toxicity
-from plexus.session import cut, table
+from plexus.session import drop, settled, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -19,7 +19,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Documents after all stages; of the tables made on the way only the result stays."""
+    docs, made = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, lambda s=stage, d=docs: s(spark, d, sf_dir), f"pipeline-{name}")
+        if made is not None:
+            drop(made)
+        made = docs
     return docs

@@ -8,6 +8,7 @@ control strings in texts so that reading back restores them, and notes the spans
 Defined results: null roles and texts are empty. Fields that no layout names have no influence. An empty
 list of messages is a conversation without turns. Records of no known layout, of fields of two layouts, or
 whose list holds no objects have null turns and keep their fingerprint; :func:`rejected` counts them.
+A conversation -1 of the table and the one that the query adds are two rows of that number.
 Turns that repeat a position are ordered by role and text. Further columns have no influence. A conversation is one output row, so it must fit one (2 GB); other rows are independent.
 """
 
