@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; ``component`` is its smallest reachable node.
 
     ``edges`` has two bigint columns, u and v. Self loops, nulls, repeated and reversed edges do no harm;
@@ -32,16 +32,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     loops = edges.where("u = v").select("u").distinct()
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         after = cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
         drop(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     alone = loops.select(F.col("u").alias("node")).withColumn("component", F.col("node"))
