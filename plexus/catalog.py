@@ -322,6 +322,12 @@ def _(spark, sf):
     return _spd(spark, sf)
 
 
+@query("spd_one_hot", _SPD + " SELECT dst, sum((bin = 0)::INT)::BIGINT AS h0, sum((bin = 1)::INT)::BIGINT AS h1, sum((bin = 2)::INT)::BIGINT AS h2, sum((bin = 3)::INT)::BIGINT AS h3 FROM spd GROUP BY dst")
+def _(spark, sf):
+    hot = P.one_hot_bins(_spd(spark, sf), 3)
+    return hot.groupBy("dst").agg(*[F.sum(F.get("hot", F.lit(b))).alias(f"h{b}") for b in range(4)])
+
+
 _NORM = f"WITH {_ITEM}, {_BOTH}, a AS (SELECT src, dst FROM both_ UNION ALL SELECT vec_id, vec_id FROM embeddings), deg AS (SELECT dst AS id, count(*)::DOUBLE AS d FROM a GROUP BY dst), w AS (SELECT a.src, a.dst, 1 / sqrt(p.d * q.d) AS w FROM a JOIN deg p ON p.id = a.src JOIN deg q ON q.id = a.dst)"
 
 

@@ -45,6 +45,12 @@ def spd_bins(edges: DataFrame, batch: DataFrame, most: int) -> DataFrame:
     return pairs.join(near, ["src", "dst"], "left").select("src", "dst", F.coalesce("d", F.lit(most)).cast("bigint").alias("bin"))
 
 
+def one_hot_bins(bins: DataFrame, most: int) -> DataFrame:
+    """(src, dst, hot): a 1 at the place of each pair's bin among 0 .. most; a null bin has none."""
+    hot = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda b: F.coalesce((b == F.col("bin")).cast("int"), F.lit(0)))
+    return bins.select("src", "dst", hot.alias("hot"))
+
+
 def sym_norm(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(src, dst, w): D^-1/2 (A + I) D^-1/2 of the undirected distinct graph; degrees count the loop."""
     loops = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"))

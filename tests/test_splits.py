@@ -61,3 +61,10 @@ def test_heads_with_edges_of_their_own(spark):
     eye = [[1.0, 0.0], [0.0, 1.0]]
     out = {(r["id"], r["head"]): r["out"][0] for r in attend.multi_head(e, n, 2, eye, eye, eye).collect()}
     assert out[1, 0] == pytest.approx(1, abs=1e-5) and out[1, 1] == out[0, 0] == out[0, 1] == 0
+
+
+def test_an_operator_of_one_edge_table_takes_lists(spark):
+    one, two = (spark.createDataFrame([p], "src bigint, dst bigint") for p in ((0, 1), (2, 3)))
+    flipped = batches.lift(lambda e: e.selectExpr("dst AS src", "src AS dst"), [one, two])
+    assert [got(e) for e in flipped] == [[(1, 0)], [(3, 2)]]
+    assert got(batches.lift(lambda e: e.where("src > 0"), one)) == []
