@@ -21,6 +21,7 @@ gives an empty result. A run of one part, a text without spaces, is held in memo
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -118,8 +119,6 @@ class Aligner:
 
     def _ranked(self, a_file: str):
         """A faster library for A's vocabulary, where ids stand in the order of merges and words are split by the usual pattern; else None."""
-        import json
-
         with open(a_file, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]

@@ -31,9 +31,10 @@ from pyspark.sql import Window as W
 from plexus.llm.toxicity import fold
 from plexus.session import ship, table
 
-#: Labelled rows of each language that are learned from, whole, at most; the only bound of the fit.
+#: Labelled rows of each language that are learned from, whole, at most.
 FIT_ROWS, SALTS = 120, 24
 SLOTS = 1 << 16
+#: Words of the lexicon, the most frequent ones of each language's learned rows; all other words are known by their letters.
 LEXICON = 400
 #: Runs up to LONGEST letters are words; longer ones are read in pieces of PIECE that overlap by LAP.
 LONGEST, PIECE, LAP = 24, 18, 4
