@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 
 from plexus import strong
 from plexus.operators import partition, spread
