@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -43,38 +44,49 @@ TOXIC_BYTES, SEGMENT, MATCHED = 24_576, 200, 8
 #: Letters of a beginning, the mark of the start among them; how many times as often as due, and by how many deviations, toxic rows must have it.
 HEADS, TIMES, SURE = (4, 5, 6, 7, 8), 3.0, 4.5
 #: Marks of places in a run. Letters are lowered, so no other group looks like a marked one.
-PLACES = b"ABCDEFGH"
+PLACES = [b"A", b"B", b"C", b"D", b"E", b"F", b"G", b"H"]
 #: Of the rows of a class, one in so many calibrates; the others train.
 LOOK_EVERY = 3
 #: Runs of up to LONGEST letters are one window; longer ones are pieces of PIECE, one every STEP letters.
 LONGEST, PIECE, STEP = 24, 14, 4
 #: Windows whose odds a worker remembers before it starts anew. They are short, so this bounds bytes; results don't depend on it.
-MEMO = 300_000
+MEMO = 600_000
 #: Log odds above which windows are counted.
 LEVELS = np.array([0.5, 1.0, 2.0, 4.0])
 #: Sizes of windows in bytes are told apart below this; a window of LONGEST letters and its marks has four bytes a letter at most.
 SIZES = 4 * LONGEST + 4
 EDGES = np.arange(-3, 16.01, 0.25)
-WORD = re.compile(r"[^\W\d_]+")
+WORD, GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
+#: Letters of a text whose runs are held at a time.
+CHUNK = 1_000_000
+GRAMS = [slice(i, i + GRAM) for i in range(4 * LONGEST + 4)]
 
 
 def windows(text: str | None) -> Iterator[str]:
-    """All windows of a whole text, one after another."""
-    for found in WORD.finditer((text or "").lower()):
-        run = f"^{found[0]}$"
-        if len(run) <= LONGEST + 2:
-            yield run
-        else:
-            for at in range(0, len(run) - PIECE, STEP):
-                yield run[at : at + PIECE]
+    """All windows of a whole text, one after another; runs are looked for in some CHUNK letters at a time."""
+    lowered, at = (text or "").lower(), 0
+    while at < len(lowered):
+        gap = GAP.search(lowered, at + CHUNK) if len(lowered) - at > CHUNK else None
+        end = gap.start() if gap else len(lowered)
+        for run in WORD.findall(lowered, at, end):
+            if len(run) <= LONGEST:
+                yield f"^{run}$"
+                continue
+            run = f"^{run}$"
+            for i in range(0, len(run) - PIECE, STEP):
+                yield run[i : i + PIECE]
             yield run[-PIECE:]
+        at = end
 
 
 def _bytes(window: str) -> bytes:
     w = window.encode("utf-8", "replace")
-    groups = [w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]
-    if w.startswith(b"^"):
-        groups += [PLACES[i : i + 1] + w[i + 1 : i + 1 + GRAM] for i in range(min(len(PLACES), max(1, len(w) - GRAM)))]
+    if len(w) <= GRAM:
+        groups = [w, PLACES[0] + w[1:]] if w.startswith(b"^") else [w]
+    else:
+        groups = list(map(w.__getitem__, GRAMS[: len(w) - GRAM + 1]))
+        if w.startswith(b"^"):
+            groups += map(add, PLACES, groups[1:])
     return b" ".join(groups) + b" "
 
 
@@ -223,9 +235,9 @@ def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict |
         own[s, g] = float(np.log(p / (1 - p)) - np.log(rate[1] / rate[0]))
     model["own"] = own
     odds = Odds(model)
-    usual = np.array([odds(w) for ws in look0 for w in ws])
+    usual = np.array([odds[w] for ws in look0 for w in ws])
     rates = (usual[:, None] > LEVELS).mean(0) if len(usual) else np.zeros(len(LEVELS))
-    x = np.array([_features(np.array([odds(w) for w in ws]), rates) for ws in (*look1, *look0)])
+    x = np.array([_features(np.array([odds[w] for w in ws]), rates) for ws in (*look1, *look0)])
     y = np.repeat([1.0, 0.0], [len(look1), len(look0)])
     w, centre, scale = _logistic(x, y)
     if toxic_share is not None:
@@ -233,24 +245,22 @@ def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> dict |
     return model | {"weights": (w, centre, scale), "rates": rates}
 
 
-class Odds:
-    """Calibrated log odds of windows."""
+class Odds(dict):
+    """Calibrated log odds of windows, remembered."""
 
     def __init__(self, model: dict):
+        super().__init__()
         self.gain = Gains(model["ordinary"], model["toxic"])
         self.mean, self.dev, self.odds, self.own = model["mean"], model["dev"], model["odds"], model["own"]
-        self.memo: dict[str, float] = {}
 
-    def __call__(self, window: str) -> float:
-        found = self.memo.get(window)
+    def __missing__(self, window: str) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        s, g = _size(window), self.gain(window)
+        found = self.own.get((s, g))
         if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            s, g = _size(window), self.gain(window)
-            found = self.own.get((s, g))
-            if found is None:
-                found = float(self.odds[np.digitize((g - self.mean[s]) / self.dev[s], EDGES)])
-            self.memo[window] = found
+            found = float(self.odds[np.digitize((g - self.mean[s]) / self.dev[s], EDGES)])
+        self[window] = found
         return found
 
 
@@ -263,7 +273,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.mean)))
         for i, t in enumerate(texts):
-            x[i] = _features(np.fromiter(map(self.odds, windows(t)), float), self.rates)
+            x[i] = _features(np.fromiter(map(self.odds.__getitem__, windows(t)), float), self.rates)
         z = ((x - self.mean) / self.scale * self.w[1:]).sum(1) + self.w[0]  # row by row, so that equal texts score alike in any batch
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
