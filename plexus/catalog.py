@@ -648,7 +648,7 @@ def _(spark, sf):
     e = table(spark, sf, "events")
     kind = F.when(F.col("event_id") % 2 == 0, "real_up").otherwise("rw_up")
     p = e.groupBy(F.expr("event_id div 10").alias("round"), kind.alias("kind")).agg((F.avg("value") + 1).alias("base"), F.max("value").alias("cand"))
-    return B.probe_choice(p).withColumn("gain", F.round("gain", 6))
+    return B.probe_choice(p, 6)
 
 
 @query("random_batches", f"SELECT vec_id AS id, (row_number() OVER (ORDER BY {_hn('vec_id', 5)}, vec_id) - 1) // 64 AS batch FROM embeddings")

@@ -65,9 +65,13 @@ def initial_grid(spark: SparkSession, ceiling: int, block: int = BLOCK) -> DataF
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(fit)], "place bigint, real bigint, rw bigint")
 
 
-def probe_choice(probes: DataFrame) -> DataFrame:
-    """(round, kind, gain): best paired loss gain of each round of (round, kind, base, cand)."""
+def probe_choice(probes: DataFrame, digits: int | None = None) -> DataFrame:
+    """(round, kind, gain): best paired loss gain of each round of (round, kind, base, cand).
+
+    With ``digits`` gains are rounded before they are compared, and those equal then tie. Ties go to the later kind.
+    """
     gain = (F.col("base") - F.col("cand")) / F.greatest(F.col("base"), F.lit(1e-6))
+    gain = gain if digits is None else F.round(gain, digits)
     return probes.withColumn("gain", gain).groupBy("round").agg(F.max_by(F.struct("kind", "gain"), F.struct("gain", "kind")).alias("b")).select("round", "b.kind", "b.gain")
 
 

@@ -213,3 +213,11 @@ def test_stream_is_compacted_and_a_repeated_batch_changes_nothing(spark, tmp_pat
         p.unlink(missing_ok=True)
     keep_topk(spark.readStream.schema("src bigint, dst bigint").parquet(src), out, str(tmp_path / "cp"), 3, 17, 2).awaitTermination()
     assert got(latest(spark.read.parquet(out))) == want
+
+
+def test_gains_that_round_alike_tie_and_the_later_kind_wins(spark):
+    from plexus.plans import budget
+
+    probes = spark.createDataFrame([(0, "real_up", 1.0, 0.5 - 2e-8), (0, "rw_up", 1.0, 0.5)], "round bigint, kind string, base double, cand double")
+    assert budget.probe_choice(probes, 6).first()["kind"] == "rw_up"
+    assert budget.probe_choice(probes).first()["kind"] == "real_up"
