@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,10 +124,14 @@ def hop_readout(hops: DataFrame, self_weight: float = 0.5, hop_weight: float = 1
     return pairs.select("id", mixed.alias("out"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row: what stands inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log_softmax(logits: Column | str) -> Column:
-    top = F.array_max(logits)
-    lse = top + F.ln(F.aggregate(F.transform(logits, lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v))
-    return F.transform(logits, lambda v: v - lse)
+    lse = lambda top: top + F.ln(F.aggregate(F.transform(logits, lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v))
+    return _once(F.array_max(logits), lambda top: _once(lse(top), lambda t: F.transform(logits, lambda v: v - t)))
 
 
 def linear(x: Column | str, weight: list[list[float]], bias: list[float] | None = None) -> Column:
@@ -136,8 +142,8 @@ def linear(x: Column | str, weight: list[list[float]], bias: list[float] | None
 def layer_norm(x: Column | str, eps: float = 1e-5) -> Column:
     n = F.size(x)
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    var = lambda m: F.aggregate(F.transform(x, lambda v: (v - m) * (v - m)), F.lit(0.0), lambda s, v: s + v) / n
+    return _once(mean, lambda m: _once(F.sqrt(var(m) + eps), lambda d: F.transform(x, lambda v: (v - m) / d)))
 
 
 def relu(x: Column | str) -> Column:

@@ -221,3 +221,20 @@ def test_gains_that_round_alike_tie_and_the_later_kind_wins(spark):
     probes = spark.createDataFrame([(0, "real_up", 1.0, 0.5 - 2e-8), (0, "rw_up", 1.0, 0.5)], "round bigint, kind string, base double, cand double")
     assert budget.probe_choice(probes, 6).first()["kind"] == "rw_up"
     assert budget.probe_choice(probes).first()["kind"] == "real_up"
+
+
+def test_a_wide_row_is_normalised_in_linear_time(spark):
+    import time
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plexus.operators import attend
+
+    rows = spark.range(20).select("id", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.sin(i + F.col("id"))).alias("x"))
+    began = time.time()
+    got = rows.select("id", "x", attend.layer_norm("x").alias("y"), attend.log_softmax("x").alias("z")).collect()
+    assert time.time() - began < 30
+    for r in got:
+        x = np.array(r["x"])
+        assert np.allclose(r["y"], (x - x.mean()) / np.sqrt(x.var() + 1e-5)) and np.allclose(r["z"], x - np.log(np.exp(x).sum()))
