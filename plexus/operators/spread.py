@@ -33,8 +33,11 @@ def spd_bins(edges: DataFrame, batch: DataFrame, most: int) -> DataFrame:
     """
     ids = batch.select("id", "batch").distinct()
     side = lambda x: ids.select(F.col("id").alias(x), F.col("batch").alias(f"{x}_batch"))
-    inside = bidirect(edges).where("src <> dst").join(side("src"), "src").join(side("dst"), "dst").where("src_batch = dst_batch")
-    inside = cut(inside.select(F.col("src").alias("mid"), F.col("dst").alias("to")), "spd")
+    # Few edges stay within a batch: the others go before repeats are taken out.
+    inside = edges.where("src <> dst").join(side("src"), "src").join(side("dst"), "dst").where("src_batch = dst_batch").select("src", "dst")
+    held = cut(inside, "inside")
+    inside = cut(bidirect(held).select(F.col("src").alias("mid"), F.col("dst").alias("to")), "spd")
+    drop(held)
     near = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("bigint").alias("d"))
     edge = near
     for d in range(1, most):

@@ -146,3 +146,16 @@ def test_push_holds_few_nodes_and_bounds_its_error(spark):
     for row in top:
         order = np.sort(np.delete(true[row["src"]], row["src"]))[::-1]
         assert true[row["src"], row["dst"]] >= order[row["rank"] - 1] - row["residual"] - 1e-9
+
+
+def test_memory_of_a_task_does_not_follow_the_number_of_edges(spark, monkeypatch):
+    from plexus.operators import edges as E
+
+    monkeypatch.setattr(E, "TASK_ROWS", 100)
+    pairs = [(i % 37, i * 7 % 41) for i in range(1000)] + [(5, 5), (5, 5)]
+    raw = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    once, both = E.distinct_pairs(raw), E.bidirect(raw)
+    # As many tasks as rows ask for, and no distinct over both directions.
+    assert once.rdd.getNumPartitions() == 11 and both.rdd.getNumPartitions() == 11
+    assert sorted(map(tuple, once.collect())) == sorted(set(pairs))
+    assert sorted(map(tuple, both.collect())) == sorted({p for a, b in pairs for p in ((a, b), (b, a))})
