@@ -159,3 +159,16 @@ def test_memory_of_a_task_does_not_follow_the_number_of_edges(spark, monkeypatch
     assert once.rdd.getNumPartitions() == 11 and both.rdd.getNumPartitions() == 11
     assert sorted(map(tuple, once.collect())) == sorted(set(pairs))
     assert sorted(map(tuple, both.collect())) == sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+
+
+def test_walks_of_two_edges_are_not_rows(spark, monkeypatch):
+    from plexus.operators import edges as E
+
+    monkeypatch.setattr(E, "SIDE", 16)
+    pairs = {(i * 5 % 61, i * 11 % 67) for i in range(400)} | {(70, 3), (100, 70)}
+    want = {(a, d) for a, b in pairs for c, d in pairs if b == c}
+    got = E.edge_power(spark.createDataFrame(sorted(pairs) * 2, "src bigint, dst bigint"), 2)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    third = {(a, d) for a, b in want for c, d in pairs if b == c}
+    assert sorted(map(tuple, E.edge_power(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), 3).collect())) == sorted(third)
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and "SortMergeJoin" not in got._jdf.queryExecution().toString()
