@@ -346,7 +346,7 @@ _PROP = _NORM + f", {_NODES}, h0 AS ({_long('x', 'id')} FROM nodes), h1 AS (SELE
 
 def _propagated(spark, sf):
     n = G.nodes(spark, sf)
-    return P.propagate(P.sym_norm(G.item_pairs(spark, sf), n), n, 2, WIDTH)
+    return P.propagate_smoothed(G.item_pairs(spark, sf), n, 2, WIDTH)
 
 
 @query("propagate_hops", _PROP + " SELECT id, 0::BIGINT AS hop, dim, round(v, 6) + 0.0 AS v FROM h0 UNION ALL SELECT id, 1, dim, round(v, 6) + 0.0 FROM h1 UNION ALL SELECT id, 2, dim, round(v, 6) + 0.0 FROM h2")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plexus.functions.ranks import running
 from plexus.operators.attend import vector_sum
 from plexus.operators.edges import bidirect
+from plexus.operators.strips import Strips, summed, undirected_strips
 from plexus.session import cut, drop, settled
 
 
@@ -80,6 +81,39 @@ def propagate(weighted: DataFrame, features: DataFrame, hops: int, width: int) -
     return reduce(DataFrame.unionByName, out)
 
 
+def scales(of: Strips, ids: DataFrame) -> DataFrame:
+    """(id, f): deg ** -1/2 of the undirected graph of ``of``, degrees with a loop at every node."""
+    met = summed(of, ids.select("id", F.array(F.lit(1.0)).alias("x")), 1)
+    return ids.select("id").distinct().join(met, "id", "left").select("id", (1 / F.sqrt(1 + F.coalesce(F.get("x", F.lit(0)), F.lit(0.0)))).alias("f"))
+
+
+def smoothed(of: Strips, now: DataFrame, width: int) -> DataFrame:
+    """(id, f, x) after one step: D^-1/2 (A + I) D^-1/2 times the vectors of (id, f, x), f from :func:`scales`.
+
+    A neighbour's vector is scaled before it is sent and the sum after it, so no edge has a weight of its own.
+    """
+    sent = now.select("id", F.transform("x", lambda v: v * F.col("f")).alias("x"))
+    sums = summed(of, sent, width).withColumnRenamed("x", "s")
+    own = F.transform("x", lambda v: v * F.col("f"))
+    both = F.when(F.col("s").isNull(), own).otherwise(F.zip_with(own, "s", lambda a, b: a + b))
+    return now.join(sums, "id", "left").select("id", "f", F.transform(both, lambda v: v * F.col("f")).alias("x"))
+
+
+def propagate_smoothed(edges: DataFrame, features: DataFrame, hops: int, width: int) -> DataFrame:
+    """(id, hop, x): :func:`propagate` along the weights of :func:`sym_norm`, which are never written for edges.
+
+    All ends of ``edges`` are nodes of ``features`` (id, x).
+    """
+    of = undirected_strips(edges, features)
+    now = cut(features.select("id", "x").join(scales(of, features), "id").select("id", "f", "x"), "propagate")
+    out = [now.select("id", "x", F.lit(0).cast("bigint").alias("hop"))]
+    for hop in range(1, hops + 1):
+        now = cut(smoothed(of, now, width), "propagate")
+        out.append(now.select("id", "x", F.lit(hop).cast("bigint").alias("hop")))
+    drop(of.rows)
+    return reduce(DataFrame.unionByName, out)
+
+
 def ppr_push(edges: DataFrame, sources: DataFrame, c: float = 0.15, epsilon: float = 1e-6) -> DataFrame:
     """(source, node, p, r): personalised PageRank by forward push, and the residual that is left at each node.
 
@@ -141,16 +175,15 @@ def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: floa
     k, b = max(0, min(k, n - 1)), max(0, min(k + 6, n - 1))
     if not k:
         return ids.select("id", F.array().cast("array<double>").alias("pe"))
-    w = cut(sym_norm(edges, ids), "pe-weights")
-    degree = w.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    of = undirected_strips(edges, ids)
+    degree = cut(scales(of, ids).select("id", "f", (1 / (F.col("f") * F.col("f"))).alias("deg")), "pe-degrees")
     total = degree.agg(F.sum("deg")).first()[0]
     # Columns of s: the trivial vector, the block, its residuals, its last steps; ms is the matrix times s.
-    start = degree.select("id", (F.sqrt("deg") / total**0.5).alias("t"), F.array(*[node_key(F.col("id"), j + 1) / 2147483648.0 - 0.5 for j in range(b)]).alias("r"))
+    start = degree.select("id", "f", (1 / F.col("f") / total**0.5).alias("t"), F.array(*[node_key(F.col("id"), j + 1) / 2147483648.0 - 0.5 for j in range(b)]).alias("r"))
 
     def times(now: DataFrame) -> DataFrame:
-        sums = w.join(now.select(F.col("id").alias("src"), "r"), "src").groupBy("dst").agg(*[F.sum(F.col("w") * F.get("r", F.lit(j))).alias(f"c{j}") for j in range(b)])
-        moved = sums.select(F.col("dst").alias("id"), F.array(*[f"c{j}" for j in range(b)]).alias("mr"))
-        return cut(now.join(moved, "id"), "pe-step")
+        moved = smoothed(of, now.select("id", "f", F.col("r").alias("x")), b)
+        return cut(now.join(moved.select("id", F.col("x").alias("mr")), "id"), "pe-step")
 
     def products(batches):
         got = 0
@@ -161,7 +194,7 @@ def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: floa
             yield pd.DataFrame({"g": [got.ravel().tolist()]})
 
     empty = F.array().cast("array<double>")
-    now, theta = start.select("id", "t", *[empty.alias(c) for c in ("x", "mx", "p", "mp")], "r"), None
+    now, theta = start.select("id", "f", "t", *[empty.alias(c) for c in ("x", "mx", "p", "mp")], "r"), None
     held = None
     for _ in range(most_rounds):
         now = times(now)
@@ -203,9 +236,9 @@ def _combined(now: DataFrame, c, step, theta) -> DataFrame:
             s, ms = (np.concatenate([d[["t"]].to_numpy(), *(np.stack(d[q].to_list()) for q in cs if len(d[q].iat[0]))], axis=1) for cs in (("x", "r", "p"), ("mx", "mr", "mp")))
             x, mx = s @ c, ms @ c
             new = {"x": x, "mx": mx, "p": s @ step, "mp": ms @ step, "r": mx - x * theta}
-            yield pd.DataFrame({"id": d["id"], "t": d["t"]} | {q: list(v) for q, v in new.items()})
+            yield pd.DataFrame({"id": d["id"], "f": d["f"], "t": d["t"]} | {q: list(v) for q, v in new.items()})
 
-    return now.mapInPandas(run, "id bigint, t double, x array<double>, mx array<double>, p array<double>, mp array<double>, r array<double>")
+    return now.mapInPandas(run, "id bigint, f double, t double, x array<double>, mx array<double>, p array<double>, mp array<double>, r array<double>")
 
 
 def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> DataFrame:
