@@ -469,8 +469,8 @@ def _(spark, sf):
 
 @query("head_mass", f"WITH {_ITEM}, {_NODES}, e AS (SELECT head, src, dst FROM item, range(4) t(head) WHERE src % 4 = head), sc AS (SELECT e.head, e.dst, exp(greatest(least({_KQ} / 8, 5), -5)) AS w FROM e JOIN nodes k ON k.id = e.src JOIN nodes q ON q.id = e.dst), t AS (SELECT dst, sum(w) AS t FROM sc GROUP BY dst), p AS (SELECT dst, head, sum(w) AS m FROM sc GROUP BY ALL) SELECT head, round(sum(m / t) / (SELECT count(*) FROM t), 9) AS mass FROM p JOIN t USING (dst) GROUP BY head")
 def _(spark, sf):
-    heads = H.grouped_heads(G.item_edges(spark, sf), 4, 4)
-    return A.head_mass(A.weights(heads, G.nodes(spark, sf), WIDTH)).withColumn("mass", F.round("mass", 9))
+    pairs = G.item_pairs(spark, sf)
+    return A.grouped_head_mass(E.distinct_pairs(pairs), pairs.count(), G.nodes(spark, sf), WIDTH, 4).where("mass > 0").withColumn("mass", F.round("mass", 9))
 
 
 @query("edge_softmax_list", _MERGED + f", {_NODES}, {_w('merged', f'greatest(least({_KQ}, 5), -5) / 8')} SELECT dst AS id, round(sum(w), 6) AS z FROM sc GROUP BY dst")

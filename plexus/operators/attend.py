@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import dot
+from plexus.operators.strips import head_sums, strips
 
 
 #: Dimensions that one row of a vector sum has; wider vectors are several rows, so generated code does not grow with the width.
@@ -72,6 +73,16 @@ def head_mass(weighted: DataFrame) -> DataFrame:
     return shares.crossJoin(F.broadcast(n)).select("head", (F.col("s") / F.col("n")).alias("mass"))  # one row
 
 
+def grouped_head_mass(edges: DataFrame, n_edges: int, nodes: DataFrame, width: int, heads: int) -> DataFrame:
+    """(head, mass): :func:`head_mass` of :func:`weights` where an edge (src, dst) serves head src mod ``heads``; both ends of every edge are nodes.
+
+    Scores are taken by strips, so no edge is a row with its vectors. A head without edges has mass 0, and there are no rows without any edges.
+    """
+    of = strips(edges, n_edges, nodes.count())
+    sums = head_sums(of, nodes, width, heads).groupBy("head").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("head", (F.col("s") / F.col("n")).alias("mass"))
+
+
 def normalised_weights(weighted: DataFrame) -> DataFrame:
     """(src, dst, p): each weight by its group's sum, before anything is dropped."""
     z = weighted.groupBy("dst").agg(F.sum("w").alias("z"))

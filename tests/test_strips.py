@@ -40,3 +40,14 @@ def test_propagation_writes_no_weight_of_an_edge(spark):
     rows = {(r["id"], r["hop"]): r["x"] for r in spread.propagate_smoothed(edges, nodes, 2, 3).collect()}
     want = [x, w @ x, w @ w @ x]
     assert len(rows) == 210 and all(rows[i, h] == pytest.approx(want[h][i]) for i, h in rows)
+
+
+def test_head_masses_by_strips(spark):
+    from plexus.operators import attend, batches
+
+    pairs, edges, rng = graph(spark)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(70, 3)))], "id bigint, x array<double>")
+    want = dict(map(tuple, attend.head_mass(attend.weights(batches.grouped_heads(edges.distinct(), 4, 4), nodes, 3)).collect()))
+    got = attend.grouped_head_mass(edges.distinct(), len(pairs), nodes, 3, 4)
+    assert dict(map(tuple, got.collect())) == pytest.approx(want) and len(want) == 4
+    assert attend.grouped_head_mass(edges.where("src < 0"), 0, nodes, 3, 4).count() == 0
