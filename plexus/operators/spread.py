@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plexus.functions.ranks import running
 from plexus.operators.attend import vector_sum
-from plexus.operators.edges import bidirect
+from plexus.operators.edges import TASK_ROWS, bidirect
 from plexus.operators.strips import Strips, summed, undirected_strips
 from plexus.session import cut, drop, settled
 
@@ -245,9 +245,12 @@ def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> Data
     """(id, part, new_id): parts by label propagation (most frequent neighbour label, then the smallest),
     new ids contiguous by part, numbered over ranges of the node table."""
     near = cut(bidirect(edges).where("src <> dst"), "parts-edges")
+    tasks = max(1, -(-near.count() // TASK_ROWS))
     label = ids.select("id", F.col("id").alias("part"))
     for _ in range(rounds):
-        votes = near.join(label.withColumnRenamed("id", "src"), "src").groupBy("dst", "part").agg(F.count(F.lit(1)).alias("n"))
+        # Votes are dealt by their destination before they are counted, so that a task counts TASK_ROWS or so however many there are.
+        cast = near.join(label.withColumnRenamed("id", "src"), "src").select("dst", "part").repartition(tasks, "dst")
+        votes = cast.groupBy("dst", "part").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("dst").agg(F.max(F.struct("n", (-F.col("part")).alias("minus"))).alias("b"))
         label = label.join(best.withColumnRenamed("dst", "id"), "id", "left").select("id", F.coalesce(-F.col("b.minus"), F.col("part")).alias("part"))
         label = cut(label, "parts")

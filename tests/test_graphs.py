@@ -172,3 +172,17 @@ def test_walks_of_two_edges_are_not_rows(spark, monkeypatch):
     third = {(a, d) for a, b in want for c, d in pairs if b == c}
     assert sorted(map(tuple, E.edge_power(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), 3).collect())) == sorted(third)
     assert "MapInArrow" in got._jdf.queryExecution().toString() and "SortMergeJoin" not in got._jdf.queryExecution().toString()
+
+
+def test_votes_of_labels_are_dealt_by_their_number(spark, monkeypatch):
+    plans, cut = [], spread.cut
+    monkeypatch.setattr(spread, "TASK_ROWS", 100)
+    monkeypatch.setattr(spread, "cut", lambda df, what: plans.append((what, df._jdf.queryExecution().toString())) or cut(df, what))
+    pairs = [(i % 37, i * 7 % 41) for i in range(400)]
+    near = {(a, b) for p in pairs for a, b in (p, p[::-1]) if a != b}
+    part = {i: i for i in range(41)}
+    for r in spread.partition_relabel(arcs(spark, pairs), spark.range(41), 1).collect():
+        votes = [part[a] for a, b in near if b == r["id"]]
+        assert r["part"] == min(votes, key=lambda v: (-votes.count(v), v))
+    dealt = [p for what, p in plans if what == "parts"]
+    assert dealt and all("hashpartitioning(dst#" in p and f", {-(-len(near) // 100)}), REPARTITION_BY_NUM" in p for p in dealt)
