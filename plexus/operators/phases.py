@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.operators.attend import vector_sum, weights
-from plexus.session import new_path
+from plexus.session import cut, drop, new_path
 
 #: Rows of scored edges that a bucket has, about, and buckets at least and at most.
 BUCKET_ROWS, FEWEST, MOST = 2_000_000, 8, 20_000
@@ -24,10 +24,11 @@ def score_phase(edges: DataFrame, nodes: DataFrame, width: int, variant: str = "
     Scores use keys and queries only. The number of buckets follows the number of edges.
     """
     spark = edges.sparkSession
-    name = name or f"scores_{uuid.uuid4().hex}"
+    name, edges = name or f"scores_{uuid.uuid4().hex}", cut(edges.select("src", "dst"), "scored")
     scored = weights(edges, nodes, width, variant).select("dst", "w", F.col("k").alias("v"))
     buckets = min(MOST, max(FEWEST, -(-edges.count() // BUCKET_ROWS)))
     scored.write.bucketBy(buckets, "dst").sortBy("dst").option("path", new_path(spark, name)).mode("overwrite").saveAsTable(name)
+    drop(edges)
     return name
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexus.functions.keys import edge_key, walk_key
-from plexus.functions.ranks import placed_in
+from plexus.functions.ranks import running
 from plexus.operators.edges import typed, union_distinct
 from plexus.session import cut, exists, scratch, shared_dir
 
@@ -32,10 +32,13 @@ def budgets(total: int, walks_per_node: int = 1) -> tuple[int, int]:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, pos, dst, deg): out-neighbours numbered by id; no task holds a hub's whole list."""
-    placed = placed_in(edges.select("src", "dst"), ["src"], ["dst"], "pos")
-    deg = placed.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    return placed.join(deg, "src")
+    """(src, pos, dst, deg): out-neighbours numbered by id; no task orders a hub's whole list.
+
+    A node's first place in the whole order and its degree are met in one join.
+    """
+    placed = running(edges.select("src", "dst"), ["src", "dst"], {"at": 1})
+    per = placed.groupBy("src").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("deg"))
+    return placed.join(per, "src").select("src", (F.col("at") - F.col("first")).alias("pos"), "dst", "deg")
 
 
 #: Neighbours that one row of a walk graph has, at most; hubs have several rows.
@@ -155,6 +158,7 @@ def fanout_pool(edges: DataFrame, queries: DataFrame, fanouts: tuple[int, ...],
 
 def families(edges: DataFrame, starts: DataFrame, real: int, rw: int, per_start: int, length: int, seed: int) -> tuple[DataFrame | None, DataFrame | None]:
     """The two selected families, None for one without budget."""
+    edges = cut(edges.select("src", "dst"), "budgeted") if rw > 0 else edges  # read by both and by the walk graph
     chosen = topk(edges, real, seed + REAL_SEED) if real > 0 else None
     pool = None
     if rw > 0:

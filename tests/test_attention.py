@@ -76,3 +76,15 @@ def test_learning_rates(spark):
         late = min(max(t - 10, 0), 90) / 90
         assert r["cosine"] == pytest.approx(t * 1e-4 if t < 10 else 0.0005 * (1 + np.cos(np.pi * late)), abs=1e-12)
         assert r["linear"] == pytest.approx(t * 1e-4 if t < 10 else 0.0001 + 0.0009 * (1 - late), abs=1e-12)
+
+
+def test_edges_of_both_families_are_made_once(spark):
+    edges = spark.createDataFrame([(i, j) for i in range(9) for j in range(9) if i != j and (i * j) % 5], "src bigint, dst bigint")
+    real, walks = sample.families(edges, spark.range(9), 2, 2, 2, 2, 0)
+    # What made the edges is in neither plan: both read the table that was written once.
+    assert all("ExistingRDD" not in d._jdf.queryExecution().toString() for d in (real, walks))
+    placed = sample.adjacency(edges)
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    for r in placed.collect():
+        near = sorted(j for i, j in map(tuple, edges.collect()) if i == r["src"])
+        assert (near[r["pos"]], len(near)) == (r["dst"], r["deg"])
