@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from plexus.functions.ranks import running
 from plexus.operators.attend import vector_sum
 from plexus.operators.edges import TASK_ROWS, bidirect
+from plexus.operators.slabs import Slab, Slabs, met, slabs
 from plexus.operators.strips import Strips, summed, undirected_strips
 from plexus.session import cut, drop, settled
 
@@ -147,14 +151,88 @@ def ppr_push(edges: DataFrame, sources: DataFrame, c: float = 0.15, epsilon: flo
 def ppr_topk(edges: DataFrame, sources: DataFrame, k: int, c: float = 0.15, epsilon: float = 1e-6) -> DataFrame:
     """(src, dst, rank, held, residual): the k nodes of largest personalised PageRank of each source, itself left out.
 
-    By :func:`ppr_push`: ``held`` is the number of nodes that the source reached with a rank or a residual,
-    ``residual`` what their ranks may fall short by together. Scores that are equal to nine digits tie by identifier.
+    The ranks of :func:`ppr_push`, but only nodes that have been pushed are kept: a residual is what they have sent to a node, and the
+    1 that a source begins with, less the node's rank over c, so it is summed anew each round where a band of nodes is at hand and never
+    written. ``held`` is the number of nodes that the source reached with a rank or a residual, ``residual`` what their ranks may fall short by
+    together. Scores that are equal to nine digits tie by identifier. Repeats in ``edges`` don't matter.
     """
-    state = ppr_push(edges, sources, c, epsilon)
-    per = state.groupBy("source").agg(F.count(F.lit(1)).alias("held"), F.sum("r").alias("residual"))
-    order = W.partitionBy("source").orderBy(F.round("p", 9).desc(), "node")
-    ranked = state.where((F.col("source") != F.col("node")) & (F.col("p") > 0)).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
-    return ranked.join(per, "source").select(F.col("source").alias("src"), F.col("node").alias("dst"), "rank", "held", "residual")
+    spark = edges.sparkSession
+
+    def run() -> DataFrame:
+        of, tops = slabs(edges), []
+        starts = sources.select(F.col("id").alias("source")).distinct().join(of.degrees.withColumnRenamed("node", "source"), "source")
+        state = cut(starts.where(F.col("deg") * epsilon <= 1).select("source", F.col("source").alias("node"), F.lit(c).alias("p")), "push")
+        order = W.partitionBy("source").orderBy(F.round("p", 9).desc(), "node")
+        while True:
+            found = cut(_residuals(of, state, k, c, epsilon), "residuals")
+            due = found.where("kind = 1")
+            going = due.select("source").distinct()
+            n = found.groupBy("source").agg(F.max((F.col("kind") == 1).cast("int")).alias("due")).agg(F.coalesce(F.sum("due"), F.lit(0)).alias("due"), F.count(F.lit(1)).alias("all")).first()
+            if n["due"] < n["all"] or not n["due"]:
+                per = found.where("kind = 0").join(going, "source", "left_anti").groupBy("source").agg((F.sum("held") + 1).alias("held"), F.sum("value").alias("residual"))
+                ranks = state.unionByName(found.where("kind = 2").select("source", "node", F.col("value").alias("p"))).join(going, "source", "left_anti")
+                best = ranks.where("source <> node").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+                tops.append(cut(best.join(per, "source").select(F.col("source").alias("src"), F.col("node").alias("dst"), "rank", "held", "residual"), "top"))
+            if not n["due"]:
+                return reduce(DataFrame.unionByName, tops)
+            pushed = due.select("source", "node", (F.col("value") * c).alias("p"))
+            after = cut(state.join(going, "source", "left_semi").unionByName(pushed).groupBy("source", "node").agg(F.sum("p").alias("p")), "push")
+            drop(state, found)
+            state = after
+
+    return settled(spark, run, "ppr-top")
+
+
+def _residuals(of: Slabs, state: DataFrame, k: int, c: float, epsilon: float) -> DataFrame:
+    """(source, kind, node, value, held) of ranks (source, node, p) of nodes with out-edges: kind 0, for each slab, the sum of residuals and the number of nodes
+    reached but for the source; kind 1 the residuals of nodes that are due; kind 2 the ranks, to nine digits, of the k best nodes without out-edges in a slab."""
+    dealt = state.select(F.col("source").alias("grp"), of.band("node").alias("band"), of.place("node").alias("place"), "p")
+    rows = dealt.groupBy("grp", "band").agg(F.collect_list(F.struct("place", "p")).alias("s")).select("grp", F.lit(0).cast("bigint").alias("member"), "band", F.col("s.place").alias("ends"), F.col("s.p").alias("mass"))
+    width = of.width
+
+    def fold(slab: Slab, by_source: Iterator) -> Iterator[pa.RecordBatch]:
+        degrees = {band: slab.inside(band) for band in slab.bands}
+        names = ["source", "kind", "node", "value", "held"]
+        out, n = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=names)
+
+        def add(source: int, kind: int, nodes: np.ndarray, values: np.ndarray, held: int = 0) -> int:
+            out.append((np.full(len(nodes), source), np.full(len(nodes), kind), nodes, values, np.full(len(nodes), held)))
+            return len(nodes)
+
+        for source, ((_, nodes, p),) in by_source:
+            at = slab.at(nodes)
+            sent, held, residual, ends = p * (1 - c) / (c * slab.degree[at]), 0, 0.0, []
+            for band, deg in degrees.items():
+                got, first = slab.sums(band, at, sent), band * width
+                own = (nodes >= first) & (nodes < first + width)
+                left = got.copy()
+                left[nodes[own] - first] -= p[own] / c
+                held += np.count_nonzero(got)
+                if first <= source < first + width:
+                    left[source - first] += 1
+                    held -= int(got[source - first] > 0)
+                # Rank less what was sent is 0 but for rounding where a node has just been pushed.
+                left = np.where(deg > 0, np.maximum(left, 0), 0)
+                residual += left.sum()
+                due = np.flatnonzero((left > 0) & (left >= deg * epsilon))
+                n += add(source, 1, first + due, left[due])
+                sinks = np.flatnonzero((got > 0) & (deg == 0))
+                ends.append((first + sinks, np.floor(c * got[sinks] * 1e9 + 0.5) / 1e9))
+            n += add(source, 0, np.array([source]), np.array([residual]), held)
+            if ends:
+                sinks, rank = (np.concatenate(v) for v in zip(*ends, strict=True))
+                best = np.lexsort((sinks, -rank))[:k]
+                n += add(source, 2, sinks[best], rank[best])
+            if n >= 1 << 16 or len(out) >= 1 << 14:
+                yield batch()
+                out, n = [], 0
+        if out:
+            yield batch()
+
+    return met(of, rows, fold, "source bigint, kind bigint, node bigint, value double, held bigint")
 
 
 def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: float = 1e-6, most_rounds: int = 300) -> DataFrame:
