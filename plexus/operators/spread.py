@@ -35,10 +35,11 @@ def spd_bins(edges: DataFrame, batch: DataFrame, most: int) -> DataFrame:
     batch, ``most`` beyond it or unreachable.
 
     All pairs of a batch are the result itself, so batches are bounded sets; any number of them is taken at once.
+    They are dealt to as many tasks as their number asks for.
     """
     ids = batch.select("id", "batch").distinct()
-    side = lambda x: ids.select(F.col("id").alias(x), F.col("batch").alias(f"{x}_batch"))
-    # Few edges stay within a batch: the others go before repeats are taken out.
+    # Few edges stay within a batch: the others go before repeats are taken out, and pass by the nodes of a task unsorted.
+    side = lambda x: ids.select(F.col("id").alias(x), F.col("batch").alias(f"{x}_batch")).hint("shuffle_hash")
     inside = edges.where("src <> dst").join(side("src"), "src").join(side("dst"), "dst").where("src_batch = dst_batch").select("src", "dst")
     held = cut(inside, "inside")
     inside = cut(bidirect(held).select(F.col("src").alias("mid"), F.col("dst").alias("to")), "spd")
@@ -49,7 +50,9 @@ def spd_bins(edges: DataFrame, batch: DataFrame, most: int) -> DataFrame:
         reached = edge.join(inside, edge["dst"] == inside["mid"]).select(edge["src"], F.col("to").alias("dst")).distinct()
         edge = cut(reached.join(near, ["src", "dst"], "left_anti").withColumn("d", F.lit(d).cast("bigint")), "spd")
         near = near.unionByName(edge)
+    n_pairs = ids.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
     pairs = ids.select("batch", F.col("id").alias("src")).join(ids.select("batch", F.col("id").alias("dst")), "batch")
+    pairs = pairs.repartition(max(1, -(-n_pairs // TASK_ROWS)), "src", "dst")
     return pairs.join(near, ["src", "dst"], "left").select("src", "dst", F.coalesce("d", F.lit(most)).cast("bigint").alias("bin"))
 
 

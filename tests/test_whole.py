@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plexus import catalog
 from plexus.operators import edges, spread
@@ -122,3 +123,29 @@ def test_random_features_give_the_attention_of_their_formula(spark):
     want = favor(x, fixed)
     got = {(r["id"], r["dim"]): r["v"] for r in catalog.QUERIES["favor_attention"](spark, SF).collect()}
     assert len(got) == x.size and all(got[r["id"], d] == pytest.approx(want[i, d], abs=2e-5) for i, r in enumerate(rows) for d in range(64))
+
+
+def test_pairs_of_batches_are_dealt_by_their_number_and_edges_pass_unsorted(spark, monkeypatch):
+    plans, write, bound = {}, spread.cut, "spark.sql.autoBroadcastJoinThreshold"
+
+    def seen(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, what)
+
+    monkeypatch.setattr(spread, "cut", seen)
+    monkeypatch.setattr(spread, "TASK_ROWS", 100)
+    pairs = [(i, (7 * i + j) % 90) for i in range(90) for j in range(1, 4)]
+    spark.conf.set(bound, "-1")
+    try:
+        bins = spread.spd_bins(spark.createDataFrame(pairs, "src bigint, dst bigint"), spark.range(90).selectExpr("id", "id div 30 AS batch"), 3)
+        rows = bins.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(bound)
+    step = np.zeros((90, 90), dtype=int)
+    for a, b in pairs:
+        if a != b and a // 30 == b // 30:
+            step[a, b] = step[b, a] = 1
+    want = np.where(np.eye(90), 0, np.where(step, 1, np.where(step @ step, 2, 3)))
+    assert {(r["src"], r["dst"]): r["bin"] for r in rows} == {(a, b): want[a, b] for a in range(90) for b in range(90) if a // 30 == b // 30}
+    assert max(Counter(r["task"] for r in rows).values()) < 250  # of 2,700 pairs
+    assert "SortMergeJoin" not in plans["inside"]
