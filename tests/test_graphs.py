@@ -186,3 +186,26 @@ def test_votes_of_labels_are_dealt_by_their_number(spark, monkeypatch):
         assert r["part"] == min(votes, key=lambda v: (-votes.count(v), v))
     dealt = [p for what, p in plans if what == "parts"]
     assert dealt and all("hashpartitioning(dst#" in p and f", {-(-len(near) // 100)}), REPARTITION_BY_NUM" in p for p in dealt)
+
+
+def test_matching_and_moves_sort_no_edges_and_agree_on_few_and_many_rows(spark, monkeypatch):
+    plans, write = {}, partition.cut
+
+    def seen(df, what):
+        plans.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    rng = random.Random(11)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(200)]
+    near, nodes = partition.undirected(arcs(spark, pairs)), spark.range(60).selectExpr("id", "1L AS w")
+    monkeypatch.setattr(partition, "cut", seen)
+    names = got(partition.matching(near, nodes, 4.0))
+    assert len(names) == 60 and "Sort" not in plans["asked"][0]  # neither for joins nor to aggregate
+    parts = spark.range(60).selectExpr("id", "id % 4 AS part")
+    few = got(partition.refined(near, nodes, parts, 4, 13, 17))
+    assert "rows" not in plans and sum("parts" == w for w in plans) == 1
+    monkeypatch.setattr(partition, "TASK_ROWS", 0)
+    monkeypatch.setattr(partition, "MANY", 0)
+    assert got(partition.refined(near, nodes, parts, 4, 13, 17)) == few and few != got(parts)
+    assert got(partition.matching(near, nodes, 4.0)) == names
+    assert "ShuffledHashJoin" in plans["pulls"][-1] and "SortMergeJoin" not in plans["pulls"][-1]
