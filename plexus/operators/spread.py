@@ -15,6 +15,7 @@ from plexus.functions.ranks import running
 from plexus.operators.attend import vector_sum
 from plexus.operators.edges import TASK_ROWS, bidirect
 from plexus.operators.slabs import Slab, Slabs, met, slabs
+from plexus.operators.standing import Standing, standing, with_sums
 from plexus.operators.strips import Strips, summed, undirected_strips
 from plexus.session import cut, drop, settled
 
@@ -238,89 +239,134 @@ def _residuals(of: Slabs, state: DataFrame, k: int, c: float, epsilon: float) ->
     return met(of, rows, fold, "source bigint, kind bigint, node bigint, value double, held bigint")
 
 
-def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: float = 1e-6, most_rounds: int = 300) -> DataFrame:
+def laplacian_encoding(edges: DataFrame, ids: DataFrame, k: int, tolerance: float = 1e-6, most_rounds: int = 3000) -> DataFrame:
     """(id, pe): k vectors for the smallest nontrivial eigenvalues of the normalised Laplacian of the
     bidirected graph with self loops.
 
-    Rayleigh-Ritz over a block of k + 6 vectors, their residuals and last steps, with the trivial vector taken
+    Rayleigh-Ritz over a block of k + 6 vectors, the residuals and last steps of k + 2 of them, with the trivial vector taken
     out, until the first k residuals of D^-1/2 (A + I) D^-1/2 are at most ``tolerance`` long; raises where they
-    are not after ``most_rounds``. Only products of the block's columns come to the driver. Signs and, for equal
-    eigenvalues, rotations are arbitrary; with fewer than k + 1 nodes there are fewer vectors.
+    are not after ``most_rounds``. Edges stand still (:mod:`~plexus.operators.standing`): a round is one job that sends the
+    residuals, and only products of the block's columns come to the driver. Signs and, for equal
+    eigenvalues, rotations are arbitrary; with fewer than k + 1 nodes there are fewer vectors. An end of an edge that ``ids`` lacks is a node too.
     """
-    import numpy as np
-    import pandas as pd
-
-    from plexus.functions.keys import node_key
-
-    n = ids.count()
+    spark, of = edges.sparkSession, standing(edges, ids)
+    n = of.n
     k, b = max(0, min(k, n - 1)), max(0, min(k + 6, n - 1))
-    if not k:
-        return ids.select("id", F.array().cast("array<double>").alias("pe"))
-    w = cut(sym_norm(edges, ids), "pe-weights")
-    degree = w.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    total = degree.agg(F.sum("deg")).first()[0]
-    # Columns of s: the trivial vector, the block, its residuals, its last steps; ms is the matrix times s.
-    start = degree.select("id", (F.sqrt("deg") / total**0.5).alias("t"), F.array(*[node_key(F.col("id"), j + 1) / 2147483648.0 - 0.5 for j in range(b)]).alias("r"))
-
-    def times(now: DataFrame) -> DataFrame:
-        sums = w.join(now.select(F.col("id").alias("src"), "r"), "src").groupBy("dst").agg(*[F.sum(F.col("w") * F.get("r", F.lit(j))).alias(f"c{j}") for j in range(b)])
-        moved = sums.select(F.col("dst").alias("id"), F.array(*[f"c{j}" for j in range(b)]).alias("mr"))
-        return cut(now.join(moved, "id"), "pe-step")
-
-    def products(batches):
-        got = 0
+    q = min(b, k + 2)
+
+    def run() -> DataFrame:
+        rows = spark.range(len(of.names)).select(F.col("id").cast("int").alias("at"))
+        now, theta, held = _started(of, rows, b), None, None
+        for _ in range(most_rounds):
+            now = cut(with_sums(of, now, "v", _multiplied, _BLOCK), "pe-step")
+            if held is not None:
+                drop(held)
+            held = now
+            # Columns of s: the trivial vector, the block, its residuals, its last steps; ms is the matrix times s.
+            parts = [np.frombuffer(r["g"]) for r in now.select("g").collect()]
+            m = int(round((len(parts[0]) / 2) ** 0.5))
+            g, h = sum(parts).reshape(2, m, m)
+            if theta is not None and np.sqrt(np.maximum(np.diag(g)[1 + b : 1 + b + k], 0)).max() <= tolerance:
+                return _vectors(of, now, k)
+            # Unit columns without their share of the trivial vector, which the matrix leaves as it is.
+            out = np.eye(m)[:, 1:]
+            out[0] = -g[0, 1:] / g[0, 0]
+            out /= np.sqrt(np.maximum(np.diag(out.T @ g @ out), 1e-300))
+            value, vector = np.linalg.eigh(out.T @ g @ out)
+            base = out @ (vector[:, value > 1e-10] / np.sqrt(value[value > 1e-10]))
+            small = base.T @ h @ base
+            value, vector = np.linalg.eigh((small + small.T) / 2)
+            c = (base @ vector)[:, ::-1][:, :b]
+            step = c[:, :q].copy()
+            step[0] = 0
+            if theta is not None:
+                step[1 : 1 + b] = 0
+            theta = value[::-1][:b]
+            now = _combined(now, c, step, theta)
+        raise RuntimeError("the eigenvectors did not settle")
+
+    try:
+        return settled(spark, run, "pe") if k else ids.select("id", F.array().cast("array<double>").alias("pe"))
+    finally:
+        of.drop()
+
+
+#: One row a strip; columns of nodes one after the other. v is the residual over t, t the roots of degrees.
+_STATE = "at int, v binary, t binary, x binary, mx binary, p binary, mp binary"
+_BLOCK = f"{_STATE}, mr binary, g binary"
+
+
+def _started(of: Standing, rows: DataFrame, b: int) -> DataFrame:
+    """The first state of rows (at): roots of degrees, and ``b`` columns at random."""
+    n, height = of.n, of.height
+
+    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in batches:
-            s, ms = (np.concatenate([d[["t"]].to_numpy(), *(np.stack(d[c].to_list()) for c in cs if len(d[c].iat[0]))], axis=1) for cs in (("x", "r", "p"), ("mx", "mr", "mp")) if len(d))
-            got = got + np.stack([s.T @ s, s.T @ ms])
-        if not np.isscalar(got):
-            yield pd.DataFrame({"g": [got.ravel().tolist()]})
-
-    empty = F.array().cast("array<double>")
-    now, theta = start.select("id", "t", *[empty.alias(c) for c in ("x", "mx", "p", "mp")], "r"), None
-    held = None
-    for _ in range(most_rounds):
-        now = times(now)
-        if held is not None:
-            drop(held)
-        held = now
-        parts = [np.array(r["g"]) for r in now.mapInPandas(products, "g array<double>").collect()]
-        g, h = sum(parts).reshape(2, *[int(round((len(parts[0]) / 2) ** 0.5))] * 2)
-        m = len(g)
-        if theta is not None and np.sqrt(np.maximum(np.diag(g)[1 + b : 1 + b + k], 0)).max() <= tolerance:
-            return now.select("id", F.slice("x", 1, k).alias("pe"))
-        # Unit columns without their share of the trivial vector, which the matrix leaves as it is.
-        out = np.eye(m)[:, 1:]
-        out[0] = -g[0, 1:] / g[0, 0]
-        out /= np.sqrt(np.maximum(np.diag(out.T @ g @ out), 1e-300))
-        value, vector = np.linalg.eigh(out.T @ g @ out)
-        base = out @ (vector[:, value > 1e-10] / np.sqrt(value[value > 1e-10]))
-        small = base.T @ h @ base
-        value, vector = np.linalg.eigh((small + small.T) / 2)
-        c = (base @ vector)[:, ::-1][:, :b]
-        theta = value[::-1][:b]
-        step = c.copy()
-        step[0] = 0
-        if m > 1 + b:
-            step[1 : 1 + b] = 0
-        now = _combined(now, c, step, theta)
-    raise RuntimeError("the eigenvectors did not settle")
-
-
-def _combined(now: DataFrame, c, step, theta) -> DataFrame:
+            at = d.column("at").to_pylist()
+            yield pa.RecordBatch.from_arrays([d.column("at"), pa.array([np.ones(min(height, n - i * height), np.float32).tobytes() for i in at], pa.binary())], names=["at", "v"])
+
+    def begun(at: int, _: dict, sums: np.ndarray) -> dict:
+        t = np.sqrt(1 + sums[0])
+        v = (np.random.default_rng([7, at]).random((b, len(t))) - 0.5) / t
+        return {"at": at, "v": v.astype(np.float32).tobytes(), "t": t.tobytes()} | dict.fromkeys(("x", "mx", "p", "mp"), b"")
+
+    return cut(with_sums(of, rows.mapInArrow(ones, "at int, v binary"), "v", begun, _STATE), "pe-step")
+
+
+def _columns(row: dict, names: tuple[str, ...], tall: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(row[c]).reshape(-1, tall) for c in names])
+
+
+def _residual(row: dict, t: np.ndarray) -> np.ndarray:
+    return np.frombuffer(row["v"], np.float32).reshape(-1, len(t)).astype(float) * t
+
+
+def _multiplied(at: int, row: dict, sums: np.ndarray) -> dict:
+    """A strip's state with the matrix times its residuals, and its share of the products of all columns."""
+    t = np.frombuffer(row["t"])
+    mr = sums / t + np.frombuffer(row["v"], np.float32).reshape(sums.shape) / t
+    r = _residual(row, t)
+    s = np.concatenate([t[None], _columns(row, ("x",), len(t)), r, _columns(row, ("p",), len(t))])
+    ms = np.concatenate([t[None], _columns(row, ("mx",), len(t)), mr, _columns(row, ("mp",), len(t))])
+    return row | {"at": at, "mr": mr.tobytes(), "g": np.stack([s @ s.T, s @ ms.T]).tobytes()}
+
+
+def _combined(now: DataFrame, c: np.ndarray, step: np.ndarray, theta: np.ndarray) -> DataFrame:
     """The next block, its matrix product, residual and step as combinations of the columns at hand."""
-    import numpy as np
-    import pandas as pd
+    q = step.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in batches:
+            for row in d.to_pylist():
+                t = np.frombuffer(row["t"])
+                s = np.concatenate([t[None], _columns(row, ("x",), len(t)), _residual(row, t), _columns(row, ("p",), len(t))])
+                ms = np.concatenate([t[None], _columns(row, ("mx", "mr", "mp"), len(t))])
+                x, mx = c.T @ s, c.T @ ms
+                # Rounded, it is the new column all the same: the products are those of what was sent.
+                v = ((mx[:q] - theta[:q, None] * x[:q]) / t).astype(np.float32)
+                new = [row["at"], *(w.tobytes() for w in (v, t, x, mx, step.T @ s, step.T @ ms))]
+                kinds = [pa.int32(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array([w], kind) for w, kind in zip(new, kinds, strict=True)], names=["at", "v", "t", "x", "mx", "p", "mp"])
+
+    return now.select("at", "v", "t", "x", "mx", "p", "mp", "mr").mapInArrow(run, _STATE)
+
+
+def _vectors(of: Standing, now: DataFrame, k: int) -> DataFrame:
+    """(id, pe) of the block's first ``k`` columns."""
+    height, low = of.height, of.low if of.ids is None else 0
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in batches:
-            if not len(d):
-                continue
-            s, ms = (np.concatenate([d[["t"]].to_numpy(), *(np.stack(d[q].to_list()) for q in cs if len(d[q].iat[0]))], axis=1) for cs in (("x", "r", "p"), ("mx", "mr", "mp")))
-            x, mx = s @ c, ms @ c
-            new = {"x": x, "mx": mx, "p": s @ step, "mp": ms @ step, "r": mx - x * theta}
-            yield pd.DataFrame({"id": d["id"], "t": d["t"]} | {q: list(v) for q, v in new.items()})
-
-    return now.mapInPandas(run, "id bigint, t double, x array<double>, mx array<double>, p array<double>, mp array<double>, r array<double>")
+            for row in d.to_pylist():
+                tall = len(row["t"]) // 8
+                x = np.frombuffer(row["x"]).reshape(-1, tall)[:k].T
+                for a in range(0, tall, 1 << 16):
+                    part = x[a : a + (1 << 16)]
+                    lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * k, np.ascontiguousarray(part).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(low + row["at"] * height + a + np.arange(len(part))), lists], names=["pos", "pe"])
+
+    got = now.select("at", "t", "x").mapInArrow(run, "pos bigint, pe array<double>")
+    return got.withColumnRenamed("pos", "id") if of.ids is None else of.ids.join(got, "pos").select("id", "pe")
 
 
 def partition_relabel(edges: DataFrame, ids: DataFrame, rounds: int = 3) -> DataFrame:
