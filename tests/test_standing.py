@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plexus.operators import spread, standing
+from plexus.operators import partition, spread, standing
 
 
 def arcs(spark, pairs):
@@ -63,3 +63,18 @@ def test_few_nodes_have_fewer_vectors(spark):
     assert got([(0, 1)], 1, 0) == {0: []} and got([], 1, 2) == {0: []} and got([], 0, 2) == {}
     two = got([(0, 1), (1, 0), (1, 1)], 2, 3)
     assert [len(v) for v in two.values()] == [1, 1] and two[0][0] == pytest.approx(-two[1][0])
+
+
+def test_large_levels_are_refined_without_reading_their_edges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = [3 * i for i in range(120)]
+    pairs = [(3 * int(i), 3 * int(j)) for i, j in rng.integers(0, 118, (500, 2)) if i // 30 == j // 30 or rng.random() < 0.1]
+    nodes = spark.range(120).select((F.col("id") * 3).alias("id"))
+    monkeypatch.setattr(partition, "FEWEST", 40)
+    monkeypatch.setattr(partition, "PER_PART", 4)
+    by_edges = {r["id"]: r["part"] for r in partition.balanced_parts(arcs(spark, pairs), nodes, 4).collect()}
+    monkeypatch.setattr(partition, "LARGE", 1)
+    monkeypatch.setattr(standing, "FEWEST", 16)
+    monkeypatch.setattr(partition, "_pulls", lambda *_: pytest.fail("a pass over rows of edges"))
+    assert {r["id"]: r["part"] for r in partition.balanced_parts(arcs(spark, pairs), nodes, 4).collect()} == by_edges
+    assert sorted(by_edges) == ids
